@@ -7,9 +7,10 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = re.compile(r"[a-z0-9]+")  # fixed pattern: what counts as a token after lower-casing
-SCHEMA = "rouge1 double, rouge2 double, rougeL double"
+SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("rouge1", "rouge2", "rougeL")])
 
 
 def _f1(common: int, predicted: int, wanted: int) -> float:

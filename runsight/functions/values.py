@@ -48,9 +48,11 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def fixed(column: Column, digits: int, signed: bool = False) -> Column:
-    """Number as text with fixed decimals, '-' when missing."""
-    pattern = f"%{'+' if signed else ''}.{digits}f"
-    return F.when(column.isNull(), F.lit("-")).otherwise(F.format_string(pattern, column.cast("double")))
+    """Number as text with fixed decimals, '-' when missing. Rounds the exact binary value, half to even."""
+    body = "0." + "0" * digits
+    pattern = f"+{body};-{body}" if signed else body
+    text = F.call_function("format_number", column.cast("double"), F.lit(pattern))
+    return F.when(column.isNull(), F.lit("-")).otherwise(text)
 
 
 def shorten(column: Column, limit: int, keep: int) -> Column:

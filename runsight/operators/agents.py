@@ -62,9 +62,8 @@ def _last(lines: Column) -> Column:
 
 def metric_from_text(df: DataFrame, text: str = "result") -> DataFrame:
     """Metric and commit from the last line of an agent's answer that is a JSON object with a metric."""
-    lines = F.filter(
-        F.transform(F.split(F.col(text), r"\r\n|\r|\n"), F.trim), lambda x: x.startswith("{") & x.contains("metric_value")
-    )
+    trimmed = F.transform(F.split(F.col(text), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.filter(trimmed, lambda x: x.startswith("{") & x.contains("metric_value"))
     parsed = F.transform(lines, lambda x: F.from_json(x, "metric_value string, best_commit string"))
     usable = F.filter(parsed, lambda x: x["metric_value"].try_cast("double").isNotNull())
     with_last = df.withColumn("_m", _last(usable))

@@ -105,7 +105,7 @@ def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def binary_scores(counts: DataFrame, by: Sequence[str] = (), positive: object = 1) -> DataFrame:
-    """Precision, recall, F1 and AUC of hard 0/1 predictions, 0 where undefined."""
+    """Accuracy, precision, recall, F1 and AUC of hard 0/1 predictions."""
     truth, guess = F.col("y_true") == F.lit(positive), F.col("y_pred") == F.lit(positive)
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     cells = counts.groupBy(*by).agg(
@@ -114,6 +114,7 @@ def binary_scores(counts: DataFrame, by: Sequence[str] = (), positive: object =
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return cells.select(
         *by,
+        ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runsight.functions.dates import parse_date
-from runsight.functions.values import clean_floats, pearson
+from runsight.functions.values import clean_floats, fixed, pearson
 from runsight.session import materialize
 
 # Thresholds that decide results.
@@ -305,5 +305,5 @@ def data_summary(df: DataFrame, target: str) -> DataFrame:
 
 def _rounded(stats: DataFrame, column: str) -> Column:
     if isinstance(stats.schema[column].dataType, T.DoubleType):
-        return F.format_string("%.6f", column)
+        return fixed(F.col(column), 6)
     return F.col(column).cast("string")

@@ -314,15 +314,16 @@ def budget_stop(log: DataFrame, config: DataFrame) -> DataFrame:
         ],
     ).join(broadcast_if_small(config), RUN)
     elapsed = F.col("timestamp").cast("double") - F.col("started").cast("double")
+    spent, allowed = fixed(F.col("cost"), 2), fixed(F.col("budget_usd"), 2)
     reason = (
         F.when(
             F.col("count") >= F.col("budget_experiments"),
             F.format_string("Experiment count limit reached: %d/%d", "count", "budget_experiments"),
         )
-        .when(F.col("cost") >= F.col("budget_usd"), F.format_string("Cost cap reached: $%.2f/$%.2f", "cost", "budget_usd"))
+        .when(F.col("cost") >= F.col("budget_usd"), F.format_string("Cost cap reached: $%s/$%s", spent, allowed))
         .when(
             elapsed >= F.col("budget_minutes") * 60,
-            F.format_string("Time budget exceeded: %.1fmin/%dmin", elapsed / 60, "budget_minutes"),
+            F.format_string("Time budget exceeded: %smin/%dmin", fixed(elapsed / 60, 1), "budget_minutes"),
         )
     )
     hit = seen.withColumn("reason", reason).where(F.col("reason").isNotNull())
@@ -361,7 +362,7 @@ def retrospective(log: DataFrame, costs: DataFrame, metric: str = "metric", dire
         ("Reverts", text("reverts")),
         ("Crashes", text("crashes")),
         (f"Best {metric}", text("best_metric")),
-        ("Total Cost (USD)", F.format_string("%.2f", F.coalesce("cost_spent_usd", F.lit(0.0)))),
+        ("Total Cost (USD)", fixed(F.coalesce("cost_spent_usd", F.lit(0.0)), 2)),
     ]
     entries = [
         F.struct(F.lit(i).cast("long").alias("position"), F.concat(F.lit(f"{name}: "), value).alias("line"))

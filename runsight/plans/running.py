@@ -18,6 +18,7 @@ from runsight.session import materialize
 CHUNK = "_chunk"
 RANGE = "_range"
 CHUNK_ROWS = 65_536
+SMALL_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -138,10 +139,23 @@ def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = N
     return materialize(df.repartitionByRange(n, *order).withColumn(RANGE, F.spark_partition_id().cast("long")))
 
 
-def running_global(df: DataFrame, order: str, measures: Sequence[Running], keys: Sequence[str] = ()) -> DataFrame:
-    """Running aggregates over a whole table (or per key) in the order of any sortable column."""
+def running_global(
+    df: DataFrame, order: str, measures: Sequence[Running], keys: Sequence[str] = (), small: int = SMALL_ROWS
+) -> DataFrame:
+    """Running aggregates over a whole table (or per key) in the order of any sortable column.
+
+    The input is written and counted first: up to ``small`` rows one plain window does, beyond that the
+    table is cut into ranges.
+    """
     keys = list(keys)
-    chunked = range_chunks(df, [*keys, order])
+    stored = materialize(df)
+    if stored.count() <= small:
+        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
+        frames = {b: window.rowsBetween(Window.unboundedPreceding, -1 if b else 0) for b in (True, False)}
+        empty = F.lit(None)
+        kept = [c for c in df.columns if c not in {m.name for m in measures}]
+        return stored.select(*kept, *[m.combine(m.over(m.input()).over(frames[m.before]), empty).alias(m.name) for m in measures])
+    chunked = range_chunks(stored, [*keys, order])
     if not keys:
         chunked = chunked.withColumn("_all", F.lit(0))
     return running(chunked, keys or ["_all"], order, measures, F.col(RANGE)).drop("_all", RANGE)

@@ -1,3 +1,3 @@
 """Imports every query module, which registers its queries."""
 
-from runsight.queries import profiling, scoring  # noqa: F401
+from runsight.queries import files, live, logs, preparing, profiling, scoring, training  # noqa: F401

@@ -24,8 +24,8 @@ def result_log(spark: SparkSession, d: str) -> DataFrame:
         F.when(kind != "error", F.col("value")).alias("metric_value"),
         status.alias("status"),
         F.concat(kind, F.lit(" "), F.col("props")).alias("description"),
-        F.col("ts").alias("timestamp"),
-        (F.col("value") / 100).alias("cost_usd"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        (F.floor("value") / 64).alias("cost_usd"),
     )
 
 
@@ -35,7 +35,7 @@ RESULT_LOG = """log AS (
     'score' AS metric_name,
     CASE WHEN event_type <> 'error' THEN value END AS metric_value,
     CASE event_type WHEN 'error' THEN 'crash' WHEN 'purchase' THEN 'keep' ELSE 'revert' END AS status,
-    event_type || ' ' || props AS description, ts, value / 100 AS cost_usd
+    event_type || ' ' || props AS description, ts, floor(value) / 64 AS cost_usd
   FROM events)"""
 
 
@@ -161,16 +161,16 @@ WITH_GAPS = """gaps AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CAST
 
 def folds_sql(source: str, key: str, k: int = 5, seed: int = 42) -> str:
     """CTE ``folds`` (key, fold): consecutive blocks of the hash order."""
-    ends = ", ".join(f"{i + 1} * (n // {k}) + least({i + 1}, n % {k})" for i in range(k - 1))
+    past = " + ".join(f"CAST(rn > {i + 1} * (n // {k}) + least({i + 1}, n % {k}) AS INT)" for i in range(k - 1))
     return f"""hs AS (SELECT {key}, row_number() OVER (ORDER BY md5(CAST({key} AS VARCHAR) || ':{seed}')) AS rn,
   count(*) OVER () AS n FROM {source}),
-folds AS (SELECT {key}, CAST(len(list_filter([{ends}], x -> rn > x)) AS INT) AS fold FROM hs)"""
+folds AS (SELECT {key}, {past} AS fold FROM hs)"""
 
 
 def strata_sql(source: str, key: str, label: str, k: int = 5, seed: int = 42) -> str:
     """CTE ``folds`` (key, label, fold): blocks per class, sizes dealt round robin over the sorted classes."""
     dealt = [f"(floor((o + n - 1 - {i}) / {k}) - floor((o - 1 - {i}) / {k}))" for i in range(k - 1)]
-    ends = ", ".join(" + ".join(dealt[: i + 1]) for i in range(k - 1))
+    past = " + ".join(f"CAST(rn > {' + '.join(dealt[: i + 1])} AS INT)" for i in range(k - 1))
     return f"""cs AS (SELECT {label} AS l, count(*) AS n, sum(count(*)) OVER (ORDER BY {label}) - count(*) AS o FROM {source} GROUP BY 1),
 hs AS (SELECT {key}, {label} AS l, row_number() OVER (PARTITION BY {label} ORDER BY md5(CAST({key} AS VARCHAR) || ':{seed}')) AS rn FROM {source}),
-folds AS (SELECT {key}, l AS {label}, CAST(len(list_filter([{ends}], x -> rn > x)) AS INT) AS fold FROM hs JOIN cs USING (l))"""
+folds AS (SELECT {key}, l AS {label}, {past} AS fold FROM hs JOIN cs USING (l))"""

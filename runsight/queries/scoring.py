@@ -151,9 +151,7 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
 SELECT round(hit / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
   round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""")
 def binary_metrics(spark: SparkSession, d: str) -> DataFrame:
-    counts = metrics.confusion_counts(_quality(spark, d))
-    out = metrics.score_counts(counts, "accuracy").withColumnRenamed("score", "accuracy")
-    return out.join(metrics.binary_scores(counts)).select(*[r(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+    return metrics.binary_scores(metrics.confusion_counts(_quality(spark, d))).select(*[r(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
 _CLASS_SCORES = f"""{STATUS_PREDICTIONS}, t AS (SELECT y_true AS class, count(*) AS support, count(*) FILTER (y_true = y_pred) AS hits FROM pred GROUP BY 1),
@@ -224,11 +222,11 @@ def custom_metric(spark: SparkSession, d: str) -> DataFrame:
     return price_predictions(spark, d).agg(r(share).alias("score"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice * 0.5 + 10, 2) AS y_pred FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice * 0.5 + 10, 3) AS y_pred FROM orders")
 def score_with_model(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     out = score_batches(orders, lambda: lambda batch: batch["o_totalprice"] * 0.5 + 10, "o_orderkey long, o_totalprice double, y_pred double")
-    return out.select("o_orderkey", r("y_pred", 2).alias("y_pred"))
+    return out.select("o_orderkey", r("y_pred", 3).alias("y_pred"))
 
 
 # --- splits and folds ----------------------------------------------------------------------------------
@@ -255,13 +253,13 @@ def random_split_val(spark: SparkSession, d: str) -> DataFrame:
     return prep.random_split_val(table(spark, d, "embeddings").select("vec_id"), "vec_id")
 
 
-@query("""SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS listed, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS other,
-  CAST(0 AS BIGINT) AS common FROM documents""")
+@query("""SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'listed' ELSE 'other' END AS part, count(*) AS n FROM documents GROUP BY 1
+  UNION ALL SELECT 'common', 0""")
 def partition_by_membership(spark: SparkSession, d: str) -> DataFrame:
     inside, outside = prep.partition_by_membership(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
-    tag = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    tag = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
     common = prep.common_keys(inside, outside, "doc_id")
-    return tag(inside, "listed").join(tag(outside, "other")).join(tag(common, "common"))
+    return tag(inside, "listed").unionByName(tag(outside, "other")).unionByName(tag(common, "common"))
 
 
 @query(f"WITH {folds_sql('orders', 'o_orderkey')} SELECT o_orderkey, fold FROM folds")

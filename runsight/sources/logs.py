@@ -2,49 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsight.sources.tables import PARQUET_SUFFIXES, or_empty, suffix
+from runsight.sources.tables import PARQUET_SUFFIXES, columns, or_empty, suffix
 
 # Column names and types of the logs.
-RESULT_SCHEMA = T.StructType.fromDDL(
-    "run_id string, experiment_id long, commit_hash string, metric_name string, metric_value double, "
-    "status string, description string, timestamp timestamp"
+RESULT_SCHEMA = columns(
+    run_id=T.StringType(),
+    experiment_id=T.LongType(),
+    commit_hash=T.StringType(),
+    metric_name=T.StringType(),
+    metric_value=T.DoubleType(),
+    status=T.StringType(),
+    description=T.StringType(),
+    timestamp=T.TimestampType(),
 )
-JOURNAL_SCHEMA = T.StructType.fromDDL(
-    "run_id string, experiment_id long, hypothesis string, result string, metric_value double, metric_delta double, "
-    "commit_hash string, status string, diff string, timestamp timestamp"
+JOURNAL_SCHEMA = columns(
+    run_id=T.StringType(),
+    experiment_id=T.LongType(),
+    hypothesis=T.StringType(),
+    result=T.StringType(),
+    metric_value=T.DoubleType(),
+    metric_delta=T.DoubleType(),
+    commit_hash=T.StringType(),
+    status=T.StringType(),
+    diff=T.StringType(),
+    timestamp=T.TimestampType(),
 )
-SCOREBOARD_SCHEMA = T.StructType.fromDDL(
-    "agent string, commit string, metric_value double, elapsed_sec double, status string, description string, timestamp timestamp"
+SCOREBOARD_SCHEMA = columns(
+    agent=T.StringType(),
+    commit=T.StringType(),
+    metric_value=T.DoubleType(),
+    elapsed_sec=T.DoubleType(),
+    status=T.StringType(),
+    description=T.StringType(),
+    timestamp=T.TimestampType(),
 )
-PREDICTION_SCHEMA = T.StructType.fromDDL("row_id long, y_true double, y_pred double")
+PREDICTION_SCHEMA = columns(
+    row_id=T.LongType(),
+    y_true=T.DoubleType(),
+    y_pred=T.DoubleType(),
+)
+
+
+BUCKETS = 64
+
 
+def _bucket(run: Column) -> Column:
+    return (F.crc32(run.cast("string")) % BUCKETS).cast("int")
 
-def _read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return or_empty(spark, schema, lambda: spark.read.schema(schema).json(path))
 
+def _read_json(spark: SparkSession, path: str, schema: T.StructType, run_id: str | None) -> DataFrame:
+    """All runs, or one: then only its bucket's folder is read."""
+    bucketed = T.StructType([*schema.fields, T.StructField("run_bucket", T.IntegerType())])
+    rows = or_empty(spark, bucketed, lambda: spark.read.schema(bucketed).json(path))
+    if run_id is not None:
+        rows = rows.where((F.col("run_bucket") == _bucket(F.lit(run_id))) & (F.col("run_id") == run_id))
+    return rows.drop("run_bucket")
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result log; no rows where nothing was written yet. ``run_id`` may come from the folder name."""
-    return _read_json(spark, path, RESULT_SCHEMA)
 
+def _append_json(df: DataFrame, path: str) -> None:
+    """Append under a bounded number of bucket folders. Rebalancing gives each few large files and splits a bucket
+    that holds a very long run."""
+    bucketed = df.withColumn("run_bucket", _bucket(F.col("run_id")))
+    bucketed.hint("rebalance", "run_bucket").write.mode("append").partitionBy("run_bucket").json(path)
 
-def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    return _read_json(spark, path, JOURNAL_SCHEMA)
+
+def read_results(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Result log; no rows where nothing was written yet."""
+    return _read_json(spark, path, RESULT_SCHEMA, run_id)
+
+
+def read_journal(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    return _read_json(spark, path, JOURNAL_SCHEMA, run_id)
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    """Append rows under run folders, so that reading one run reads only its files."""
-    df.select(*RESULT_SCHEMA.names).write.mode("append").partitionBy("run_id").json(path)
+    _append_json(df.select(*RESULT_SCHEMA.names), path)
 
 
 def append_journal(df: DataFrame, path: str) -> None:
     """Append entries stamped with the current time."""
-    stamped = df.withColumn("timestamp", F.current_timestamp())
-    stamped.select(*JOURNAL_SCHEMA.names).write.mode("append").partitionBy("run_id").json(path)
+    _append_json(df.withColumn("timestamp", F.current_timestamp()).select(*JOURNAL_SCHEMA.names), path)
 
 
 def read_scoreboard(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +115,10 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType = PRED
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one per row: (path, value)."""
-    schema = T.StructType.fromDDL("path string, value string")
+    schema = columns(
+    path=T.StringType(),
+    value=T.StringType(),
+)
     return or_empty(
         spark, schema, lambda: spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     )

@@ -7,23 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runsight.sources.tables import or_empty
+from runsight.sources.tables import columns, or_empty
 
 SCHEMA_VERSION = 1  # fixed value
 # Fields of a saved state.
-STATE_FIELDS = (
-    "experiment_count long, best_metric double, best_commit string, budget_remaining double, consecutive_reverts long, "
-    "total_keeps long, total_reverts long, run_id string, cost_spent_usd double, "
-    "baselines map<string, struct<score: double, std: double>>, tried_families array<string>, task string"
-)
-STATE_SCHEMA = T.StructType.fromDDL(STATE_FIELDS)
-SNAPSHOT_SCHEMA = T.StructType(
-    [
-        T.StructField("schema_version", T.IntegerType()),
-        T.StructField("state", STATE_SCHEMA),
-        T.StructField("timestamp", T.TimestampType()),
-    ]
+STATE_SCHEMA = columns(
+    experiment_count=T.LongType(),
+    best_metric=T.DoubleType(),
+    best_commit=T.StringType(),
+    budget_remaining=T.DoubleType(),
+    consecutive_reverts=T.LongType(),
+    total_keeps=T.LongType(),
+    total_reverts=T.LongType(),
+    run_id=T.StringType(),
+    cost_spent_usd=T.DoubleType(),
+    baselines=T.MapType(T.StringType(), columns(score=T.DoubleType(), std=T.DoubleType())),
+    tried_families=T.ArrayType(T.StringType()),
+    task=T.StringType(),
 )
+SNAPSHOT_SCHEMA = columns(schema_version=T.IntegerType(), state=STATE_SCHEMA, timestamp=T.TimestampType())
 # Model files of a run in the order they are looked for.
 MODEL_CANDIDATES = ("best_model.joblib", "best_model.pt", "best_adapter")
 
@@ -42,24 +44,21 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return or_empty(spark, SNAPSHOT_SCHEMA, lambda: spark.read.schema(SNAPSHOT_SCHEMA).json(path)).select("state.*")
 
 
-def scan_checkpoints(spark: SparkSession, base: str, prefix: str = "run-", state_dir: str = ".state") -> DataFrame:
-    """Status of every run folder below ``base`` and of ``base`` itself; unreadable files are skipped.
+def scan_checkpoints(spark: SparkSession, base: str, prefix: str = "run-", file: str = ".state/checkpoint.json") -> DataFrame:
+    """Saved state of every run folder below ``base`` and of ``base`` itself; unreadable files are skipped.
 
-    Fields are taken from the nested state or, in flat files, from the top level.
+    States are nested or, in flat files, at the top level. ``directory`` is the run's folder.
     """
-    broken = T.StructField("_broken", T.StringType())
-    schema = T.StructType([*SNAPSHOT_SCHEMA.fields, *STATE_SCHEMA.fields, broken])
-    name = f"{state_dir}/checkpoint.json"
-    found = None
-    for pattern in (f"{base}/{name}", f"{base}/{prefix}*/{name}"):
-        rows = or_empty(
-            spark,
-            T.StructType([*schema.fields, T.StructField("directory", T.StringType())]),
-            lambda p=pattern: spark.read.schema(schema)
-            .json(p, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
-            .withColumn("directory", F.substring_index(F.col("_metadata.file_path"), f"/{name}", 1)),
-        )
-        found = rows if found is None else found.unionByName(rows)
+    schema = T.StructType([*SNAPSHOT_SCHEMA.fields, *STATE_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    whole = T.StructType([*schema.fields, T.StructField("directory", T.StringType())])
+    levels = file.count("/") + 1
+    folder = F.array_join(F.expr(f"slice(split(_metadata.file_path, '/'), 1, size(split(_metadata.file_path, '/')) - {levels})"), "/")
+
+    def read(pattern: str) -> DataFrame:
+        reader = spark.read.schema(schema).options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+        return or_empty(spark, whole, lambda: reader.json(pattern).withColumn("directory", folder))
+
+    found = read(f"{base}/{file}").unionByName(read(f"{base}/{prefix}*/{file}"))
     return found.where(F.col("_broken").isNull()).drop("_broken")
 
 

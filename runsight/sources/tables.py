@@ -21,6 +21,10 @@ def suffix(path: str) -> str:
     return PurePosixPath(path).suffix
 
 
+def columns(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+
+
 def or_empty(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
     """Result of ``read()``, or no rows where the path does not exist."""
     try:
@@ -31,11 +35,15 @@ def or_empty(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet by suffix, anything else is CSV with a header. Give ``schema`` to save the inference pass."""
+def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True) -> DataFrame:
+    """Parquet by suffix, anything else is CSV with a header.
+
+    Give ``schema`` to save the inference pass. Quoted CSV values may hold line breaks; where they are known not to,
+    ``line_breaks=False`` lets Spark split large files.
+    """
     if suffix(path) in PARQUET_SUFFIXES:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(header=True, escape='"', multiLine=line_breaks)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
