@@ -64,7 +64,7 @@ def mean_loss(loss: Column) -> Column:
 
 def perplexity(loss: Column) -> Column:
     """exp of the mean loss; 1 for no rows."""
-    return F.exp(F.sum(F.coalesce(loss, F.lit(0.0))) / F.greatest(F.count(loss), F.lit(1)))
+    return F.exp(F.coalesce(F.sum(loss), F.lit(0.0)) / F.greatest(F.count(loss), F.lit(1)))
 
 
 ROW_METRICS: dict[str, Callable[[Column, Column], Column]] = {

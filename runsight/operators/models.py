@@ -122,9 +122,9 @@ def boosted_trees(task: str, classes: int = 2, rounds: int = 20, depth: int = 5,
     return model if classes <= 2 else OneVsRest(classifier=model, labelCol="label")
 
 
-def linear_svm(classes: int = 2, penalty: float = 1.0, rows: int = 1) -> Estimator:
+def linear_svm(classes: int = 2, penalty: float = 1.0, rows: int = 1, iterations: int = 100) -> Estimator:
     """Linear support vectors, classification only."""
-    model = LinearSVC(labelCol="label", regParam=1.0 / (penalty * max(rows, 1)))
+    model = LinearSVC(labelCol="label", regParam=1.0 / (penalty * max(rows, 1)), maxIter=iterations)
     return model if classes <= 2 else OneVsRest(classifier=model, labelCol="label")
 
 

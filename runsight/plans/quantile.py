@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
+SMALL_ROWS = 200_000
 
 
-def exact_medians(df: DataFrame, columns: dict[str, Column], accuracy: int = ACCURACY) -> dict[str, float | None]:
+def exact_medians(
+    df: DataFrame, columns: dict[str, Column], accuracy: int = ACCURACY, small: int = SMALL_ROWS
+) -> dict[str, float | None]:
     """Median of each expression, averaging the two middle values of an even count.
 
     A first pass brackets the middle with an approximate quantile. The second keeps only
     the values inside the bracket, about ``5 n / accuracy`` rows, and ranks them exactly. The
-    bracket is checked against the counts; one that misses is opened fully and ranked again.
+    bracket is checked against the counts; one that misses is opened fully and ranked again. Columns of at
+    most ``small`` values go through Spark's own median, which holds all values in one buffer.
     """
     names = list(columns)
     values = df.select(*[F.nanvl(columns[n].cast("double"), F.lit(None)).alias(f"v{i}") for i, n in enumerate(names)])
@@ -26,6 +30,9 @@ def exact_medians(df: DataFrame, columns: dict[str, Column], accuracy: int = ACC
         ],
     ).first()
     sizes = [first[f"n{i}"] for i in range(len(names))]
+    if max(sizes, default=0) <= small:
+        row = values.agg(*[F.median(f"v{i}").alias(f"m{i}") for i in range(len(names))]).first()
+        return {n: row[f"m{i}"] for i, n in enumerate(names)}
     brackets = {i: tuple(first[f"q{i}"]) for i in range(len(names)) if sizes[i]}
     found: dict[int, float] = {}
     while brackets:

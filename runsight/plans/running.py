@@ -140,16 +140,16 @@ def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = N
 
 
 def running_global(
-    df: DataFrame, order: str, measures: Sequence[Running], keys: Sequence[str] = (), small: int = SMALL_ROWS
+    df: DataFrame, order: str, measures: Sequence[Running], keys: Sequence[str] = (), small: int | None = None
 ) -> DataFrame:
     """Running aggregates over a whole table (or per key) in the order of any sortable column.
 
-    The input is written and counted first: up to ``small`` rows one plain window does, beyond that the
-    table is cut into ranges.
+    The input is written and counted first: up to ``small`` rows (``SMALL_ROWS``) one plain window does, beyond
+    that the table is cut into ranges.
     """
     keys = list(keys)
     stored = materialize(df)
-    if stored.count() <= small:
+    if stored.count() <= (SMALL_ROWS if small is None else small):
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
         frames = {b: window.rowsBetween(Window.unboundedPreceding, -1 if b else 0) for b in (True, False)}
         empty = F.lit(None)

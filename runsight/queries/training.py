@@ -66,7 +66,7 @@ def fit_boosted_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fit_linear_svm(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_binary(spark, d), "vec_id", "label", models.linear_svm(rows=400))
+    return _fit(_binary(spark, d), "vec_id", "label", models.linear_svm(rows=400, iterations=30))
 
 
 @query()
@@ -84,7 +84,7 @@ def draft_phase(spark: SparkSession, d: str) -> DataFrame:
     builders = {
         "linear": lambda: models.linear("classification", 400),
         "random_forest": lambda: models.random_forest("classification", 10, 4),
-        "svm": lambda: models.linear_svm(rows=400),
+        "svm": lambda: models.linear_svm(rows=400, iterations=20),
     }
     families = {name: builders[name] for name in catalog.FAMILIES["tabular"] if name in builders}
     drafts = models.draft_phase(train, "vec_id", "classification", CLASS_METRIC, families, k=3)
