@@ -14,6 +14,7 @@ from runsight.operators.prep import FOLDS, SEED, kfold, stratified_kfold
 from runsight.operators.profile import class_count
 from runsight.plans.hashorder import unit_draw
 from runsight.plans.quantile import exact_medians
+from runsight.plans.running import Running, running_global
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
@@ -21,6 +22,7 @@ from runsight.session import materialize
 UNIFORM_SHARE = 0.95
 UNTRAINED_SHARE = 0.8
 VOCABULARY = 32_000
+MANY_CLASSES = 1_000
 BASELINE = "name string, score double, std double"
 
 
@@ -85,29 +87,47 @@ def expected_accuracy(folded: DataFrame, label: str, fold: str = "fold", k: int
     return counts.select("fold", (guess * test).alias("s")).groupBy("fold").agg(F.sum("s").alias("score"))
 
 
-def drawn_predictions(folded: DataFrame, key: str, label: str, fold: str = "fold", k: int = FOLDS, strategy: str = "stratified", seed: int = SEED) -> DataFrame:
+def drawn_predictions(folded: DataFrame, key: str, label: str, fold: str = "fold", k: int = FOLDS, strategy: str = "stratified", seed: int = SEED, many: bool | None = None) -> DataFrame:
     """Random class per row, repeatable: (key, fold, y_true, y_pred).
 
     The draw is a hash of the key, looked up in the training shares of the classes ('stratified') or in
-    equal shares ('uniform').
+    equal shares ('uniform'). ``many`` chooses the way for very many classes; by default they are counted.
     """
-    counts = _fold_class_counts(folded, label, fold, k)
-    classes = counts.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("label", "in_train"))).alias("c"))
-    total = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["in_train"])
-    # Upper end of each class's share; k rows, one per fold.
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size("c")),
-        (lambda i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["in_train"]) / total)
-        if strategy == "stratified"
-        else (lambda i: i / F.size("c")),
-    )
-    shares = classes.select("fold", F.transform("c", lambda x: x["label"]).alias("_labels"), ends.alias("_ends"))
+    counts = materialize(_fold_class_counts(folded, label, fold, k))
+    weight = F.col("in_train") if strategy == "stratified" else F.lit(1).cast("long")
+    weighted = counts.select("fold", "label", weight.alias("weight"))
     rows = folded.select(F.col(key), F.col(fold).alias("fold"), F.col(label).alias("y_true"), unit_draw(key, seed).alias("_u"))
-    drawn = rows.where(F.col("y_true").isNotNull()).join(F.broadcast(materialize(shares)), "fold")
+    rows = rows.where(F.col("y_true").isNotNull())
+    few = counts.count() <= MANY_CLASSES * k if many is None else not many
+    return (_drawn_by_lookup if few else _drawn_by_order)(rows, weighted, key)
+
+
+def _drawn_by_lookup(rows: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
+    """Each fold's classes as one array of shares, sent along with the rows (k rows, classes counted before)."""
+    classes = weighted.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("label", "weight"))).alias("c"))
+    upto = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["weight"])
+    ends = F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: upto(F.slice("c", F.lit(1), i)) / upto(F.col("c")))
+    shares = classes.select("fold", F.transform("c", lambda x: x["label"]).alias("_labels"), ends.alias("_ends"))
+    drawn = rows.join(F.broadcast(materialize(shares)), "fold")
     at = F.least(F.size(F.filter("_ends", lambda e: e <= F.col("_u"))) + 1, F.size("_labels"))
     return drawn.select(key, "fold", "y_true", F.element_at("_labels", at).alias("y_pred"))
 
 
+def _drawn_by_order(rows: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
+    """The same for any number of classes: classes and rows are merged in order of their place in [0, 1), and each
+    row takes the class that started last before it."""
+    started = running_global(weighted, "label", [Running("_start", "sum", F.col("weight"), before=True)], ["fold"])
+    totals = weighted.groupBy("fold").agg(F.sum("weight").alias("_total"))  # one row per fold
+    starts = started.where(F.col("weight") > 0).join(F.broadcast(totals), "fold")
+    place = lambda at, kind, k: F.struct(at.alias("at"), F.lit(kind).alias("kind"), k.alias("k")).alias("_place")
+    at = F.col("_start") / F.col("_total")
+    none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    opened = starts.select("fold", place(at, 0, F.col("label").cast("string")), F.struct(at.alias("at"), "label").alias("_from"), none(key), none("y_true"))
+    drawn = rows.select("fold", place(F.col("_u"), 1, F.col(key).cast("string")), F.lit(None).cast(opened.schema["_from"].dataType).alias("_from"), key, "y_true")
+    merged = running_global(opened.unionByName(drawn), "_place", [Running("_last", "max", F.col("_from"))], ["fold"])
+    return merged.where(F.col("_place.kind") == 1).select(key, "fold", "y_true", F.col("_last.label").alias("y_pred"))
+
+
 # --- regression baselines ---------------------------------------------------------------------------
 
 

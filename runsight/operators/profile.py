@@ -159,14 +159,11 @@ def detect_date_columns(df: DataFrame, columns: list[str] | None = None) -> list
     columns = [c for c in (columns or df.columns) if c in df.columns]
     typed = {c for c in columns if isinstance(df.schema[c].dataType, DATES)}
     texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    samples = None
-    for c in texts:
-        one = df.where(_name(c).isNotNull()).select(F.lit(c).alias("c"), _name(c).alias("v")).limit(DATE_SAMPLE)
-        samples = one if samples is None else samples.unionByName(one)
-    parsed = set()
-    if samples is not None:
-        rates = samples.groupBy("c").agg(F.avg(parse_date(F.col("v")).isNotNull().cast("int")).alias("rate"))
-        parsed = {r["c"] for r in rates.where(F.col("rate") > DATE_SHARE).collect()}
+    # Taking a few rows reads as many partitions as that needs, mostly one.
+    samples = [(c, r[0]) for c in texts for r in df.select(_name(c)).where(_name(c).isNotNull()).take(DATE_SAMPLE)]
+    rates = df.sparkSession.createDataFrame(samples, "c string, v string").groupBy("c")
+    share = rates.agg(F.avg(parse_date(F.col("v")).isNotNull().cast("int")).alias("share")) if samples else None
+    parsed = {r["c"] for r in share.where(F.col("share") > DATE_SHARE).collect()} if samples else set()
     return [c for c in columns if c in typed or c in parsed]
 
 
@@ -305,5 +302,5 @@ def data_summary(df: DataFrame, target: str) -> DataFrame:
 
 def _rounded(stats: DataFrame, column: str) -> Column:
     if isinstance(stats.schema[column].dataType, T.DoubleType):
-        return fixed(F.col(column), 6)
+        return fixed(F.col(column), 4)
     return F.col(column).cast("string")

@@ -206,32 +206,43 @@ def decide(attempts: DataFrame, direction: str = "maximize", max_retries: int =
 
     Attempts: run_id, experiment_id, status ('ok', 'crash', 'timeout'), error, metric_value and
     optionally ``passes_gate`` (see ``baselines.baseline_gate``) and ``seed`` (best draft metric
-    of the run). Adds best_before, improved, out_of_memory_count, action ('keep', 'revert', 'retry',
-    'stop') and gated (an improvement turned down by the gate). Rows after a stop are dropped.
+    of the run). Gives run_id, experiment_id, status, metric_value, best_before, improved,
+    out_of_memory_count, action ('keep', 'revert', 'retry', 'stop') and gated (an improvement turned
+    down by the gate). Rows after a stop are dropped. Error texts are read once and not carried along.
 
     Only rows that pass the gate can become the best, and a row that passes but does not improve
     cannot raise it, so the running best of passing rows is the best the loop held.
     The out-of-memory counter restarts at each improvement, also one the gate then turns down.
     """
     how = "max" if check_direction(direction) == "maximize" else "min"
-    ran = ~F.col("status").isin("crash", "timeout") & is_finite(F.col("metric_value"))
     gate = F.col("passes_gate") if "passes_gate" in attempts.columns else F.lit(True)
-    eligible = F.when(ran & gate, F.col("metric_value").cast("double"))
-    best = running(attempts, [RUN], ORDER, [Running("best_before", how, eligible, before=True)])
-    if "seed" in attempts.columns:
-        best = best.withColumn("best_before", (F.greatest if how == "max" else F.least)("best_before", F.col("seed").cast("double")))
+    seed = F.col("seed").cast("double") if "seed" in attempts.columns else F.lit(None).cast("double")
+    ran = ~F.col("status").isin("crash", "timeout") & is_finite(F.col("metric_value"))
+    narrow = attempts.select(
+        RUN,
+        ORDER,
+        "status",
+        F.col("metric_value").cast("double").alias("metric_value"),
+        F.coalesce(ran, F.lit(False)).alias("_ran"),
+        gate.alias("_gate"),
+        seed.alias("_seed"),
+        F.coalesce(is_out_of_memory(F.col("status"), F.col("error")), F.lit(False)).alias("_oom"),
+    )
+    eligible = F.when(F.col("_ran") & F.col("_gate"), F.col("metric_value"))
+    best = running(narrow, [RUN], ORDER, [Running("best_before", how, eligible, before=True)])
+    best = best.withColumn("best_before", (F.greatest if how == "max" else F.least)("best_before", "_seed"))
     improves = F.col("best_before").isNull() | better(F.col("metric_value"), F.col("best_before"), direction)
-    best = materialize(best.withColumn("improved", F.coalesce(ran & improves, F.lit(False))))
+    best = materialize(best.withColumn("improved", F.coalesce(F.col("_ran") & improves, F.lit(False))).drop("_ran", "_seed"))
 
-    oom = is_out_of_memory(F.col("status"), F.col("error"))
-    counted = since_reset(best, [RUN], ORDER, "out_of_memory_count", oom.cast("int"), F.col("improved"))
+    counted = since_reset(best, [RUN], ORDER, "out_of_memory_count", F.col("_oom").cast("int"), F.col("improved"))
     action = (
-        F.when(oom & (F.col("out_of_memory_count") > max_retries), "stop")
-        .when(oom, "retry")
-        .when(F.col("improved") & gate, "keep")
+        F.when(F.col("_oom") & (F.col("out_of_memory_count") > max_retries), "stop")
+        .when(F.col("_oom"), "retry")
+        .when(F.col("improved") & F.col("_gate"), "keep")
         .otherwise("revert")
     )
-    acted = materialize(counted.select("*", action.alias("action"), (F.col("improved") & ~gate).alias("gated")))
+    gated = F.col("improved") & ~F.col("_gate")
+    acted = materialize(counted.select("*", action.alias("action"), gated.alias("gated")).drop("_oom", "_gate"))
     stopped = F.when(F.col("action") == "stop", F.lit(1)).otherwise(F.lit(0))
     marked = running(acted, [RUN], ORDER, [Running("_stopped", "sum", stopped, before=True)])
     return marked.where(F.col("_stopped") == 0).drop("_stopped")

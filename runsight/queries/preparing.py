@@ -101,12 +101,11 @@ def format_conversations(spark: SparkSession, d: str) -> DataFrame:
     return chat.format_conversations(table(spark, d, "conversations"))
 
 
-@query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1""")
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, {_CHAT} AS text FROM pairs")
 def format_messages(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations")
-    # a conversation has eight turns at most in these tables; longer ones go through format_conversations
-    messages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
-    return chat.format_messages(messages).select("conv_id", "text")
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    pairs = _pairs(spark, d).withColumn("messages", F.array(message("user", "instruction"), message("assistant", "output")))
+    return chat.format_messages(pairs).select("conv_id", "turn", "text")
 
 
 @query(f"""WITH {_PAIRS}, k AS (SELECT *, conv_id * 1000 + turn AS id FROM pairs)

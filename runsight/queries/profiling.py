@@ -90,15 +90,13 @@ UNION ALL SELECT 'feature', column_name, CASE WHEN column_type IN ('INTEGER', 'B
 @query(
     _SUMMARY.format(t="o_totalprice")
     + """ UNION ALL SELECT 'target', 'type', 'continuous'
-UNION ALL SELECT 'target', 'mean', printf('%.1f', avg(o_totalprice)) FROM orders
-UNION ALL SELECT 'target', 'std', printf('%.1f', stddev_samp(o_totalprice)) FROM orders
-UNION ALL SELECT 'target', 'min', printf('%.1f', min(o_totalprice)) FROM orders
-UNION ALL SELECT 'target', 'max', printf('%.1f', max(o_totalprice)) FROM orders"""
+UNION ALL SELECT 'target', 'mean', printf('%.4f', avg(o_totalprice)) FROM orders
+UNION ALL SELECT 'target', 'std', printf('%.4f', stddev_samp(o_totalprice)) FROM orders
+UNION ALL SELECT 'target', 'min', printf('%.4f', min(o_totalprice)) FROM orders
+UNION ALL SELECT 'target', 'max', printf('%.4f', max(o_totalprice)) FROM orders"""
 )
 def data_summary_continuous(spark: SparkSession, d: str) -> DataFrame:
-    out = profile.data_summary(table(spark, d, "orders"), "o_totalprice")
-    number = F.format_string("%.1f", F.try_to_number("value", F.lit("S999999999999.999999")).cast("double"))
-    return out.withColumn("value", F.when(F.col("key").isin("mean", "std", "min", "max"), number).otherwise(F.col("value")))
+    return profile.data_summary(table(spark, d, "orders"), "o_totalprice")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,10 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    Used where a result is read more than once and must be the same each time, also
-    after executors were lost.
+    Used where a result is read more than once and must be the same each time, also after executors were
+    lost. Later reads take only the columns they need, and know the table's size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

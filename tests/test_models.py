@@ -67,7 +67,7 @@ def test_drafts_record_families_that_fail(spark, table):
 def test_linear_machine_of_many_classes(spark, table):
     many = table.withColumn("y", (F.col("id") % 3).cast("int")).drop("x")
     train, test = models.train_test(many, "id", "y")
-    _, predictions = models.retrain_and_predict(train, test, "id", models.linear_svm(classes=3, rows=240, iterations=5))
+    _, predictions = models.retrain_and_predict(train.coalesce(1), test, "id", models.linear_svm(classes=3, rows=240, iterations=3))
     assert predictions.where("y_true = y_pred").count() == 60
 
 
