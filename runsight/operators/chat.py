@@ -67,12 +67,9 @@ def split_counts(formatted: DataFrame) -> DataFrame:
 # --- tokens ------------------------------------------------------------------------------------------
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
-
-
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = df.select(F.explode(F.split(F.lower(F.col(text)), WORD)).alias("token")).where(F.col("token") != "")
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocab_size(df: DataFrame, text: str = "text") -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runsight.session import materialize
+
 PREFIX_DIGITS = 4  # 65,536 prefixes
 
 
@@ -34,23 +36,25 @@ def rank_cuts(
     ranks, and may use columns that ``extra`` gives per group. Rank 0 has no row.
     """
     by = list(by)
-    keyed = hashed.select(*by, "_h", F.substring("_h", 1, PREFIX_DIGITS).alias("_p"))
-    counts = keyed.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    spans = counts.select(*by, "_p", F.sum("_n").over(upto).alias("_hi"), "_n", F.sum("_n").over(group).alias("_total"))
+    group = by or ["_all"]
+    keyed = hashed.select(*(by or [F.lit(0).alias("_all")]), "_h", F.substring("_h", 1, PREFIX_DIGITS).alias("_p"))
+    counts = keyed.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    spans = counts.select(*group, "_p", "_n", F.sum("_n").over(upto).alias("_hi"))
+    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     if extra is not None:
-        spans = spans.join(extra, by)
+        totals = totals.join(extra, by)
+    asked = totals.select(*group, F.posexplode(ranks(F.col("_total"))).alias("cut", "_rank"))
     low = F.col("_hi") - F.col("_n")
     wanted = (
-        spans.select(*by, "_p", low.alias("_lo"), "_hi", F.posexplode(ranks(F.col("_total"))).alias("cut", "_rank"))
-        .where((F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi")))
-        .select(*by, "_p", "cut", (F.col("_rank") - F.col("_lo")).alias("_at"))
+        spans.join(asked, group)
+        .where((F.col("_rank") > low) & (F.col("_rank") <= F.col("_hi")))
+        .select(*group, "_p", "cut", (F.col("_rank") - low).alias("_at"))
     )
-    prefixes = wanted.select(*by, "_p").distinct()
-    inside = keyed.join(prefixes, [*by, "_p"], "left_semi")
-    ranked = inside.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h")).cast("long"))
-    return ranked.join(wanted, [*by, "_p", "_at"]).select(*by, "cut", F.col("_h").alias("cut_hash"))
+    wanted = materialize(wanted)  # as many rows as cuts
+    inside = keyed.join(wanted.select(*group, "_p").distinct(), [*group, "_p"], "left_semi")
+    ranked = inside.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_h")).cast("long"))
+    return ranked.join(wanted, [*group, "_p", "_at"]).select(*by, "cut", F.col("_h").alias("cut_hash"))
 
 
 def cut_hashes(df: DataFrame, key: str, seed: int, ranks: Callable[[Column], Column]) -> dict[int, str]:

@@ -25,6 +25,7 @@ from runsight.operators.runlog import (
     log_summary,
 )
 from runsight.session import shared_dir
+from runsight.sources.tables import or_empty
 
 
 def follow(spark: SparkSession, path: str, schema: T.StructType, source: str = "json", files_per_batch: int = 1000, **options) -> DataFrame:
@@ -35,20 +36,21 @@ def follow(spark: SparkSession, path: str, schema: T.StructType, source: str = "
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Process all there is now and return the result as a table in the shared folder.
 
-    'append' keeps every emitted row, 'complete' the latest state of the whole result.
+    'append' keeps every emitted row, 'complete' the latest state of the whole result. Each batch has its own
+    folder, so one that is run again after a failure replaces itself.
     """
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    write = "append" if mode == "append" else "overwrite"
+    target = (lambda batch: f"{folder}/rows/batch={batch}") if mode == "append" else (lambda _: f"{folder}/rows")
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/progress")
-        .foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{folder}/rows"))
+        .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(target(batch)))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return or_empty(spark, stream.schema, lambda: spark.read.schema(stream.schema).parquet(f"{folder}/rows")).select(*stream.columns)
 
 
 def live_best(log: DataFrame, direction: str = "maximize", by: Sequence[str] = ("run_id",)) -> DataFrame:
