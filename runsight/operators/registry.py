@@ -22,8 +22,8 @@ class Domain:
     steps: dict[str, Step] = field(default_factory=dict)
     custom_metrics: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
 
-    def step(self, function: Step) -> Step:
-        self.steps[function.__name__] = function
+    def step(self, function: Step, name: str | None = None) -> Step:
+        self.steps[name or function.__name__] = function
         return function
 
     def metric(self, name: str, direction: str, aggregate: Callable[[Column, Column], Column]) -> None:

@@ -115,7 +115,10 @@ def keep_count(log: DataFrame) -> DataFrame:
 
 
 def recommendation(log: DataFrame, direction: str = "maximize") -> DataFrame:
-    summary = log_summary(log, direction)
+    return _advice(log_summary(log, direction))
+
+
+def _advice(summary: DataFrame) -> DataFrame:
     commit = F.when(F.col("best_commit").isNull() | (F.col("best_commit") == ""), "unknown").otherwise(F.col("best_commit"))
     return summary.select(
         RUN,
@@ -261,9 +264,11 @@ def retry_limit(attempts: DataFrame, direction: str = "maximize", max_retries: i
 
 
 def consecutive_reverts(log: DataFrame) -> DataFrame:
-    """Length of the revert streak each row stands in."""
+    """Length of the revert streak each row stands in: (run_id, experiment_id, consecutive_reverts)."""
     revert = F.col("status").contains("revert")
-    return since_reset(log, [RUN], ORDER, "consecutive_reverts", revert.cast("int"), ~revert)
+    narrow = log.select(RUN, ORDER, F.coalesce(revert, F.lit(False)).alias("_revert"))
+    counted = since_reset(narrow, [RUN], ORDER, "consecutive_reverts", F.col("_revert").cast("int"), ~F.col("_revert"))
+    return counted.drop("_revert")
 
 
 def max_revert_streak(log: DataFrame) -> DataFrame:
@@ -365,7 +370,7 @@ def retrospective(log: DataFrame, costs: DataFrame, metric: str = "metric", dire
 
     The kept list stays one row per line, so a run with very many keeps is never gathered.
     """
-    head = log_summary(log, direction).join(costs, RUN, "left")
+    head = materialize(log_summary(log, direction).join(costs, RUN, "left"))  # one row per run, used three times
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
     facts = [
         ("Total Experiments", text("total_experiments")),
@@ -399,5 +404,5 @@ def retrospective(log: DataFrame, costs: DataFrame, metric: str = "metric", dire
             F.format_string("...and %d more", F.col("reverts") - LISTED_REVERTS),
         ),
     )
-    advice = recommendation(log, direction).select(RUN, *line("recommendation", F.lit(0).cast("long"), F.col("recommendation")))
+    advice = _advice(head).select(RUN, *line("recommendation", F.lit(0).cast("long"), F.col("recommendation")))
     return summary.unionByName(keeps).unionByName(listed).unionByName(more).unionByName(advice)

@@ -17,7 +17,7 @@ from runsight.session import materialize
 
 CHUNK = "_chunk"
 RANGE = "_range"
-CHUNK_ROWS = 65_536
+CHUNK_BITS = 20  # a chunk holds at most 2**20 rows of a key
 SMALL_ROWS = 200_000
 
 
@@ -50,9 +50,9 @@ class Running:
         return (F.greatest if self.how == "max" else F.least)(local, carry)
 
 
-def by_width(order: str, rows: int = CHUNK_ROWS) -> Column:
-    """Chunk of a whole-number order column that is unique within its key."""
-    return F.floor(F.col(order) / F.lit(rows)).cast("long")
+def by_width(order: str, bits: int = CHUNK_BITS) -> Column:
+    """Chunk of a whole-number order column that is unique within its key: its upper bits."""
+    return F.shiftright(F.col(order).cast("long"), bits)
 
 
 def running(
@@ -65,7 +65,7 @@ def running(
     """Add running aggregates per ``keys`` in ``order``.
 
     ``order`` must be unique within a key and ``keys`` not null. Without ``chunk`` the
-    order column must be a whole number, so that a chunk holds at most ``CHUNK_ROWS`` rows.
+    order column must be a whole number; its upper bits number the chunks.
     """
     keys = list(keys)
     parts = [*keys, CHUNK]
@@ -104,13 +104,16 @@ def since_reset(
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows after the latest row where ``reset`` holds.
 
-    The resetting row itself counts 0, so ``value = is a revert`` and ``reset = is not`` gives the
+    Rows without a key or a place in the order belong to no sequence and are left out. The resetting row itself counts 0, so ``value = is a revert`` and ``reset = is not`` gives the
     length of the current revert streak. ``total`` also keeps the plain running sum.
     """
     keys = list(keys)
     parts = [*keys, CHUNK]
     columns = [c for c in df.columns if c not in (CHUNK, name, total)]
-    base = _chunked(df, order, chunk).select(
+    placed = _chunked(df, order, chunk)
+    for column in parts:
+        placed = placed.where(F.col(column).isNotNull())
+    base = placed.select(
         *columns, CHUNK, F.coalesce(value.cast("long"), F.lit(0)).alias("_v"), F.coalesce(reset, F.lit(False)).alias("_reset")
     )
     inside = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -126,7 +129,8 @@ def since_reset(
     running_sum = F.col("_before") + F.col("_sum")
     base_sum = F.coalesce(F.col("_before") + F.col("_mark"), F.col("_base"), F.lit(0))
     extra = [running_sum.alias(total)] if total else []
-    return local.join(carry, parts, "left").select(*columns, (running_sum - base_sum).alias(name), *extra)
+    # Both sides of the join read the same rows and columns where ``df`` is narrow: they are then shuffled once.
+    return local.join(carry, parts).select(*columns, (running_sum - base_sum).alias(name), *extra)
 
 
 def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:

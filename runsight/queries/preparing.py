@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.operators import baselines, chat, forecast, models, prep
+from runsight.operators.registry import Domain
 from runsight.queries import query, r, table
 from runsight.queries.inputs import WITH_GAPS, with_gaps
 
@@ -79,6 +80,16 @@ def preprocessor(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {WITH_GAPS}, {_FILLED}, s AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS s FROM f)
+SELECT p_partkey, round((p_size - a) / s, 6) AS p_size FROM f, s""")
+def domain_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps registered for a domain, run in order."""
+    domain = Domain("parts")
+    domain.step(lambda df: prep.impute_median(df, ["p_size", "p_retailprice"]), "impute")
+    domain.step(lambda df: prep.standardize(df, ["p_size"]), "scale")
+    return domain.run(with_gaps(spark, d)).select("p_partkey", r("p_size").alias("p_size"))
+
+
 # --- chat and tokens ---------------------------------------------------------------------------------------
 
 _PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS instruction, a.text AS output FROM conversations u JOIN conversations a
@@ -121,6 +132,18 @@ def dataset_counts(spark: SparkSession, d: str) -> DataFrame:
     return chat.split_counts(chat.format_dataset(keyed, "id"))
 
 
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, {_CHAT} AS text FROM pairs")
+def apply_chat_template(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a template function that is loaded once per worker."""
+
+    def load():
+        return lambda messages: "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in messages)
+
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    pairs = _pairs(spark, d).withColumn("messages", F.array(message("user", "instruction"), message("assistant", "output")))
+    return chat.apply_chat_template(pairs, load).select("conv_id", "turn", "text")
+
+
 _WORDS = r"SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents"
 
 

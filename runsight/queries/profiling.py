@@ -210,3 +210,30 @@ def untried_families(spark: SparkSession, d: str) -> DataFrame:
     # at most five families per run
     tried = table(spark, d, "events").where(F.col("value") > 100).groupBy("user_id").agg(F.collect_set(family).alias("tried_families"))
     return catalog.untried(tried.withColumn("domain", F.lit("tabular"))).select("user_id", "next_family")
+
+
+@query("""SELECT 'good' AS name, CASE WHEN count(o_totalprice) > 0 AND count(*) > 0 THEN 'ok' END AS verdict FROM orders
+UNION ALL SELECT 'no target', 'no target column' UNION ALL SELECT 'no rows', 'the dataset has no rows'
+UNION ALL SELECT 'no values', 'every value of target' UNION ALL SELECT 'no feature', 'no feature column besides the target'
+UNION ALL SELECT 'empty features', 'every value of every feature is missing'""")
+def validate_input(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on the orders and on spoiled forms of them."""
+    orders = table(spark, d, "orders").select("o_totalprice", "o_orderstatus")
+    none = F.lit(None).cast("double")
+    cases = {
+        "good": (orders, "o_totalprice"),
+        "no target": (orders, "gone"),
+        "no rows": (orders.where("o_totalprice < 0"), "o_totalprice"),
+        "no values": (orders.withColumn("o_totalprice", none), "o_totalprice"),
+        "no feature": (orders.select("o_totalprice"), "o_totalprice"),
+        "empty features": (orders.withColumn("o_orderstatus", none), "o_totalprice"),
+    }
+    verdicts = []
+    for name, (df, target) in cases.items():
+        try:
+            profile.validate_input(df, target)
+            verdicts.append((name, "ok"))
+        except ValueError as error:
+            text = str(error)
+            verdicts.append((name, next((t for t in ("no target column", "every value of target") if text.startswith(t)), text)))
+    return spark.createDataFrame(verdicts, "name string, verdict string")
