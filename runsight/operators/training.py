@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsight.plans.running import Running, running, since_reset
+from runsight.plans.running import Running, hot_keys, running, since_reset
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
@@ -29,10 +29,11 @@ def _number(column: str) -> Column:
 
 def early_stop(epochs: DataFrame, patience: int = STOP_PATIENCE) -> DataFrame:
     """Epoch log (run_id, epoch, val_loss, val_accuracy): when patience ran out, and the best epoch until then."""
-    seen = materialize(running(epochs, [RUN], "epoch", [Running("_low", "min", _number("val_loss"), before=True)]))
+    hot = hot_keys(epochs, [RUN])
+    seen = materialize(running(epochs, [RUN], "epoch", [Running("_low", "min", _number("val_loss"), before=True)], hot=hot))
     loss = _number("val_loss")
     improved = F.coalesce(loss < F.coalesce(F.col("_low"), F.lit(float("inf"))), F.lit(False))
-    waits = materialize(since_reset(seen.withColumn("_new", improved), [RUN], "epoch", "waited", F.lit(1), F.col("_new")))
+    waits = materialize(since_reset(seen.withColumn("_new", improved), [RUN], "epoch", "waited", F.lit(1), F.col("_new"), hot=hot))
     stops = waits.where(F.col("waited") >= patience).groupBy(RUN).agg(F.min("epoch").alias("stopped_at"))
     bests = waits.where("_new").join(broadcast_if_small(stops), RUN, "left")
     until = bests.where(F.col("stopped_at").isNull() | (F.col("epoch") < F.col("stopped_at")))

@@ -1,8 +1,9 @@
 """Running aggregates that survive a hot key.
 
-A plain ``Window.partitionBy(run)`` sends a whole run to one task. Here each key is cut
-into chunks of its order column: one window runs per (key, chunk), and a much smaller
-table of chunk totals, itself windowed per key, carries in what came before the chunk.
+A plain ``Window.partitionBy(run)`` sends a whole run to one task. That is right for most runs, so keys are
+counted first (one column, combined before the shuffle). Keys above ``HOT_ROWS`` are cut into chunks of their order
+column: the window runs per (key, chunk), and a small table of their chunk totals, itself windowed per key, carries
+in what came before the chunk. Without hot keys the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
 CHUNK = "_chunk"
 RANGE = "_range"
 CHUNK_BITS = 20  # a chunk holds at most 2**20 rows of a key
+HOT_ROWS = 1 << CHUNK_BITS
 SMALL_ROWS = 200_000
 
 
@@ -55,41 +58,57 @@ def by_width(order: str, bits: int = CHUNK_BITS) -> Column:
     return F.shiftright(F.col(order).cast("long"), bits)
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more than ``HOT_ROWS`` rows, None if there are none. At most one key per ``HOT_ROWS`` rows of the table."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.where(F.col("_n") > HOT_ROWS).select(*keys, F.lit(True).alias("_hot")))
+    return None if hot.isEmpty() else hot
+
+
+def _chunked(df: DataFrame, keys: list[str], order: str, chunk: Column | None, hot: DataFrame | None | str) -> tuple[DataFrame, bool]:
+    """``df`` with its chunk number, and whether any key has more than one chunk."""
+    if chunk is not None:
+        return df.withColumn(CHUNK, chunk), True
+    if isinstance(hot, str):
+        hot = hot_keys(df, keys)
+    if hot is None:
+        return df.withColumn(CHUNK, F.lit(0).cast("long")), False
+    flagged = df.join(broadcast_if_small(hot, stored=True), keys, "left")
+    return flagged.withColumn(CHUNK, F.when(F.col("_hot"), by_width(order) + 1).otherwise(F.lit(0).cast("long"))).drop("_hot"), True
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     measures: Sequence[Running],
     chunk: Column | None = None,
+    hot: DataFrame | None | str = "count",
 ) -> DataFrame:
-    """Add running aggregates per ``keys`` in ``order``.
+    """Add running aggregates per ``keys`` in ``order``, which must be unique within a key.
 
-    ``order`` must be unique within a key and ``keys`` not null. Without ``chunk`` the
-    order column must be a whole number; its upper bits number the chunks.
+    Without ``chunk`` the order column must be a whole number. ``hot`` takes the answer of ``hot_keys`` where
+    several calls share it.
     """
     keys = list(keys)
-    parts = [*keys, CHUNK]
-    columns = [c for c in df.columns if c != CHUNK]
-    inputs = [m.input().alias(f"_in_{m.name}") for m in measures]
-    base = _chunked(df, order, chunk).select("*", *inputs)
+    columns = [c for c in df.columns if c not in {m.name for m in measures}]
+    placed, split = _chunked(df, keys, order, chunk, hot)
+    parts = [*keys, CHUNK] if split else keys
+    base = placed.select("*", *[m.input().alias(f"_in_{m.name}") for m in measures])
+    inside = Window.partitionBy(*parts).orderBy(order)
+    frames = {b: inside.rowsBetween(Window.unboundedPreceding, -1 if b else 0) for b in (True, False)}
+    locals_ = {m.name: m.over(F.col(f"_in_{m.name}")).over(frames[m.before]) for m in measures}
+    if not split:
+        return base.select(*columns, *[m.combine(locals_[m.name], F.lit(None)).alias(m.name) for m in measures])
 
-    totals = base.groupBy(*parts).agg(*[m.over(F.col(f"_in_{m.name}")).alias(f"_in_{m.name}") for m in measures])
+    chunks = base if chunk is not None else base.where(F.col(CHUNK) != 0)
+    totals = chunks.groupBy(*parts).agg(*[m.over(F.col(f"_in_{m.name}")).alias(f"_in_{m.name}") for m in measures])
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*parts, *[m.over(F.col(f"_in_{m.name}")).over(earlier).alias(f"_carry_{m.name}") for m in measures])
-
-    inside = Window.partitionBy(*parts).orderBy(order)
-    frames = {True: inside.rowsBetween(Window.unboundedPreceding, -1), False: inside.rowsBetween(Window.unboundedPreceding, 0)}
-    local = base.select(
-        *columns, CHUNK, *[m.over(F.col(f"_in_{m.name}")).over(frames[m.before]).alias(f"_local_{m.name}") for m in measures]
+    local = base.select(*columns, CHUNK, *[c.alias(f"_local_{name}") for name, c in locals_.items()])
+    return local.join(broadcast_if_small(carry), parts, "left").select(
+        *columns, *[m.combine(F.col(f"_local_{m.name}"), F.col(f"_carry_{m.name}")).alias(m.name) for m in measures]
     )
-    kept = [c for c in columns if c not in {m.name for m in measures}]
-    return local.join(carry, parts, "left").select(
-        *kept, *[m.combine(F.col(f"_local_{m.name}"), F.col(f"_carry_{m.name}")).alias(m.name) for m in measures]
-    )
-
-
-def _chunked(df: DataFrame, order: str, chunk: Column | None) -> DataFrame:
-    return df.withColumn(CHUNK, by_width(order) if chunk is None else chunk)
 
 
 def since_reset(
@@ -100,37 +119,39 @@ def since_reset(
     value: Column,
     reset: Column,
     total: str | None = None,
-    chunk: Column | None = None,
+    hot: DataFrame | None | str = "count",
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows after the latest row where ``reset`` holds.
 
-    Rows without a key or a place in the order belong to no sequence and are left out. The resetting row itself counts 0, so ``value = is a revert`` and ``reset = is not`` gives the
-    length of the current revert streak. ``total`` also keeps the plain running sum.
+    The resetting row itself counts 0, so ``value = is a revert`` and ``reset = is not`` gives the length of the
+    current revert streak. ``total`` also keeps the plain running sum.
     """
     keys = list(keys)
-    parts = [*keys, CHUNK]
-    columns = [c for c in df.columns if c not in (CHUNK, name, total)]
-    placed = _chunked(df, order, chunk)
-    for column in parts:
-        placed = placed.where(F.col(column).isNotNull())
+    columns = [c for c in df.columns if c not in (name, total)]
+    placed, split = _chunked(df, keys, order, None, hot)
+    parts = [*keys, CHUNK] if split else keys
     base = placed.select(
         *columns, CHUNK, F.coalesce(value.cast("long"), F.lit(0)).alias("_v"), F.coalesce(reset, F.lit(False)).alias("_reset")
     )
     inside = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumn("_sum", F.sum("_v").over(inside)).withColumn(
+    # The sum never falls, so its value at the latest reset is the largest one seen at a reset.
+    marked = lambda rows: rows.withColumn("_sum", F.sum("_v").over(inside)).withColumn(
         "_mark", F.max(F.when(F.col("_reset"), F.col("_sum"))).over(inside)
     )
-    # The sum never falls, so its value at the latest reset is the largest one seen at a reset.
-    totals = local.groupBy(*parts).agg(F.max("_sum").alias("_sum"), F.max("_mark").alias("_mark"))
+    if not split:
+        extra = [F.col("_sum").alias(total)] if total else []
+        return marked(base).select(*columns, (F.col("_sum") - F.coalesce("_mark", F.lit(0))).alias(name), *extra)
+
+    totals = marked(base.where(F.col(CHUNK) != 0)).groupBy(*parts).agg(F.max("_sum").alias("_sum"), F.max("_mark").alias("_mark"))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).select(
         *parts, "_before", F.max(F.col("_before") + F.col("_mark")).over(earlier).alias("_base")
     )
-    running_sum = F.col("_before") + F.col("_sum")
-    base_sum = F.coalesce(F.col("_before") + F.col("_mark"), F.col("_base"), F.lit(0))
+    running_sum = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_sum")
+    base_sum = F.coalesce(F.coalesce(F.col("_before"), F.lit(0)) + F.col("_mark"), F.col("_base"), F.lit(0))
     extra = [running_sum.alias(total)] if total else []
-    # Both sides of the join read the same rows and columns where ``df`` is narrow: they are then shuffled once.
-    return local.join(carry, parts).select(*columns, (running_sum - base_sum).alias(name), *extra)
+    joined = marked(base).join(broadcast_if_small(carry), parts, "left")
+    return joined.select(*columns, (running_sum - base_sum).alias(name), *extra)
 
 
 def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:

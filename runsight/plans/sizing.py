@@ -10,11 +10,11 @@ from runsight.session import materialize
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialize a dimension, count it, and mark it for broadcast only up to ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, stored: bool = False) -> DataFrame:
+    """Write a dimension out, count it, and mark it for broadcast only up to ``max_rows``.
 
-    Beyond that the plain frame is returned and the join shuffles, with adaptive
-    execution splitting skewed partitions.
+    Beyond that the plain frame is returned and the join shuffles, with adaptive execution splitting skewed
+    partitions. ``stored`` says that ``df`` is such a table already.
     """
-    stored = materialize(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    table = df if stored else materialize(df)
+    return F.broadcast(table) if table.count() <= max_rows else table

@@ -19,6 +19,7 @@ def small_chunks(monkeypatch):
     from runsight.plans import running
 
     monkeypatch.setattr(running, "by_width", lambda order: F.shiftright(F.col(order), 2))
+    monkeypatch.setattr(running, "HOT_ROWS", 10)
     monkeypatch.setattr(running, "SMALL_ROWS", 0)
 
 
