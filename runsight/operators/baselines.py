@@ -15,14 +15,13 @@ from runsight.operators.profile import class_count
 from runsight.plans.hashorder import unit_draw
 from runsight.plans.quantile import exact_medians
 from runsight.plans.running import Running, running_global
-from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
 # Share of the random-guess loss that the second loss baseline stands for.
 UNIFORM_SHARE = 0.95
 UNTRAINED_SHARE = 0.8
 VOCABULARY = 32_000
-MANY_CLASSES = 1_000
+MANY_COUNTS = 5_000  # folds times classes that are looked up in arrays
 BASELINE = "name string, score double, std double"
 
 
@@ -56,20 +55,19 @@ def beats_all(flags: DataFrame) -> DataFrame:
 # --- class baselines --------------------------------------------------------------------------------
 
 
-def _fold_class_counts(folded: DataFrame, label: str, fold: str, k: int) -> DataFrame:
-    """(fold, label, in_fold, in_train) for every fold and class."""
+def fold_class_counts(folded: DataFrame, label: str, fold: str = "fold", k: int = FOLDS) -> DataFrame:
+    """(fold, label, in_fold, in_train) for every fold and class, written out: the baselines read it several times."""
     counts = materialize(
         folded.where(F.col(label).isNotNull()).groupBy(F.col(fold).alias("fold"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     )
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("per_fold"))
     every = totals.select("label", "total", "per_fold", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("fold"))
     inside = F.coalesce(F.try_element_at("per_fold", F.col("fold")), F.lit(0).cast("long"))
-    return every.select("fold", "label", inside.alias("in_fold"), (F.col("total") - inside).alias("in_train"))
+    return materialize(every.select("fold", "label", inside.alias("in_fold"), (F.col("total") - inside).alias("in_train")))
 
 
-def most_frequent_scores(folded: DataFrame, label: str, metric: str, fold: str = "fold", k: int = FOLDS) -> DataFrame:
-    """(fold, score) of predicting the commonest training class, the smallest of equals."""
-    counts = _fold_class_counts(folded, label, fold, k)
+def most_frequent_scores(counts: DataFrame, metric: str) -> DataFrame:
+    """(fold, score) of predicting the commonest training class, the smallest of equals. Counts: see ``fold_class_counts``."""
     mode = counts.groupBy("fold").agg(F.min(F.struct(-F.col("in_train"), F.col("label"))).alias("m"))
     # k rows, one per fold
     predicted = counts.join(F.broadcast(mode.select("fold", F.col("m.label").alias("y_pred"))), "fold")
@@ -77,9 +75,8 @@ def most_frequent_scores(folded: DataFrame, label: str, metric: str, fold: str =
     return score_counts(pairs, metric, ["fold"])
 
 
-def expected_accuracy(folded: DataFrame, label: str, fold: str = "fold", k: int = FOLDS, strategy: str = "stratified") -> DataFrame:
+def expected_accuracy(counts: DataFrame, strategy: str = "stratified") -> DataFrame:
     """(fold, score): accuracy a random guess reaches on average, by training frequencies or uniformly."""
-    counts = _fold_class_counts(folded, label, fold, k)
     fold_window = Window.partitionBy("fold")  # one row per class
     test = F.col("in_fold") / F.sum("in_fold").over(fold_window)
     train = F.col("in_train") / F.sum("in_train").over(fold_window)
@@ -87,18 +84,26 @@ def expected_accuracy(folded: DataFrame, label: str, fold: str = "fold", k: int
     return counts.select("fold", (guess * test).alias("s")).groupBy("fold").agg(F.sum("s").alias("score"))
 
 
-def drawn_predictions(folded: DataFrame, key: str, label: str, fold: str = "fold", k: int = FOLDS, strategy: str = "stratified", seed: int = SEED, many: bool | None = None) -> DataFrame:
+def drawn_predictions(
+    folded: DataFrame,
+    counts: DataFrame,
+    key: str,
+    label: str,
+    fold: str = "fold",
+    strategy: str = "stratified",
+    seed: int = SEED,
+    many: bool | None = None,
+) -> DataFrame:
     """Random class per row, repeatable: (key, fold, y_true, y_pred).
 
     The draw is a hash of the key, looked up in the training shares of the classes ('stratified') or in
     equal shares ('uniform'). ``many`` chooses the way for very many classes; by default they are counted.
     """
-    counts = materialize(_fold_class_counts(folded, label, fold, k))
     weight = F.col("in_train") if strategy == "stratified" else F.lit(1).cast("long")
     weighted = counts.select("fold", "label", weight.alias("weight"))
     rows = folded.select(F.col(key), F.col(fold).alias("fold"), F.col(label).alias("y_true"), unit_draw(key, seed).alias("_u"))
     rows = rows.where(F.col("y_true").isNotNull())
-    few = counts.count() <= MANY_CLASSES * k if many is None else not many
+    few = counts.count() <= MANY_COUNTS if many is None else not many
     return (_drawn_by_lookup if few else _drawn_by_order)(rows, weighted, key)
 
 
@@ -162,7 +167,7 @@ def compute_baselines(df: DataFrame, key: str, target: str, task: str, metric: s
     """
     narrow = df.select(key, target)
     if task == "regression":
-        folded = kfold(narrow, key, k, seed)
+        folded = kfold(narrow, key, k, seed)  # a projection, cheaper to repeat than to store
         scores = {
             "mean": constant_scores(folded, target, mean_constants(folded, target), metric),
             "median": constant_scores(folded, target, median_constants(folded, target, k=k), metric),
@@ -173,11 +178,12 @@ def compute_baselines(df: DataFrame, key: str, target: str, task: str, metric: s
             return baseline_loss_classes(df, target)
         if vision:
             k = min(k, class_count(df, target).first()["n_classes"])
-        folded = stratified_kfold(narrow, key, target, k, seed)
+        folded = materialize(stratified_kfold(narrow, key, target, k, seed))
         strategy = "uniform" if vision else "stratified"
-        drawn = drawn_predictions(folded, key, target, k=k, strategy=strategy, seed=seed)
+        counts = fold_class_counts(folded, target, k=k)
+        drawn = drawn_predictions(folded, counts, key, target, strategy=strategy, seed=seed)
         scores = {
-            "most_frequent": most_frequent_scores(folded, target, metric, k=k),
+            "most_frequent": most_frequent_scores(counts, metric),
             "random" if vision else "stratified": score_counts(confusion_counts(drawn, ["fold"]), metric, ["fold"]),
         }
     return _table(scores)

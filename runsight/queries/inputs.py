@@ -90,8 +90,7 @@ def price_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Order prices predicted by the mean of the order's priority, 100 too high."""
     orders = table(spark, d, "orders")
     means = orders.groupBy("o_orderpriority").agg((F.round(F.avg("o_totalprice"), 0) + 100).alias("y_pred"))
-    # at most five priorities
-    return orders.join(F.broadcast(means), "o_orderpriority").select(
+    return orders.join(means, "o_orderpriority").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("y_true"), "y_pred", "o_orderpriority"
     )
 

@@ -334,7 +334,7 @@ a AS (SELECT fold, count(*) FILTER (hit) / count(*) AS share FROM p GROUP BY 1)
 SELECT 'most_frequent' AS name, round(avg(share * 2 * share / (1 + share)), 6) AS score, round(stddev_pop(share * 2 * share / (1 + share)), 6) AS std FROM a""")
 def baseline_most_frequent_f1(spark: SparkSession, d: str) -> DataFrame:
     folded = prep.stratified_kfold(_orders(spark, d), "o_orderkey", "o_orderstatus")
-    scores = metrics.over_folds(baselines.most_frequent_scores(folded, "o_orderstatus", "f1_weighted"))
+    scores = metrics.over_folds(baselines.most_frequent_scores(baselines.fold_class_counts(folded, "o_orderstatus"), "f1_weighted"))
     return _rounded(scores.withColumn("name", F.lit("most_frequent")))
 
 
@@ -344,13 +344,13 @@ _EXPECTED = "t AS (SELECT fold, {guess} * in_fold / sum(in_fold) OVER (PARTITION
 @query(f"WITH {_ORDER_STRATA}, {_EXPECTED.format(guess='in_train / sum(in_train) OVER (PARTITION BY fold)')}")
 def baseline_stratified_expected(spark: SparkSession, d: str) -> DataFrame:
     folded = prep.stratified_kfold(_orders(spark, d), "o_orderkey", "o_orderstatus")
-    return baselines.expected_accuracy(folded, "o_orderstatus").withColumn("score", r("score"))
+    return baselines.expected_accuracy(baselines.fold_class_counts(folded, "o_orderstatus")).withColumn("score", r("score"))
 
 
 @query(f"WITH {_ORDER_STRATA}, {_EXPECTED.format(guess='1.0 / count(*) OVER (PARTITION BY fold)')}")
 def baseline_uniform_expected(spark: SparkSession, d: str) -> DataFrame:
     folded = prep.stratified_kfold(_orders(spark, d), "o_orderkey", "o_orderstatus")
-    return baselines.expected_accuracy(folded, "o_orderstatus", strategy="uniform").withColumn("score", r("score"))
+    return baselines.expected_accuracy(baselines.fold_class_counts(folded, "o_orderstatus"), "uniform").withColumn("score", r("score"))
 
 
 @query(f"""WITH {strata_sql('embeddings', 'vec_id', 'label')}, {_CLASS_COUNTS.format(label='label')},

@@ -31,9 +31,9 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees, from ``spark.checkpoint.dir``.
+    """This application's folder below ``spark.checkpoint.dir``, which every executor sees.
 
-    A folder of our own is made only where the setting is absent and Spark runs in local mode.
+    It can be removed when the application has ended. A folder of our own is made only where the setting is absent and Spark runs in local mode.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -41,9 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="runsight-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    return f"{folder}/{context.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

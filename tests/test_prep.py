@@ -147,13 +147,14 @@ def test_loss_baselines(spark):
 def test_drawn_predictions_follow_the_training_shares(spark, small_chunks):
     df = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("y"))
     folded = prep.stratified_kfold(df, "id", "y")
-    drawn = baselines.drawn_predictions(folded, "id", "y")
+    counts = baselines.fold_class_counts(folded, "y")
+    drawn = baselines.drawn_predictions(folded, counts, "id", "y")
     share = drawn.groupBy("fold").agg(F.avg((F.col("y_pred") == "a").cast("int")).alias("s")).collect()
     assert len(share) == 5 and all(abs(r["s"] - 0.25) < 0.06 for r in share)
     for strategy in ("stratified", "uniform"):
-        few, many = (rows(baselines.drawn_predictions(folded, "id", "y", strategy=strategy, many=m)) for m in (False, True))
+        few, many = (rows(baselines.drawn_predictions(folded, counts, "id", "y", strategy=strategy, many=m)) for m in (False, True))
         assert few == many
-    uniform = baselines.drawn_predictions(folded, "id", "y", strategy="uniform").agg(F.avg((F.col("y_pred") == "a").cast("int"))).first()[0]
+    uniform = baselines.drawn_predictions(folded, counts, "id", "y", strategy="uniform").agg(F.avg((F.col("y_pred") == "a").cast("int"))).first()[0]
     assert abs(uniform - 0.5) < 0.04
 
 
