@@ -69,10 +69,16 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
 
 
-def _below(folder: str) -> Column:
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _below(spark: SparkSession, folder: str) -> Column:
     """Path elements below ``folder``."""
-    name = PurePosixPath(folder).name
-    return F.split(F.substring_index(F.col("path"), f"/{name}/", -1), "/")
+    system, path = _file_system(spark, folder)
+    start = len(system.makeQualified(path).toString()) + 2
+    return F.split(F.substring("path", start, 2_147_483_647), "/")
 
 
 def image_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +89,7 @@ def image_index(spark: SparkSession, folder: str) -> DataFrame:
 def load_image_folder(spark: SparkSession, folder: str, val_split: float = 0.2, seed: int = SEED) -> DataFrame:
     """Image index with ``is_val``: by the train and val folders if both exist, else a seeded split."""
     files = image_index(spark, folder)
-    top = F.get(_below(folder), F.lit(0))
+    top = F.get(_below(spark, folder), F.lit(0))
     both = files.agg(F.bool_or(top == "train").alias("t"), F.bool_or(top == "val").alias("v")).first()
     if both["t"] and both["v"]:
         return files.where(top.isin("train", "val")).withColumn("is_val", top == "val")
@@ -92,8 +98,7 @@ def load_image_folder(spark: SparkSession, folder: str, val_split: float = 0.2,
 
 def class_folders(spark: SparkSession, folder: str) -> list[str]:
     """Sorted names of the folders directly inside a folder, empty ones too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system, path = _file_system(spark, folder)
     return sorted(s.getPath().getName() for s in system.listStatus(path) if s.isDirectory())
 
 
@@ -106,7 +111,7 @@ def load_labels(spark: SparkSession, path: str) -> DataFrame | None:
         names = class_folders(spark, path) if not suffix(path) else []
         if names:
             ids = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-            parts = _below(path)
+            parts = _below(spark, path)
             direct = _files(spark, path).where(F.size(parts) == 2)
             return direct.select("path", F.try_element_at(ids, F.get(parts, F.lit(0))).alias("label"))
         table = load_table(spark, path)
@@ -119,6 +124,6 @@ def load_labels(spark: SparkSession, path: str) -> DataFrame | None:
 
 def dir_usage(spark: SparkSession, base: str) -> DataFrame:
     """Megabytes per folder directly below ``base``."""
-    parts = _below(base)
+    parts = _below(spark, base)
     sized = _files(spark, base).where(F.size(parts) > 1)
     return sized.groupBy(F.get(parts, F.lit(0)).alias("directory")).agg((F.sum("length") / 1048576).alias("size_mb"))

@@ -67,7 +67,7 @@ def test_labels_count_empty_folders(spark, tmp_path):
 
 
 def test_folder_sizes(spark, tmp_path):
-    _images(tmp_path / "u", ["a/1", "a/deep/2", "b/1"])
+    _images(tmp_path / "u", ["a/1", "a/u/2", "b/1"])
     assert rows(tables.dir_usage(spark, str(tmp_path / "u"))) == [("a", 20 / 1048576), ("b", 10 / 1048576)]
 
 
