@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import rules
+from runsight.llm import pii, rules
 from runsight.queries import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query()
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.quality_rules(table(spark, d, "documents"))
+
+
+@query()
+def op4_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, d, "documents")))
