@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import pii, rules
-from runsight.queries import table
+from runsight.llm import packing, pii, rules, wavelet
+from runsight.queries import scratch, table
+from runsight.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +26,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query()
+def op1_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
+@query()
+def op2_wavelet(spark: SparkSession, d: str) -> DataFrame:
+    shards = wavelet.write_shards(table(spark, d, "documents"), scratch(spark), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return wavelet.read_shards(materialize(shards))
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.quality_rules(table(spark, d, "documents"))
