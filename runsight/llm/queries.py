@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import packing, pii, rules, wavelet
+from runsight.llm import packing, pii, rules, warc, wavelet
 from runsight.queries import scratch, table
 from runsight.session import materialize
 
@@ -37,6 +37,26 @@ def op2_wavelet(spark: SparkSession, d: str) -> DataFrame:
     return wavelet.read_shards(materialize(shards))
 
 
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS original FROM p),
+     bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000' || bin(instr('0123456789abcdef', substr(hex, i::INT, 1)) - 1), -4)), '') AS b FROM d)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (1 + list_sum(list_transform(range(1, 6), lambda j: substr(b, (5 * k + j)::INT, 1)::INT * (1 << (5 - j)::INT))))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM bits
+"""
+
+
+@query(OP3)
+def op3_warc(spark: SparkSession, d: str) -> DataFrame:
+    written = warc.write_archives(table(spark, d, "pages"), scratch(spark))
+    files = written.count()
+    return warc.page_rows(warc.records(written.select("path").repartition(max(1, min(files, 20_000)), "path")).drop("payload"))
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.quality_rules(table(spark, d, "documents"))
