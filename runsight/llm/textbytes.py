@@ -66,6 +66,14 @@ class Words:
     def __len__(self) -> int:
         return len(self.rows) - 1
 
+    def part(self, i: int) -> Words:
+        """The words of the i-th text alone; byte places stay those of the block."""
+        one = object.__new__(Words)
+        own = slice(self.rows[i], self.rows[i + 1])
+        one.data, one.bytes, one.hash, one.start, one.end = self.data, self.bytes[i : i + 2], self.hash[own], self.start[own], self.end[own]
+        one.rows = np.array([0, len(one.hash)])
+        return one
+
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and the borders of the texts; a text with fewer words, but some, has one shingle of all its words."""
         sizes = np.diff(self.rows)
