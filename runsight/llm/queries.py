@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import decontam, packing, pii, rules, warc, wavelet
+from runsight.llm import decontam, neardup, packing, pii, rules, warc, wavelet
 from runsight.queries import scratch, table
 from runsight.session import materialize
 
@@ -57,6 +57,11 @@ def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.page_rows(warc.records(written.select("path").repartition(max(1, min(files, 20_000)), "path")).drop("payload"))
 
 
+@query()
+def op5_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
+
+
 @query()
 def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
