@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import decontam, neardup, packing, pii, rules, warc, wavelet
-from runsight.queries import scratch, table
+from runsight.llm import decontam, lmscore, neardup, packing, pii, rules, warc, wavelet
+from runsight.queries import r, scratch, table
 from runsight.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,25 @@ def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op4_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, d, "documents")))
+
+
+OP10 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     x AS (SELECT doc_id, len(w) AS n_words, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+     g AS (SELECT doc_id, n_words, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3 FROM x),
+     c AS (SELECT doc_id, n_words, i, sum(n_words / n_words) OVER () - n_words AS others,
+                  count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS c1,
+                  CASE WHEN g2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) END AS c2,
+                  CASE WHEN g3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) END AS c3 FROM g),
+     p AS (SELECT *, lag(c1) OVER o AS b1, lag(c2) OVER o AS b2, least(i, 3) AS most FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+     s AS (SELECT doc_id, most, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS used,
+                  CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN ln(c2 / b1) WHEN c1 > 0 THEN ln(c1 / others) ELSE -ln(others + 1) END AS l FROM p)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(l + (most - used) * ln(0.4)), 0), 4) AS log_score,
+       coalesce(sum((used < most)::INT), 0)::BIGINT AS n_backed_off, coalesce(sum((used = 0)::INT), 0)::BIGINT AS n_unseen
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, len(w)
+"""
+
+
+@query(OP10)
+def op10_lm_scores(spark: SparkSession, d: str) -> DataFrame:
+    return lmscore.lm_scores(table(spark, d, "documents")).withColumn("log_score", r("log_score", 4))

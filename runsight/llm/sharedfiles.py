@@ -24,3 +24,12 @@ def get(uri: str) -> bytes:
     system, path = fs.FileSystem.from_uri(uri)
     with system.open_input_stream(path) as source:
         return source.read()
+
+
+def place(folder: str, name: str, data: bytes) -> str:
+    """Write a file under a fixed name: whole under another name first, then moved, so that a reader sees all of it and repeated attempts end alike."""
+    uri = put(folder, name, data)
+    system, path = fs.FileSystem.from_uri(uri)
+    target = f"{folder.rstrip('/')}/{name}"
+    system.move(path, fs.FileSystem.from_uri(target)[1])
+    return target
