@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import decontam, langid, lmscore, neardup, packing, pii, rules, warc, wavelet
+from runsight.llm import decontam, langid, lmscore, neardup, packing, pii, quality, rules, warc, wavelet
 from runsight.queries import r, scratch, table
 from runsight.session import materialize
 
@@ -62,6 +62,11 @@ def op5_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
 
 
+@query()
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query()
 def op7_language(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(table(spark, d, "documents"))
