@@ -233,3 +233,13 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     network, languages = fit(docs, folds, held)
     found = predict(docs.select("doc_id", "text"), network, languages)
     return found.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def accepted(docs: DataFrame, reject_below: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
+    """``docs`` without the rows that have no letter and without those in which no language reaches ``reject_below`` (four languages have 0.25 by chance). If
+    no language could be learned, all rows with a letter stay."""
+    network, languages = fit(docs, folds, held)
+    if network is None:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    found = predict(docs, network, languages)
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= reject_below)).select(*docs.columns)

@@ -254,3 +254,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, region: int
         placed = placed.withColumn("component_id", F.coalesce("node", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id; all columns stay.
+
+    Of rows that share a kept doc_id one stays. Rows without a doc_id or without words stay. Texts are not shuffled unless the removed ids are too many
+    to be sent to every task.
+    """
+    found = materialize(near_duplicates(docs, n, percent).select("doc_id", "kept"))
+    gone = materialize(found.where("NOT kept").select("doc_id").distinct())
+    left = docs.join(broadcast_if_small(gone, stored=True), "doc_id", "left_anti")
+    again = materialize(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
