@@ -21,7 +21,6 @@ from runsight.session import materialize
 UNIFORM_SHARE = 0.95
 UNTRAINED_SHARE = 0.8
 VOCABULARY = 32_000
-MANY_COUNTS = 5_000  # folds times classes that are looked up in arrays
 BASELINE = "name string, score double, std double"
 
 
@@ -92,34 +91,21 @@ def drawn_predictions(
     fold: str = "fold",
     strategy: str = "stratified",
     seed: int = SEED,
-    many: bool | None = None,
 ) -> DataFrame:
     """Random class per row, repeatable: (key, fold, y_true, y_pred).
 
     The draw is a hash of the key, looked up in the training shares of the classes ('stratified') or in
-    equal shares ('uniform'). ``many`` chooses the way for very many classes; by default they are counted.
+    equal shares ('uniform').
     """
     weight = F.col("in_train") if strategy == "stratified" else F.lit(1).cast("long")
     weighted = counts.select("fold", "label", weight.alias("weight"))
     rows = folded.select(F.col(key), F.col(fold).alias("fold"), F.col(label).alias("y_true"), unit_draw(key, seed).alias("_u"))
     rows = rows.where(F.col("y_true").isNotNull())
-    few = counts.count() <= MANY_COUNTS if many is None else not many
-    return (_drawn_by_lookup if few else _drawn_by_order)(rows, weighted, key)
-
-
-def _drawn_by_lookup(rows: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
-    """Each fold's classes as one array of shares, sent along with the rows (k rows, classes counted before)."""
-    classes = weighted.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("label", "weight"))).alias("c"))
-    upto = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["weight"])
-    ends = F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: upto(F.slice("c", F.lit(1), i)) / upto(F.col("c")))
-    shares = classes.select("fold", F.transform("c", lambda x: x["label"]).alias("_labels"), ends.alias("_ends"))
-    drawn = rows.join(F.broadcast(materialize(shares)), "fold")
-    at = F.least(F.size(F.filter("_ends", lambda e: e <= F.col("_u"))) + 1, F.size("_labels"))
-    return drawn.select(key, "fold", "y_true", F.element_at("_labels", at).alias("y_pred"))
+    return _drawn_by_order(rows, weighted, key)
 
 
 def _drawn_by_order(rows: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
-    """The same for any number of classes: classes and rows are merged in order of their place in [0, 1), and each
+    """For any number of classes: classes and rows are merged in order of their place in [0, 1), and each
     row takes the class that started last before it."""
     started = running_global(weighted, "label", [Running("_start", "sum", F.col("weight"), before=True)], ["fold"])
     totals = weighted.groupBy("fold").agg(F.sum("weight").alias("_total"))  # one row per fold

@@ -43,6 +43,8 @@ TASK_NAMES = [
 ]
 # Metric a domain falls back to when the configured one is not valid there.
 DEFAULT_METRICS = [("finetuning", "loss", "minimize")]
+# Model a domain starts from where none is named.
+DEFAULT_MODELS = [("finetuning", "meta-llama/Llama-3.2-1B")]
 # Model families per domain in the order they are tried.
 FAMILIES = {
     "tabular": ["linear", "random_forest", "xgboost", "lightgbm", "svm"],
@@ -101,14 +103,16 @@ def validate_metric(configs: DataFrame) -> DataFrame:
 
 
 def map_task(configs: DataFrame) -> DataFrame:
-    """Domain names of generic tasks, and the domain's default metric where the configured one is invalid."""
+    """Domain names of generic tasks, the domain's default metric where the configured one is invalid, and its default model where none is named."""
     names = _constant_map([(f"{d}/{t}", n) for d, t, n in TASK_NAMES])
     fallback = _constant_map([(d, m) for d, m, _ in DEFAULT_METRICS])
     fallback_direction = _constant_map([(d, x) for d, _, x in DEFAULT_METRICS])
     valid = F.array_contains(F.array(*[F.lit(f"{d}/{m}") for d, m, _ in METRICS]), F.concat_ws("/", "domain", "metric"))
     replaced = F.when(~F.coalesce(valid, F.lit(False)), F.try_element_at(fallback, F.col("domain")))
+    named = F.when(F.col("model_name") != "", F.col("model_name")) if "model_name" in configs.columns else F.lit(None).cast("string")
     return configs.withColumns(
         {
+            "model_name": F.coalesce(named, F.try_element_at(_constant_map(DEFAULT_MODELS), F.col("domain"))),
             "task": F.coalesce(F.try_element_at(names, F.concat_ws("/", "domain", "task")), F.col("task")),
             "metric": F.coalesce(replaced, F.col("metric")),
             "direction": F.when(replaced.isNotNull(), F.try_element_at(fallback_direction, F.col("domain"))).otherwise(F.col("direction")),

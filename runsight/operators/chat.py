@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.functions.rouge import rouge
@@ -14,9 +14,7 @@ from runsight.operators.prep import SEED, split_train_eval
 
 TURN = "<|im_start|>%s\n%s<|im_end|>\n"  # default template of one message: role, content
 WORD = r"[^\p{L}\p{N}]+"  # tokens are runs of letters and digits
-TURNS_PER_PART = 4_096
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
-MAX_VOCABULARY = 1_000_000
 
 
 def render(role: Column, content: Column, template: str = TURN) -> Column:
@@ -35,13 +33,14 @@ def format_messages(df: DataFrame, messages: str = "messages", template: str = T
     return df.withColumn("text", F.array_join(F.transform(messages, lambda m: render(m["role"], m["content"], template)), ""))
 
 
-def format_conversations(turns: DataFrame, template: str = TURN, part_turns: int = TURNS_PER_PART) -> DataFrame:
+def format_conversations(turns: DataFrame, template: str = TURN, part_turns: int | None = None) -> DataFrame:
     """Turns (conv_id, turn, role, text) to texts in turn order: (conv_id, part, n_turns, text).
 
-    A text holds at most ``part_turns`` turns; a longer conversation goes on in part 1, 2, and so on, so none is
-    ever gathered whole in one task.
+    A conversation is one text, whatever its length, unless ``part_turns`` asks for parts: then a longer one goes on in
+    part 1, 2, and so on.
     """
-    rendered = turns.select("conv_id", "turn", F.floor(F.col("turn") / part_turns).alias("part"), render(F.col("role"), F.col("text"), template).alias("t"))
+    part = F.floor(F.col("turn") / part_turns) if part_turns else F.lit(0).cast("long")
+    rendered = turns.select("conv_id", "turn", part.alias("part"), render(F.col("role"), F.col("text"), template).alias("t"))
     grouped = rendered.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("turns"))
     return grouped.select("conv_id", "part", F.size("turns").alias("n_turns"), F.array_join(F.transform("turns", lambda x: x["t"]), "").alias("text"))
 
@@ -79,19 +78,15 @@ def vocab_size(df: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str = "text", size: int = 32_000) -> DataFrame:
     """The ``size`` most frequent tokens with ids from 2 on; 0 pads and 1 stands for the rest."""
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary is sent to every worker and may hold {MAX_VOCABULARY} tokens at most")
-    top = token_counts(df, text).orderBy(F.desc("n"), "token").limit(size)
-    tokens = [r["token"] for r in top.collect()]
-    return df.sparkSession.createDataFrame(
-        pd.DataFrame({"token": tokens, "id": range(FIRST_ID, FIRST_ID + len(tokens))}), "token string, id int"
-    )
+    order = (F.desc("n"), "token")
+    top = token_counts(df, text).orderBy(*order).limit(size)
+    # The window holds no more than the wanted tokens.
+    return top.select("token", (F.row_number().over(Window.orderBy(*order)) + FIRST_ID - 1).alias("id"))
 
 
 def word_tokenizer(df_vocabulary: DataFrame) -> Callable[[], Callable[[str], list[int]]]:
     """Loader of a word-level tokenizer over a vocabulary table, for ``tokenize_truncate``."""
 
-
     ids = {r["token"]: r["id"] for r in df_vocabulary.collect()}
     sent = df_vocabulary.sparkSession.sparkContext.broadcast(ids)
 

@@ -8,6 +8,8 @@ import random
 import time
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -230,7 +232,7 @@ def draft_phase(
     for i, (name, build) in enumerate(families.items()):
         try:
             rows.append(("draft", i, name, float(cross_validated(folded, build(), metric, [key], k)), "draft-keep", f"draft-{name}"))
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, PySparkException, Py4JError):  # solvers report through Spark or the JVM
             rows.append(("draft", i, name, None, "draft-discard", ""))
     folded.unpersist()
     schema = "run_id string, position long, name string, metric_value double, status string, commit_hash string"

@@ -106,14 +106,14 @@ def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFram
 
 
 def temporal_split(df: DataFrame, date: str, test_size: float = 0.2) -> DataFrame:
-    """Add ``is_test`` for the latest rows: at least ceil(n x test_size) of them, never splitting one point in time."""
+    """Add ``is_test`` for the latest rows: at least ceil(n x test_size) of them, never splitting one point in time. Rows without a date are training rows."""
     per_date = materialize(df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_n")))
     total = per_date.agg(F.sum("_n").alias("n")).first()["n"] or 0
     later = running_global(per_date, date, [Running("_upto", "sum", F.col("_n"))])
     wanted = F.ceil(F.lit(total) * F.lit(test_size))
     # The cut is the latest date with enough rows on it and after it.
     cut = later.where(F.lit(total) - F.col("_upto") + F.col("_n") >= wanted).agg(F.max(date).alias("cut")).first()["cut"]
-    return df.withColumn("is_test", F.col(date) >= F.lit(cut))
+    return df.withColumn("is_test", F.coalesce(F.col(date) >= F.lit(cut), F.lit(False)))
 
 
 # --- labels --------------------------------------------------------------------------------------

@@ -22,7 +22,6 @@ CONTINUOUS_ABOVE = 10
 DATE_SAMPLE = 20
 DATE_SHARE = 0.8
 LEAKAGE_CORRELATION = 0.99
-MAP_CLASSES = 1_000  # a class map is put into one row only up to here; `value_counts` has them all
 WIDE = 200  # columns per aggregate, to stay inside generated-code limits
 
 NUMERIC = (T.NumericType, T.BooleanType)
@@ -234,10 +233,11 @@ def profile_dataset(df: DataFrame, target: str) -> DataFrame:
     _check(clean, target, facts)
     kinds = feature_types(df, target)
     numeric_target = isinstance(df.schema[target].dataType, NUMERIC)
-    n_classes, distribution = None, None
+    n_classes, counts = None, None
     many = numeric_target and distinct_up_to(clean, target, REGRESSION_ABOVE + 1) > REGRESSION_ABOVE
     if not many:
-        n_classes, distribution = _classes(clean, target)
+        counts = materialize(value_counts(clean, target))
+        n_classes = counts.count()
     task = detect_task(numeric_target, REGRESSION_ABOVE + 1 if many else n_classes)
     metric, direction = select_metric(task, REGRESSION_ABOVE + 1 if many else n_classes)
     regression = task == "regression"
@@ -257,18 +257,18 @@ def profile_dataset(df: DataFrame, target: str) -> DataFrame:
             "mean": facts["mean"] if regression else None,
             "std": facts["std"] if regression else None,
             "n_classes": None if regression else n_classes,
-            "distribution": None if regression else distribution,
+            "distribution": None,
         },
         "missing_pct": 100.0 * (cells - sum(facts["counts"].values())) / cells,
     }
-    return df.sparkSession.createDataFrame([row], PROFILE_SCHEMA)
-
-
-def _classes(df: DataFrame, target: str) -> tuple[int, dict | None]:
-    """Class count, and the distribution where it is small enough for one row."""
-    counts = materialize(value_counts(df, target))
-    n = counts.count()
-    return n, {str(r["value"]): r["n"] for r in counts.collect()} if n <= MAP_CLASSES else None
+    profile = df.sparkSession.createDataFrame([row], PROFILE_SCHEMA)
+    if regression or counts is None:
+        return profile
+    # All classes are one cell of the profile, put together by Spark; `value_counts` and `data_summary` have them as rows.
+    pair = F.struct(F.col("value").cast("string"), F.col("n"))
+    classes = counts.agg(F.map_from_entries(F.collect_list(pair)).alias("_classes"))
+    filled = F.col("target_stats").withField("distribution", F.col("_classes"))
+    return profile.join(classes, F.lit(True)).withColumn("target_stats", filled).drop("_classes")
 
 
 def data_summary(df: DataFrame, target: str) -> DataFrame:

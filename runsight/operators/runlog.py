@@ -252,6 +252,15 @@ def decide(attempts: DataFrame, direction: str = "maximize", max_retries: int =
     return marked.where(F.col("_stopped") == 0).drop("_stopped")
 
 
+def results_per_window(log: DataFrame, width: str) -> DataFrame:
+    """(started, status, n, runs, best): experiments of all runs per time window and status."""
+    window = F.window("timestamp", width)
+    counted = log.groupBy(window.alias("w"), "status").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(RUN).alias("runs"), F.max(F.when(is_finite(F.col("metric_value")), F.col("metric_value"))).alias("best")
+    )
+    return counted.select(F.col("w.start").alias("started"), "status", "n", "runs", "best")
+
+
 def classify_outcome(attempts: DataFrame, direction: str = "maximize") -> DataFrame:
     """Action of the loop for every attempt before the gate has its say."""
     without_gate = attempts.drop("passes_gate") if "passes_gate" in attempts.columns else attempts

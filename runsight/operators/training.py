@@ -28,21 +28,24 @@ def _number(column: str) -> Column:
 
 
 def early_stop(epochs: DataFrame, patience: int = STOP_PATIENCE) -> DataFrame:
-    """Epoch log (run_id, epoch, val_loss, val_accuracy): when patience ran out, and the best epoch until then."""
+    """Epoch log (run_id, epoch, val_loss, val_accuracy): when patience ran out, and the best epoch until then.
+
+    A missing loss is no improvement. A run without any loss has no best epoch, but it stops like the others.
+    """
     hot = hot_keys(epochs, [RUN])
     seen = materialize(running(epochs, [RUN], "epoch", [Running("_low", "min", _number("val_loss"), before=True)], hot=hot))
     loss = _number("val_loss")
     improved = F.coalesce(loss < F.coalesce(F.col("_low"), F.lit(float("inf"))), F.lit(False))
     waits = materialize(since_reset(seen.withColumn("_new", improved), [RUN], "epoch", "waited", F.lit(1), F.col("_new"), hot=hot))
-    stops = waits.where(F.col("waited") >= patience).groupBy(RUN).agg(F.min("epoch").alias("stopped_at"))
-    bests = waits.where("_new").join(broadcast_if_small(stops), RUN, "left")
+    stops = materialize(waits.groupBy(RUN).agg(F.min(F.when(F.col("waited") >= patience, F.col("epoch"))).alias("stopped_at")))
+    bests = waits.where("_new").join(broadcast_if_small(stops, stored=True), RUN)
     until = bests.where(F.col("stopped_at").isNull() | (F.col("epoch") < F.col("stopped_at")))
-    return until.groupBy(RUN).agg(
-        F.max("stopped_at").alias("stopped_at"),
+    best = until.groupBy(RUN).agg(
         F.max("epoch").alias("best_epoch"),
         F.max_by("val_loss", "epoch").alias("best_val_loss"),
         F.max_by("val_accuracy", "epoch").alias("best_accuracy"),
     )
+    return stops.join(best, RUN, "left").select(RUN, "stopped_at", "best_epoch", "best_val_loss", "best_accuracy")
 
 
 def epoch_averages(batches: DataFrame) -> DataFrame:

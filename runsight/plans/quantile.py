@@ -5,27 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
 BRACKET_ROWS = 1_000_000
 LEAST_ACCURACY, MOST_ACCURACY = 1_000, 100_000
 
 
 def exact_medians(
-    df: DataFrame, columns: dict[str, Column], accuracy: int | None = None, small: int = SMALL_ROWS
+    df: DataFrame, columns: dict[str, Column], accuracy: int | None = None
 ) -> dict[str, float | None]:
     """Median of each expression, averaging the two middle values of an even count.
 
     A first pass brackets the middle with an approximate quantile. The second keeps only the values inside
     the bracket, about ``5 n / accuracy`` rows, and ranks them exactly. The bracket is checked against the
-    counts; one that misses is opened fully and ranked again. A table of at most ``small`` rows goes through
-    Spark's own median, which holds all values in one buffer.
+    counts; one that misses is opened fully and ranked again.
     """
     names = list(columns)
     values = df.select(*[F.nanvl(columns[n].cast("double"), F.lit(None)).alias(f"v{i}") for i, n in enumerate(names)])
     total = df.count()
-    if total <= small:
-        row = values.agg(*[F.median(f"v{i}").alias(f"m{i}") for i in range(len(names))]).first()
-        return {n: row[f"m{i}"] for i, n in enumerate(names)}
     accuracy = accuracy or min(MOST_ACCURACY, max(LEAST_ACCURACY, 5 * total // BRACKET_ROWS))
     margin = 2.0 / accuracy
     first = values.agg(

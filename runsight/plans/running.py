@@ -21,7 +21,7 @@ CHUNK = "_chunk"
 RANGE = "_range"
 CHUNK_BITS = 20  # a chunk holds at most 2**20 rows of a key
 HOT_ROWS = 1 << CHUNK_BITS
-SMALL_ROWS = 200_000
+CHUNK_ROWS = 1 << CHUNK_BITS
 
 
 @dataclass(frozen=True)
@@ -154,33 +154,33 @@ def since_reset(
     return joined.select(*columns, (running_sum - base_sum).alias(name), *extra)
 
 
-def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[str], partitions: int) -> DataFrame:
     """Add ``_range`` by range partitioning, for order columns that are not whole numbers.
 
     The partition number depends on sampled bounds, so the result is written once and read
     back: every later use sees the same chunks.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartitionByRange(n, *order).withColumn(RANGE, F.spark_partition_id().cast("long")))
+    return materialize(df.repartitionByRange(partitions, *order).withColumn(RANGE, F.spark_partition_id().cast("long")))
 
 
 def running_global(
-    df: DataFrame, order: str, measures: Sequence[Running], keys: Sequence[str] = (), small: int | None = None
+    df: DataFrame, order: str, measures: Sequence[Running], keys: Sequence[str] = (), chunk_rows: int | None = None
 ) -> DataFrame:
     """Running aggregates over a whole table (or per key) in the order of any sortable column.
 
-    The input is written and counted first: up to ``small`` rows (``SMALL_ROWS``) one plain window does, beyond
-    that the table is cut into ranges.
+    The input is written and counted first, and cut into ranges of about ``chunk_rows`` rows (``CHUNK_ROWS``), so that their number
+    grows with the table. What fits one range has nothing to carry and is a plain window.
     """
     keys = list(keys)
     stored = materialize(df)
-    if stored.count() <= (SMALL_ROWS if small is None else small):
+    ranges = -(-stored.count() // (CHUNK_ROWS if chunk_rows is None else chunk_rows))
+    if ranges <= 1:
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
         frames = {b: window.rowsBetween(Window.unboundedPreceding, -1 if b else 0) for b in (True, False)}
         empty = F.lit(None)
         kept = [c for c in df.columns if c not in {m.name for m in measures}]
         return stored.select(*kept, *[m.combine(m.over(m.input()).over(frames[m.before]), empty).alias(m.name) for m in measures])
-    chunked = range_chunks(stored, [*keys, order])
+    chunked = range_chunks(stored, [*keys, order], ranges)
     if not keys:
         chunked = chunked.withColumn("_all", F.lit(0))
     return running(chunked, keys or ["_all"], order, measures, F.col(RANGE)).drop("_all", RANGE)

@@ -28,7 +28,7 @@ def load_table_csv(spark: SparkSession, d: str) -> DataFrame:
 def load_records_csv(spark: SparkSession, d: str) -> DataFrame:
     path = f"{scratch(spark)}.csv"
     table(spark, d, "conversations").write.csv(path, header=True, escape='"', quoteAll=True)
-    return tables.load_records(spark, path)
+    return tables.load_records(spark, path, line_breaks=True)
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -55,7 +55,7 @@ def load_text_table(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
     labelled = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     labelled.write.csv(path, header=True, escape='"', quoteAll=True)
-    return tables.load_text_table(spark, path, "text", "quality")
+    return tables.load_text_table(spark, path, "text", "quality", line_breaks=True)
 
 
 @query("SELECT conv_id, CAST(count(*) AS INT) AS n FROM conversations GROUP BY 1")
@@ -228,3 +228,15 @@ def diagnose_written_predictions(spark: SparkSession, d: str) -> DataFrame:
     logs.write_predictions(status_predictions(spark, d), path)
     back = logs.read_predictions(spark, path, spark.createDataFrame([], "row_id long, y_true string, y_pred string").schema)
     return diagnostics.per_class_accuracy(back).withColumn("accuracy", r("accuracy"))
+
+
+@query("SELECT count(*) AS n, 'cannot read records from .txt; allowed: .json, .jsonl, .csv' AS error FROM conversations")
+def unsupported_suffix(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch(spark)}.txt"
+    table(spark, d, "conversations").select("text").write.text(path, lineSep="\0")
+    try:
+        error = f"{tables.load_records(spark, path).count()} records"
+    except ValueError as refused:
+        error = str(refused)
+    lines = spark.read.text(path, lineSep="\0").agg(F.count("*").alias("n"))
+    return lines.withColumn("error", F.lit(error))

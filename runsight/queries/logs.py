@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.operators import agents, baselines, runlog, training
+from runsight.plans.running import Running, by_width, running, running_global
 from runsight.queries import query, r, table
 from runsight.queries.inputs import RESULT_LOG, attempts, decided_sql, result_log, value_baselines
 
@@ -364,3 +365,42 @@ def parse_run_envelope(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct(F.col("event_type").alias("stop_reason"), turns.alias("num_turns"), F.col("value").alias("total_cost_usd"), (F.col("value") > 50).alias("is_error")))
     texts = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "{broken").otherwise(body).alias("value"))
     return agents.parse_run_envelope(texts).drop("value", "result")
+
+
+_SOME_CURVES = _CURVES.replace("value AS val_loss", "CASE WHEN user_id % 4 > 0 THEN value END AS val_loss")
+
+
+@query(f"""WITH {_SOME_CURVES}, lo AS (SELECT *, coalesce(val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE), FALSE) AS improved FROM ep),
+isl AS (SELECT *, sum(improved::INT) OVER (PARTITION BY run_id ORDER BY epoch) AS island FROM lo),
+wt AS (SELECT *, sum((NOT improved)::INT) OVER (PARTITION BY run_id, island ORDER BY epoch) AS waited FROM isl),
+st AS (SELECT run_id, min(CASE WHEN waited >= 5 THEN epoch END) AS stopped_at FROM wt GROUP BY 1),
+b AS (SELECT run_id, max(epoch) AS best_epoch, arg_max(val_loss, epoch) AS best_val_loss FROM wt JOIN st USING (run_id) WHERE improved AND (stopped_at IS NULL OR epoch < stopped_at) GROUP BY 1)
+SELECT run_id, stopped_at, best_epoch, best_val_loss FROM st LEFT JOIN b USING (run_id)""")
+def early_stop_without_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Some runs have no loss at all."""
+    curves = _curves(spark, d).withColumn("val_loss", F.when(F.col("run_id") % 4 > 0, F.col("val_loss")))
+    return training.early_stop(curves).select("run_id", "stopped_at", "best_epoch", "best_val_loss")
+
+
+@query(f"""WITH {RESULT_LOG} SELECT run_id % 3 AS run_id, experiment_id, round(sum(cost_usd) OVER w, 4) AS cost, max(metric_value) OVER w AS best,
+  count(*) OVER (PARTITION BY run_id % 3 ORDER BY experiment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+FROM log WINDOW w AS (PARTITION BY run_id % 3 ORDER BY experiment_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_in_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Running values of three long runs, cut into chunks of 64 ids."""
+    log = result_log(spark, d).select((F.col("run_id") % 3).alias("run_id"), "experiment_id", "cost_usd", "metric_value")
+    measures = [Running("cost", "sum", F.col("cost_usd")), Running("best", "max", F.col("metric_value")), Running("earlier", "count", F.lit(True), before=True)]
+    out = running(log, ["run_id"], "experiment_id", measures, by_width("experiment_id", 6))
+    return out.select("run_id", "experiment_id", r("cost", 4).alias("cost"), "best", "earlier")
+
+
+@query("SELECT event_id, count(*) OVER (ORDER BY ts, event_id) AS position, max(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM events")
+def running_in_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Running values of the whole table in ranges of 1,000 rows."""
+    events = table(spark, d, "events").select("event_id", "value", F.struct("ts", "event_id").alias("at"))
+    measures = [Running("position", "count", F.lit(True)), Running("best_before", "max", F.col("value"), before=True)]
+    return running_global(events, "at", measures, chunk_rows=1_000).select("event_id", "position", "best_before")
+
+
+@query(f"WITH {RESULT_LOG} SELECT time_bucket(INTERVAL 1 DAY, ts) AS started, status, count(*) AS n, count(DISTINCT run_id) AS runs, max(metric_value) AS best FROM log GROUP BY 1, 2")
+def results_per_window(spark: SparkSession, d: str) -> DataFrame:
+    return runlog.results_per_window(result_log(spark, d), "1 day")

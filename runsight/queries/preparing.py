@@ -245,3 +245,13 @@ b AS (SELECT *, n // 6 AS b FROM p), t AS (SELECT *, CASE WHEN position > n - 5
 SELECT series_id, period, position, test_fold, CASE WHEN coalesce(test_fold, 0) < 5 THEN coalesce(test_fold, 0) + 1 END AS trains_from FROM t""")
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     return forecast.walk_forward(_quarters(spark, d)).select("series_id", "period", "position", "test_fold", "trains_from")
+
+
+@query("""SELECT event_id % 2 AS conv_id, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INT) AS n_turns,
+  string_agg('<|im_start|>' || event_type || chr(10) || user_id || '<|im_end|>' || chr(10), '' ORDER BY event_id) AS text FROM events GROUP BY 1""")
+def format_long_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Two conversations of thousands of turns."""
+    turns = table(spark, d, "events").select(
+        (F.col("event_id") % 2).alias("conv_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("role"), F.col("user_id").cast("string").alias("text")
+    )
+    return chat.format_conversations(turns)

@@ -237,3 +237,15 @@ def validate_input(spark: SparkSession, d: str) -> DataFrame:
             text = str(error)
             verdicts.append((name, next((t for t in ("no target column", "every value of target") if text.startswith(t)), text)))
     return spark.createDataFrame(verdicts, "name string, verdict string")
+
+
+@query("""SELECT count(DISTINCT c_name) AS n_classes, count(*) AS n_rows,
+  (SELECT string_agg(c_name || '=' || n, ',' ORDER BY c_name) FROM (SELECT c_name, count(*) AS n FROM customer GROUP BY 1)) AS distribution FROM customer""")
+def profile_many_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A target in which every row is a class of its own."""
+    return _flat(profile.profile_dataset(table(spark, d, "customer"), "c_name")).select("n_classes", "n_rows", "distribution")
+
+
+@query(f"""WITH {_CONFIGS} SELECT config_id, CASE WHEN model_name IS NULL AND domain = 'finetuning' THEN 'meta-llama/Llama-3.2-1B' ELSE model_name END AS model_name FROM cfg""")
+def map_task_model_name(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.map_task(_configs(spark, d)).select("config_id", "model_name")

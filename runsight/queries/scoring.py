@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runsight.operators import baselines, catalog, diagnostics, metrics, prep
 from runsight.operators.registry import get, score_batches
+from runsight.plans.quantile import exact_medians
 from runsight.queries import query, r, table
 from runsight.queries.inputs import (
     PRICE_PREDICTIONS,
@@ -410,3 +411,20 @@ def beats_baselines(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT bool_and(25.0 > s) AS beats_all FROM (SELECT avg(value) / 2 AS s FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type)")
 def beats_all(spark: SparkSession, d: str) -> DataFrame:
     return baselines.beats_all(baselines.beats_baselines(value_baselines(spark, d), 25.0))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS day FROM orders),
+c AS (SELECT max(day) AS cut FROM (SELECT day, (SELECT count(*) FROM o AS l WHERE l.day >= x.day) AS later FROM (SELECT DISTINCT day FROM o WHERE day IS NOT NULL) AS x)
+  WHERE later >= ceil((SELECT count(day) FROM o) * 0.2))
+SELECT o_orderkey, coalesce(day >= cut, FALSE) AS is_test FROM o, c""")
+def temporal_split_without_dates(spark: SparkSession, d: str) -> DataFrame:
+    day = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")).alias("day")
+    return prep.temporal_split(table(spark, d, "orders").select("o_orderkey", day), "day").select("o_orderkey", "is_test")
+
+
+@query("SELECT median(l_extendedprice) AS price, median(CASE WHEN l_returnflag = 'R' THEN l_discount END) AS discount, median(l_quantity) AS quantity FROM lineitem")
+def narrow_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Medians by the closest brackets."""
+    columns = {"price": F.col("l_extendedprice"), "discount": F.when(F.col("l_returnflag") == "R", F.col("l_discount")), "quantity": F.col("l_quantity")}
+    found = exact_medians(table(spark, d, "lineitem"), columns, accuracy=10_000)
+    return spark.createDataFrame([tuple(found.values())], "price double, discount double, quantity double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,53 +23,54 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Embedding labels next to the first eight places of the vector."""
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    """Embedding labels next to the 64 places of the vector."""
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 def _binary(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).withColumn("label", (F.col("label") < 5).cast("int"))
 
 
-def _fit(df: DataFrame, key: str, target: str, estimator) -> DataFrame:
+def _fit(df: DataFrame, key: str, target: str, build: Callable[[int], Estimator]) -> DataFrame:
+    """``build`` takes the number of training rows, by which penalties are divided."""
     train, test = models.train_test(df, key, target)
-    _, predictions = models.retrain_and_predict(train, test, key, estimator)
+    _, predictions = models.retrain_and_predict(train, test, key, build(train.count()))
     return predictions.select("row_id", "y_true", r("y_pred").alias("y_pred"))
 
 
 @query()
 def fit_linear_classifier(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_vectors(spark, d), "vec_id", "label", models.linear("classification", 400))
+    return _fit(_vectors(spark, d), "vec_id", "label", lambda n: models.linear("classification", n))
 
 
 @query()
 def fit_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_orders(spark, d), "o_orderkey", "o_totalprice", models.linear("regression", 1000))
+    return _fit(_orders(spark, d), "o_orderkey", "o_totalprice", lambda n: models.linear("regression", n))
 
 
 @query()
 def fit_random_forest(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_vectors(spark, d), "vec_id", "label", models.random_forest("classification", 20, 5))
+    return _fit(_vectors(spark, d), "vec_id", "label", lambda _: models.random_forest("classification", 20, 5))
 
 
 @query()
 def fit_random_forest_regressor(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_orders(spark, d), "o_orderkey", "o_totalprice", models.random_forest("regression", 20, 5))
+    return _fit(_orders(spark, d), "o_orderkey", "o_totalprice", lambda _: models.random_forest("regression", 20, 5))
 
 
 @query()
 def fit_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_orders(spark, d), "o_orderkey", "o_totalprice", models.boosted_trees("regression", rounds=5))
+    return _fit(_orders(spark, d), "o_orderkey", "o_totalprice", lambda _: models.boosted_trees("regression", rounds=5))
 
 
 @query()
 def fit_boosted_classifier(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_binary(spark, d), "vec_id", "label", models.boosted_trees("classification", rounds=5))
+    return _fit(_binary(spark, d), "vec_id", "label", lambda _: models.boosted_trees("classification", rounds=5))
 
 
 @query()
 def fit_linear_svm(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(_binary(spark, d), "vec_id", "label", models.linear_svm(rows=400, iterations=30))
+    return _fit(_binary(spark, d), "vec_id", "label", lambda n: models.linear_svm(rows=n))
 
 
 @query()
@@ -81,11 +85,14 @@ def search_models(spark: SparkSession, d: str) -> DataFrame:
 def draft_phase(spark: SparkSession, d: str) -> DataFrame:
     """One run per family on the vectors; the best draft."""
     train, _ = models.train_test(_binary(spark, d), "vec_id", "label")
+    n = train.count()
     builders = {
-        "linear": lambda: models.linear("classification", 400),
-        "random_forest": lambda: models.random_forest("classification", 10, 4),
-        "svm": lambda: models.linear_svm(rows=400, iterations=20),
+        "linear": lambda: models.linear("classification", n),
+        "random_forest": lambda: models.random_forest("classification", 20, 5),
+        "xgboost": lambda: models.boosted_trees("classification", rounds=5),
+        "lightgbm": lambda: models.boosted_trees("classification", rounds=5, depth=3),
+        "svm": lambda: models.linear_svm(rows=n),
     }
-    families = {name: builders[name] for name in catalog.FAMILIES["tabular"] if name in builders}
+    families = {name: builders[name] for name in catalog.FAMILIES["tabular"]}
     drafts = models.draft_phase(train, "vec_id", "classification", CLASS_METRIC, families, k=3)
     return runlog.best_draft(drafts, catalog.direction_of(CLASS_METRIC)).select("name", r("metric_value").alias("metric_value"), "status", "commit_hash")

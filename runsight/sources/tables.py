@@ -35,11 +35,11 @@ def or_empty(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True) -> DataFrame:
+def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = False) -> DataFrame:
     """Parquet by suffix, anything else is CSV with a header.
 
-    Give ``schema`` to save the inference pass. Quoted CSV values may hold line breaks; where they are known not to,
-    ``line_breaks=False`` lets Spark split large files.
+    Give ``schema`` to save the inference pass. Large CSV files are split among tasks; where quoted values hold line breaks,
+    ``line_breaks=True`` reads each file as a whole.
     """
     if suffix(path) in PARQUET_SUFFIXES:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
@@ -47,20 +47,20 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def load_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Records from .json (one array), .jsonl (blank lines skipped) or .csv (all strings)."""
+def load_records(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = False) -> DataFrame:
+    """Records from .json (one array), .jsonl (blank lines skipped) or .csv (all strings; ``line_breaks`` as in ``load_table``)."""
     kind = suffix(path).lower()
     if kind not in RECORD_SUFFIXES:
         raise ValueError(f"cannot read records from {kind or 'a file without suffix'}; allowed: {', '.join(RECORD_SUFFIXES)}")
     if kind == ".csv":
-        return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+        return spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, escape='"')
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path, multiLine=kind == ".json")
 
 
-def load_text_table(spark: SparkSession, path: str, text_column: str = "text", label_column: str = "label") -> DataFrame:
-    """Labelled text from .json or CSV."""
-    rows = load_records(spark, path) if suffix(path) == ".json" else load_table(spark, path)
+def load_text_table(spark: SparkSession, path: str, text_column: str = "text", label_column: str = "label", line_breaks: bool = False) -> DataFrame:
+    """Labelled text from .json or CSV (``line_breaks`` as in ``load_table``)."""
+    rows = load_records(spark, path) if suffix(path) == ".json" else load_table(spark, path, line_breaks=line_breaks)
     return rows.select(F.col(text_column).alias("text"), F.col(label_column).alias("label"))
 
 

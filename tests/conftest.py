@@ -20,7 +20,7 @@ def small_chunks(monkeypatch):
 
     monkeypatch.setattr(running, "by_width", lambda order: F.shiftright(F.col(order), 2))
     monkeypatch.setattr(running, "HOT_ROWS", 10)
-    monkeypatch.setattr(running, "SMALL_ROWS", 0)
+    monkeypatch.setattr(running, "CHUNK_ROWS", 50)
 
 
 def rows(df, *columns):

@@ -38,7 +38,7 @@ def test_running_global_by_ranges_equals_small_window(spark):
     df = spark.createDataFrame(data, "o string, v int").repartition(6)
     measures = [Running("before", "sum", F.col("v"), before=True), Running("at", "count", F.lit(True))]
     plain = rows(running_global(df, "o", measures), "o", "before", "at")
-    assert plain == rows(running_global(df, "o", measures, small=0), "o", "before", "at")
+    assert plain == rows(running_global(df, "o", measures, chunk_rows=60), "o", "before", "at")
     total = 0
     for (o, before, at), (_, v) in zip(plain, data):
         assert before == total
@@ -75,6 +75,6 @@ def test_exact_medians_with_ties_gaps_and_narrow_brackets(spark):
     assert plain["c"] == 5.0 and plain["d"] is None
     assert plain["b"] == sorted(x[1] for x in data)[1000]
     for accuracy in (50, 1000, 100_000):
-        assert exact_medians(df, columns, accuracy=accuracy, small=0) == plain
+        assert exact_medians(df, columns, accuracy=accuracy) == plain
     even = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "a double")
-    assert exact_medians(even, {"a": F.col("a")}, small=0) == {"a": 2.5}
+    assert exact_medians(even, {"a": F.col("a")}) == {"a": 2.5}

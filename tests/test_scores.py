@@ -60,7 +60,7 @@ def test_auc_equals_all_pairs_on_both_paths(spark, monkeypatch):
     wanted = {g: _auc([(y, s) for k, y, s in data if k == g]) for g in "ab"}
     check = lambda: {r["g"]: r["auc"] for r in metrics.auc(df, ["g"]).collect()} == pytest.approx(wanted)
     assert check()
-    monkeypatch.setattr(running, "SMALL_ROWS", 0)
+    monkeypatch.setattr(running, "CHUNK_ROWS", 50)
     assert check()
     assert metrics.auc(df.where("g = 'a'")).first()["auc"] == pytest.approx(wanted["a"])
 
