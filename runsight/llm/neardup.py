@@ -4,7 +4,8 @@
 2. Forest: 16 trees, each the order of all signatures that starts at another component. A tree is a global sort, laid out in ranges, so that
    no prefix, however common, has to fit one task; what lies at the borders of two ranges is compared in a further step.
 3. Candidates: neighbours that share a prefix of ``DEPTH`` components. Where more than ``REGION`` nodes share one, the prefix grows, component by component and for this region only,
-   until it holds no more, and each node is also compared with its next neighbours in the order. So each node has a bounded number of candidates per tree.
+   until it holds no more, and each node is also compared with its next neighbours in the order. So each node has a bounded number of candidates per tree. What such a region
+   may have missed is made up for at the end: its nodes outside of its largest component are compared, in blocks, with all nodes of the region in other components.
    Of these, pairs whose signatures agree in fewer than ``AGREE`` components are left out; at a similarity of 0.8 that loses one pair in a hundred thousand.
 4. Links are confirmed on the full sets, first one per node, then the best between any two components, then all that are still between two components. Pairs inside a component
    need no check, as they cannot change it. Components are found by star contraction over tables in the shared folder.
@@ -124,15 +125,19 @@ def _rows(a, b, same, *edge) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns + (list(edge) if edge else none), [c.split()[0] for c in _EDGE.split(", ")])
 
 
-def candidates(nodes: DataFrame, region: int = REGION) -> DataFrame:
-    """(a, b, same) with a < b: distinct candidate pairs of nodes (node, signature) over all trees."""
+def forest(nodes: DataFrame) -> DataFrame:
+    """(tree, branch, node): the signature of every node as each tree orders it."""
     step = 2 * COMPONENTS // TREES
     turned = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.cast("long").alias("tree"), F.concat(F.substr("signature", t * step + 1, F.lit(2 * COMPONENTS)), F.substr("signature", F.lit(1), t * step)).alias("branch")),
     )
-    forest = nodes.select("node", F.explode(turned).alias("x")).select("x.tree", "x.branch", "node")
-    ordered = forest.repartitionByRange("tree", "branch", "node").sortWithinPartitions("tree", "branch", "node")
+    return nodes.select("node", F.explode(turned).alias("x")).select("x.tree", "x.branch", "node")
+
+
+def candidates(nodes: DataFrame, region: int = REGION) -> DataFrame:
+    """(a, b, same) with a < b: distinct candidate pairs of nodes (node, signature) over all trees."""
+    ordered = forest(nodes).repartitionByRange("tree", "branch", "node").sortWithinPartitions("tree", "branch", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -165,6 +170,43 @@ def candidates(nodes: DataFrame, region: int = REGION) -> DataFrame:
     return found.where("b IS NOT NULL").select("a", "b", "same").unionByName(across).distinct()
 
 
+def strays(nodes: DataFrame, stars: DataFrame, region: int = REGION, block: int = 2048) -> DataFrame:
+    """(a, b, same): pairs that a region too large for all its pairs may have missed.
+
+    In each such region, nodes outside of its largest component are compared with all others of the region that are in another component. Both sides are
+    cut into blocks of about ``block`` nodes, so that no task holds a whole region.
+    """
+    rows = forest(nodes).withColumn("stem", F.substr("branch", F.lit(1), F.lit(2 * DEPTH)))
+    large = materialize(rows.groupBy("tree", "stem").agg(F.count("*").alias("n")).where(F.col("n") > region))
+    members = rows.join(broadcast_if_small(large, stored=True), ["tree", "stem"]).join(stars, "node", "left")
+    members = materialize(members.withColumn("component", F.coalesce("component", "node")))
+    sizes = members.groupBy("tree", "stem", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("tree", "stem").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("n_strays"))
+    main = materialize(main.where("n_strays > 0"))
+    placed = members.join(broadcast_if_small(main, stored=True), ["tree", "stem"])
+    count = lambda n: F.ceil(F.col(n) / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), count(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    key, columns = ["tree", "stem", "left", "right"], ["node", "component", "branch"]
+    left = placed.select("tree", "stem", own("n").alias("left"), every("n_strays").alias("right"), *columns)
+    right = materialize(placed.where("component <> main").select(own("n_strays").alias("right"), every("n").alias("left"), "tree", "stem", *columns))
+
+    def compare(these: pa.Table, those: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        if these.num_rows and those.num_rows:
+            (na, ca, ta), (nb, cb, tb) = [
+                (t["node"].to_numpy(), t["component"].to_numpy(), np.frombuffer(b"".join(t["branch"].to_pylist()), "<u2").reshape(-1, COMPONENTS)) for t in (these, those)
+            ]
+            for node, component, row in zip(nb, cb, tb):
+                same = (ta == row).sum(axis=1)
+                at = np.flatnonzero((same >= AGREE) & (ca != component))
+                for k, x in enumerate((np.minimum(na[at], node), np.maximum(na[at], node), same[at])):
+                    found[k].append(x)
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in found], ["a", "b", "same"])
+
+    return left.groupBy(*key).cogroup(right.select(*key, *columns).groupBy(*key)).applyInArrow(compare, "a long, b long, same long").distinct()
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have ``percent`` of their union in common. ``texts``: node, text."""
 
@@ -204,9 +246,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.where("u <> v").distinct())
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """(node, component) of the nodes that confirmed links join, or None without any link."""
-    stars, tested = None, None
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, stars: DataFrame | None = None) -> DataFrame | None:
+    """(node, component) of the nodes that confirmed links join, on top of those in ``stars``; None without any link."""
+    tested = None
     for turn in ("partner", "best", "all"):
         open_pairs = pairs
         if tested is not None:
@@ -244,9 +286,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, region: int
     sets = own.where("doc_id IS NOT NULL AND key_a IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
     sets = materialize(sets)
     pairs = materialize(candidates(sets, region))
-    wanted = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    texts = materialize(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text").join(broadcast_if_small(wanted, stored=True), "node"))
-    stars = _confirmed(pairs, texts, n, percent)
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = materialize(some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct())
+        return materialize(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text").join(broadcast_if_small(wanted, stored=True), "node"))
+
+    stars = _confirmed(pairs, texts_of(pairs), n, percent)
+    if stars is not None:
+        missed = materialize(strays(sets, stars, region))
+        if not missed.isEmpty():
+            stars = _confirmed(missed, texts_of(missed), n, percent, stars)
     placed = own.join(sets.select("key_a", "key_b", "node"), ["key_a", "key_b"], "left")
     if stars is not None:
         placed = placed.join(stars, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
