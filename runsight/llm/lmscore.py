@@ -216,7 +216,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_text: int = BLOCK_TEXT,
                 log, used, most = _scores(own, [_elsewhere(folder, block.as_py(), k) for k in range(1, order + 1)], total)
                 n = len(own.rows) - 1
                 sums = np.bincount(own.owner, log, n), np.bincount(own.owner, used < most, n), np.bincount(own.owner, used == 0, n)
-                columns = [ids.values, pa.array(np.diff(own.rows)), pa.array(sums[0]), *[pa.array(s.astype(np.int64)) for s in sums[1:]]]
+                columns = [ids.values, pa.array(np.diff(own.rows)), pa.array(sums[0].astype(float)), *[pa.array(s.astype(np.int64)) for s in sums[1:]]]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in OUT.split(", ")])
 
     return table.select("block", "docs", "text", "borders").mapInArrow(run, OUT)
