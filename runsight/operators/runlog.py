@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.functions.values import better, check_direction, fixed, is_finite, shorten
-from runsight.plans.running import Running, hot_keys, running, since_reset
+from runsight.plans.running import Running, between, hot_keys, running, since_reset
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
@@ -236,7 +236,7 @@ def decide(attempts: DataFrame, direction: str = "maximize", max_retries: int =
     best = running(narrow, [RUN], ORDER, [Running("best_before", how, eligible, before=True)], hot=hot)
     best = best.withColumn("best_before", (F.greatest if how == "max" else F.least)("best_before", "_seed"))
     improves = F.col("best_before").isNull() | better(F.col("metric_value"), F.col("best_before"), direction)
-    best = materialize(best.withColumn("improved", F.coalesce(F.col("_ran") & improves, F.lit(False))).drop("_ran", "_seed"))
+    best = between(best.withColumn("improved", F.coalesce(F.col("_ran") & improves, F.lit(False))).drop("_ran", "_seed"), hot)
 
     counted = since_reset(best, [RUN], ORDER, "out_of_memory_count", F.col("_oom").cast("int"), F.col("improved"), hot=hot)
     action = (
@@ -246,7 +246,7 @@ def decide(attempts: DataFrame, direction: str = "maximize", max_retries: int =
         .otherwise("revert")
     )
     gated = F.col("improved") & ~F.col("_gate")
-    acted = materialize(counted.select("*", action.alias("action"), gated.alias("gated")).drop("_oom", "_gate"))
+    acted = between(counted.select("*", action.alias("action"), gated.alias("gated")).drop("_oom", "_gate"), hot)
     stopped = F.when(F.col("action") == "stop", F.lit(1)).otherwise(F.lit(0))
     marked = running(acted, [RUN], ORDER, [Running("_stopped", "sum", stopped, before=True)], hot=hot)
     return marked.where(F.col("_stopped") == 0).drop("_stopped")
@@ -305,7 +305,7 @@ def stagnation_events(
     streaks = since_reset(steps, [RUN], ORDER, "streak", revert.cast("int"), keep, total="reverts", hot=hot)
     # A streak that starts before the first keep has nothing to branch from.
     kept = Running("kept", "sum", F.when(keep, F.lit(1)).otherwise(F.lit(0)))
-    ready = running(materialize(streaks), [RUN], ORDER, [kept], hot=hot).where(
+    ready = running(between(streaks, hot), [RUN], ORDER, [kept], hot=hot).where(
         revert & ~F.col("gated") & (F.col("streak") >= threshold) & (F.lit(seeded) | (F.col("kept") > 0))
     )
     ready = materialize(ready.select(RUN, ORDER, "streak", "reverts"))

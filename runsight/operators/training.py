@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsight.plans.running import Running, hot_keys, running, since_reset
+from runsight.plans.running import Running, between, hot_keys, running, since_reset
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
@@ -33,7 +33,7 @@ def early_stop(epochs: DataFrame, patience: int = STOP_PATIENCE) -> DataFrame:
     A missing loss is no improvement. A run without any loss has no best epoch, but it stops like the others.
     """
     hot = hot_keys(epochs, [RUN])
-    seen = materialize(running(epochs, [RUN], "epoch", [Running("_low", "min", _number("val_loss"), before=True)], hot=hot))
+    seen = between(running(epochs, [RUN], "epoch", [Running("_low", "min", _number("val_loss"), before=True)], hot=hot), hot)
     loss = _number("val_loss")
     improved = F.coalesce(loss < F.coalesce(F.col("_low"), F.lit(float("inf"))), F.lit(False))
     waits = materialize(since_reset(seen.withColumn("_new", improved), [RUN], "epoch", "waited", F.lit(1), F.col("_new"), hot=hot))

@@ -65,6 +65,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def between(df: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``df`` on its way from one running value to the next. Without hot keys all windows share one shuffle and one sort; with them, it is
+    written out, as each step reads it twice."""
+    return df if hot is None else materialize(df)
+
+
 def _chunked(df: DataFrame, keys: list[str], order: str, chunk: Column | None, hot: DataFrame | None | str) -> tuple[DataFrame, bool]:
     """``df`` with its chunk number, and whether any key has more than one chunk."""
     if chunk is not None:

@@ -126,42 +126,58 @@ def live_decisions(
     )
 
 
-def budget_alarm(log: DataFrame, experiments: int, usd: float, minutes: float, delay: str = "10 minutes") -> DataFrame:
+def budget_alarm(log: DataFrame, experiments: int, usd: float, minutes: float) -> DataFrame:
     """One row per run when a budget is used up: (run_id, experiment_id, reason).
 
-    Counts and cost are checked with every row. The time budget also ends a run that went silent, once the
-    stream's time has passed it; then ``experiment_id`` is the last one seen.
+    Count, cost and the time between a run's first and last row are checked with every row, however late it comes. For runs that went silent see ``silent_runs``.
     """
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, cost, started, last, done = state.get if state.exists else (0, 0.0, 0, 0, False)
-        alarms = []
-        if state.hasTimedOut:
-            alarms, done = ([] if done else [(key[0], last, "time")]), True
-        else:
-            rows = pd.concat(list(batches)).sort_values("experiment_id")
-            for number, spent, at in rows[["experiment_id", "cost_usd", "at"]].itertuples(index=False):
-                if done:
-                    break
-                started = started or at
-                count, cost, last = count + 1, cost + (spent or 0.0), number
-                late = at - started >= minutes * 60_000
+        count, cost, first, last, done = state.get if state.exists else (0, 0.0, None, None, False)
+        for batch in batches:
+            if done:
+                continue
+            for number, spent, at in batch.sort_values("experiment_id")[["experiment_id", "cost_usd", "at"]].itertuples(index=False):
+                first, last = at if first is None else min(first, at), at if last is None else max(last, at)
+                count, cost = count + 1, cost + (spent or 0.0)
+                late = last - first >= minutes * 60_000
                 reason = "experiments" if count >= experiments else "cost" if cost >= usd else "time" if late else None
                 if reason:
-                    alarms, done = [(key[0], number, reason)], True
-        state.update((count, cost, int(started), int(last), done))
-        if not done:
-            state.setTimeoutTimestamp(max(int(started + minutes * 60_000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(alarms, columns=["run_id", "experiment_id", "reason"])
+                    done = True
+                    yield pd.DataFrame([(key[0], number, reason)], columns=["run_id", "experiment_id", "reason"])
+                    break
+        state.update((count, cost, None if first is None else int(first), None if last is None else int(last), done))
 
     run = log.schema["run_id"].dataType.simpleString().replace("bigint", "long")
-    narrow = log.withWatermark("timestamp", delay).select(
-        "run_id", "experiment_id", "cost_usd", "timestamp", F.unix_millis("timestamp").alias("at")
+    narrow = log.select("run_id", "experiment_id", "cost_usd", F.unix_millis("timestamp").alias("at"))
+    return narrow.groupBy("run_id").applyInPandasWithState(
+        watch, f"run_id {run}, experiment_id long, reason string", "count long, cost double, first long, last long, done boolean", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def silent_runs(log: DataFrame, minutes: float, delay: str = "10 minutes") -> DataFrame:
+    """(run_id, experiment_id, reason) of runs whose time budget the stream's time has passed; ``experiment_id`` is the largest one seen.
+
+    Rows later than ``delay`` may be left out here. They only move a run's start or last experiment, and are counted by ``budget_alarm``.
+    """
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, done = state.get if state.exists else (None, 0, False)
+        if state.hasTimedOut:
+            if not done:
+                yield pd.DataFrame([(key[0], last, "time")], columns=["run_id", "experiment_id", "reason"])
+            done = True
+        for batch in batches:
+            if batch.empty:
+                continue
+            first = int(min(batch["at"].min(), batch["at"].min() if first is None else first))
+            last = int(max(batch["experiment_id"].max(), last))
+        state.update((first, last, done))
+        if not done:
+            state.setTimeoutTimestamp(max(int(first + minutes * 60_000), state.getCurrentWatermarkMs() + 1))
+
+    run = log.schema["run_id"].dataType.simpleString().replace("bigint", "long")
+    narrow = log.withWatermark("timestamp", delay).select("run_id", "experiment_id", "timestamp", F.unix_millis("timestamp").alias("at"))
     return narrow.groupBy("run_id").applyInPandasWithState(
-        watch,
-        f"run_id {run}, experiment_id long, reason string",
-        "count long, cost double, started long, last long, done boolean",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+        watch, f"run_id {run}, experiment_id long, reason string", "first long, last long, done boolean", "append", GroupStateTimeout.EventTimeTimeout
     )

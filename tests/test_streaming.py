@@ -59,10 +59,22 @@ def test_silent_run_is_alarmed_by_the_clock_of_the_stream(spark, tmp_path):
     for part in [first, *later]:
         part.coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
-    stream = live.follow(spark, path, first.schema, "parquet", files_per_batch=1)
-    out = rows(live.drain(live.budget_alarm(stream, experiments=3, usd=99.0, minutes=30, delay="1 minute"), "append"))
-    assert ("quiet", 1, "time") in out
-    assert [r[0] for r in out].count("quiet") == 1 and [r[0] for r in out].count("busy") == 1
+    follow = lambda: live.follow(spark, path, first.schema, "parquet", files_per_batch=1)
+    silent = rows(live.drain(live.silent_runs(follow(), minutes=30, delay="1 minute"), "append"))
+    assert ("quiet", 1, "time") in silent and len(silent) == len({r[0] for r in silent})
+    assert rows(live.drain(live.budget_alarm(follow(), experiments=3, usd=99.0, minutes=1000), "append")) == [("busy", 3, "experiments")]
+
+
+def test_late_rows_count_for_the_budget(spark, tmp_path):
+    import time
+
+    path = str(tmp_path / "log")
+    for minute in (100, 101, 1, 102, 2):
+        row = spark.sql(f"SELECT 'r' AS run_id, {minute}L AS experiment_id, 1.0D AS cost_usd, timestamp_seconds({minute * 60}) AS timestamp")
+        row.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = live.follow(spark, path, row.schema, "parquet", files_per_batch=1)
+    assert rows(live.drain(live.budget_alarm(stream, experiments=5, usd=99.0, minutes=1e6), "append")) == [("r", 2, "experiments")]
 
 
 def test_repeats_are_dropped_across_batches(spark, tmp_path):
