@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +47,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder}/{context.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def short_lived(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are removed at the end, but for lasting ones. Results must be written, or read, before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     Used where a result is read more than once and must be the same each time, also after executors were
-    lost. Later reads take only the columns they need, and know the table's size.
+    lost. Later reads take only the columns they need, and know the table's size. Tables stay until the folder of the
+    application is removed, or to the end of the ``short_lived`` block around them unless they are ``lasting``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    if _scopes and not lasting:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

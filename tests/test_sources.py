@@ -116,3 +116,19 @@ def test_checkpoint_round_trip_ignores_unknown_and_fills_missing(spark, tmp_path
 def test_artifact_priority(spark):
     files = spark.createDataFrame([("a", "best_adapter"), ("a", "best_model.pt"), ("b", "notes"), ("c", "best_adapter")], "run_id string, name string")
     assert rows(snapshots.choose_artifact(files)) == [("a", "best_model.pt"), ("c", "best_adapter")]
+
+
+def test_short_lived_tables_go_and_lasting_ones_stay(spark):
+    from pyspark.errors import PySparkException
+
+    from runsight.session import materialize, short_lived
+
+    with short_lived(spark):
+        gone, kept = materialize(spark.range(3)), materialize(spark.range(4), lasting=True)
+        assert gone.count() == 3
+    assert kept.count() == 4
+    try:
+        gone.collect()
+        raise AssertionError("the table should be gone")
+    except PySparkException:
+        pass
