@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from runsight.llm import decontam, langid, neardup, packing, pii
 from runsight.queries import table
-from runsight.session import materialize
+from runsight.session import materialize, short_lived
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage. Between stages the documents are written to the shared folder and read again."""
+    """Rows of the last stage. Each stage's result is written to the shared folder and read again; what a stage wrote for itself is removed after it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        with short_lived(spark):
+            docs = materialize(stage(spark, docs, sf_dir), lasting=True)
+    return docs
