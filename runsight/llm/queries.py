@@ -77,7 +77,36 @@ def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-@query()
+OP9 = """
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+     x AS (SELECT doc_id, lang, source, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+     g AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM x),
+     often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+     spots AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM often WHERE n > 1) GROUP BY 1),
+     m AS (SELECT x.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                  coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines FROM x LEFT JOIN spots USING (doc_id)),
+     v AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS m1, CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS m2,
+                  CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS m3, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS m4 FROM m),
+     cells AS (SELECT lang, source, unnest([1, 2, 3, 4]) AS metric, unnest([m1, m2, m3, m4]) AS v FROM v),
+     buckets AS (SELECT lang, source, metric, v - v % (1 << greatest(length(bin(v)) - 7, 0)::INT) AS b FROM cells),
+     levels AS (SELECT 1 AS level, * FROM buckets UNION ALL SELECT 2, lang, NULL, metric, b FROM buckets UNION ALL SELECT 3, NULL, NULL, metric, b FROM buckets),
+     q AS (SELECT level, lang, source, metric, count(*) AS docs, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM levels GROUP BY ALL),
+     f AS (SELECT *, greatest(q3 - q1, q3 // 16, CASE WHEN metric <= 2 THEN 10 ELSE 100 END) * 3 AS far FROM q),
+     own AS (SELECT level, lang, source, any_value(docs) AS docs, any_value(q1 - far) FILTER (metric = 1) AS low1, any_value(q3 + far) FILTER (metric = 1) AS high1,
+                    any_value(q3 + far) FILTER (metric = 2) AS high2, any_value(q3 + far) FILTER (metric = 3) AS high3, any_value(q3 + far) FILTER (metric = 4) AS high4 FROM f GROUP BY ALL),
+     pick AS (SELECT a.lang, a.source, CASE WHEN a.docs >= 200 THEN 1 WHEN b.docs >= 200 THEN 2 ELSE 3 END AS level
+              FROM own a JOIN own b ON a.level = 1 AND b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang),
+     lim AS (SELECT p.lang, p.source, o.* EXCLUDE (level, lang, source) FROM pick p JOIN own o ON o.level = p.level
+              AND (p.level = 3 OR o.lang IS NOT DISTINCT FROM p.lang) AND (p.level > 1 OR o.source IS NOT DISTINCT FROM p.source)),
+     r AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND m1 BETWEEN low1 AND high1 AND m2 <= high2 AND m3 <= high3 AND m4 <= high4 AS kept
+FROM r JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source
+"""
+
+
+@query(OP9)
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.quality_rules(table(spark, d, "documents"))
 
