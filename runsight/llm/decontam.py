@@ -4,8 +4,8 @@
    all its terms. Statistics are over all items.
 2. Segments are put in order and into blocks; each term keeps its largest weight per block. Texts are cut into passages of two segments' length, one segment apart, so that every
    copied segment lies whole in a passage.
-3. Block-max WAND, a set at a time: the sum of block maxima bounds every score in a block. It is computed for all passages of a batch by running sums; only (passage, block) pairs
-   whose bound reaches the threshold are opened. There, cursors over the passage's postings move by the pivot rule, skip by block bounds, and score what is left in full.
+3. Block-max WAND, a set at a time: sums of the terms' largest weights bound the scores of all passages of a batch; passages that reach the threshold get the sums of block maxima, and
+   only blocks whose bound reaches it are opened. All postings of other blocks are skipped; those of opened blocks are added up in full.
 4. All segments above the threshold are verified: the share of the item's five-word shingles found in the whole text, for its question (all but the last line, or
    the last sentence of a single line), for its answer, and for both together.
 
@@ -14,7 +14,6 @@ Large benchmarks are split by item into index shards of bounded size, and texts
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -34,9 +33,9 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
 #: Bytes of benchmark text per index shard; an index takes a few times that in each worker.
-SHARD_BYTES = 8 << 20
-#: Most blocks per shard; the table of block maxima has a row per term.
-BLOCKS = 32
+SHARD_BYTES = 4 << 20
+#: Cells of the table of block maxima (terms times blocks), which sets how many segments share a block.
+BOUNDS = 1 << 20
 OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double, passages long"
 
 
@@ -78,15 +77,16 @@ class Index:
                 self.ids.append(item)
                 rows.append(dict(zip(terms.tolist(), (weights / weights.sum()).tolist())))
         self.vocabulary = np.unique(np.array([t for r in rows for t in r], np.uint64))
-        self.block = max(1, -(-len(rows) // BLOCKS))
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        at = {t: k for k, t in enumerate(self.vocabulary.tolist())}
+        self.block = max(1, -(-len(rows) * max(1, len(self.vocabulary)) // BOUNDS))
+        terms = np.searchsorted(self.vocabulary, np.array([t for r in rows for t in r], np.uint64))
+        segments_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        order = np.lexsort((segments_of, terms))
+        self.segments = segments_of[order]
+        self.weights = np.array([w for r in rows for w in r.values()])[order]
+        self.lists = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
         self.maxima = np.zeros((len(self.vocabulary) + 1, -(-len(rows) // self.block)), np.float32)
-        for segment, row in enumerate(rows):
-            for term, weight in row.items():
-                self.postings[at[term]].append((segment, weight))
-                cell = (at[term], segment // self.block)
-                self.maxima[cell] = max(self.maxima[cell], weight * (1 + 1e-6))
+        np.maximum.at(self.maxima, (terms[order], self.segments // self.block), self.weights * (1 + 1e-6))
+        self.largest = self.maxima.max(axis=1, initial=0)
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers of words; words of no item get the number of the empty last row."""
@@ -94,52 +94,40 @@ class Index:
         k[k == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[k] == hashes, k, len(self.vocabulary))
 
-    def open_pairs(self, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
-        """(passage, its blocks whose bound reaches the threshold). Repeated words count each time here, which only raises bounds."""
-        sums = np.zeros((len(terms) + 1, self.maxima.shape[1]))
-        np.cumsum(self.maxima[terms], axis=0, dtype=np.float64, out=sums[1:])
-        bounds = sums[ends] - sums[starts] >= threshold - 1e-9
-        return [(p, np.flatnonzero(bounds[p])) for p in np.flatnonzero(bounds.any(axis=1))]
-
-    def search(self, terms: np.ndarray, opened: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Segments of the opened blocks that score at least ``threshold`` for a set of terms, with their scores."""
-        own = np.unique(terms)
-        own = own[own < len(self.vocabulary)].tolist()
-        blocks_open = set(opened[self.maxima[own][:, opened].sum(axis=0) >= threshold].tolist())
-        lists = [(self.postings[t], self.maxima[t], float(self.maxima[t].max())) for t in own]
-        cursors = [0] * len(lists)
-        found: list[tuple[int, float]] = []
-        for b in sorted(blocks_open):
-            low, high = b * self.block, (b + 1) * self.block
-            cursors = [bisect.bisect_left(p, (low,), c) for c, (p, _, _) in zip(cursors, lists)]
-            live = [k for k, (p, _, _) in enumerate(lists) if cursors[k] < len(p) and p[cursors[k]][0] < high]
-            while live:
-                live.sort(key=lambda k: lists[k][0][cursors[k]][0])
-                bound, pivot = 0.0, None
-                for k in live:  # the first segment at which the block maxima of the cursors before it can reach the threshold
-                    bound += float(lists[k][1][b])
-                    if bound >= threshold:
-                        pivot = lists[k][0][cursors[k]][0]
-                        break
-                if pivot is None:
-                    break
-                if lists[live[0]][0][cursors[live[0]]][0] == pivot:
-                    score = 0.0
-                    for k in live:
-                        segment, weight = lists[k][0][cursors[k]]
-                        if segment != pivot:
-                            break
-                        score += weight
-                        cursors[k] += 1
-                    if score >= threshold - 1e-9:
-                        found.append((pivot, score))
-                else:
-                    for k in live:
-                        if lists[k][0][cursors[k]][0] >= pivot:
-                            break
-                        cursors[k] = bisect.bisect_left(lists[k][0], (pivot,), cursors[k])
-                live = [k for k in live if cursors[k] < len(lists[k][0]) and lists[k][0][cursors[k]][0] < high]
-        return found
+    def open_passages(self, terms: np.ndarray, chunk: np.ndarray, passages: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(passage, its terms, its blocks whose bound reaches the threshold). ``chunk``: number of each word's chunk, ascending; a passage is one row of
+        (first chunk, last chunk), neighbours or the same.
+
+        Terms count once per chunk. A term in both chunks of a passage counts twice, which only raises bounds. The largest weight in any block rules out most
+        passages before block maxima are looked at.
+        """
+        known = terms < len(self.vocabulary)
+        pairs = np.unique(chunk[known] * np.int64(len(self.vocabulary)) + terms[known])
+        chunk, terms = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        first, last = passages.T
+        n = int(last.max(initial=-1)) + 1
+        sums = np.bincount(chunk, self.largest[terms], n)
+        two = first < last
+        left = np.flatnonzero(sums[first] + np.where(two, sums[last], 0) >= threshold - 1e-9)
+        borders = np.searchsorted(chunk, np.arange(n + 1))
+        out = []
+        for p in left:
+            own = terms[borders[first[p]] : borders[last[p] + 1]]
+            opened = np.flatnonzero(self.maxima[own].sum(axis=0, dtype=np.float64) >= threshold - 1e-9)
+            if len(opened):
+                out.append((int(p), own, opened))
+        return out
+
+    def search(self, own: np.ndarray, opened: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """Segments of the opened blocks that score at least ``threshold`` for distinct terms, with their scores. Postings of all other blocks are skipped."""
+        own = np.unique(own)
+        counts = self.lists[own + 1] - self.lists[own]
+        at = np.arange(counts.sum()) + np.repeat(self.lists[own] - (np.cumsum(counts) - counts), counts)
+        inside = np.zeros(self.maxima.shape[1], bool)
+        inside[opened] = True
+        at = at[inside[self.segments[at] // self.block]]
+        scores = np.bincount(self.segments[at], self.weights[at], len(self.ids))
+        return [(int(k), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-9)]
 
     def leaks(self, words: Words, threshold: float, overlap: float) -> Iterator[tuple]:
         """(text number, item, best score, question, answer and whole overlap, passages) of verified items."""
@@ -147,13 +135,17 @@ class Index:
             return
         terms = self.terms(words.hash)
         sizes = np.diff(words.rows)
-        counts = np.where(sizes == 0, 0, np.maximum(-(-(sizes - SEGMENT) // SEGMENT), 1))
+        chunks = -(-sizes // SEGMENT)
+        begin = np.cumsum(chunks) - chunks
+        text = np.repeat(np.arange(len(words)), sizes)
+        chunk = begin[text] + (np.arange(len(terms)) - words.rows[text]) // SEGMENT
+        counts = np.where(chunks == 0, 0, np.maximum(chunks - 1, 1))
         owner = np.repeat(np.arange(len(words)), counts)
-        starts = words.rows[owner] + SEGMENT * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
-        ends = np.minimum(starts + 2 * SEGMENT, words.rows[owner + 1])
+        first = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        passages_of = np.stack([first, np.minimum(first + 1, begin[owner] + chunks[owner] - 1)], axis=1)
         hits: dict[tuple[int, int], list] = {}
-        for p, opened in self.open_pairs(terms, starts, ends, threshold):
-            for segment, score in self.search(terms[starts[p] : ends[p]], opened, threshold):
+        for p, own, opened in self.open_passages(terms, chunk, passages_of, threshold):
+            for segment, score in self.search(own, opened, threshold):
                 hit = hits.setdefault((int(owner[p]), self.ids[segment]), [0.0, 0])
                 hit[0], hit[1] = max(hit[0], score), hit[1] + 1
         if not hits:

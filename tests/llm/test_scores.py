@@ -149,7 +149,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     clean = decontam.clean(docs, items)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {d for d, *_ in _docs()} - {d for d, _ in wanted}
     monkeypatch.setattr(decontam, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(decontam, "BLOCKS", 3)
+    monkeypatch.setattr(decontam, "BOUNDS", 500)
     assert len(decontam.indexes(items)) > 2
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == wanted
 
@@ -172,11 +172,13 @@ def test_block_max_search_equals_full_scoring():
         terms = index.terms(query.hash)
         full = Counter()
         for t in set(terms.tolist()):
-            for segment, weight in index.postings[t]:
-                full[segment] += weight
+            if t < len(index.vocabulary):
+                own = slice(index.lists[t], index.lists[t + 1])
+                for segment, weight in zip(index.segments[own].tolist(), index.weights[own].tolist()):
+                    full[segment] += weight
         for threshold in (0.2, 0.5):
-            opened = index.open_pairs(terms, np.array([0]), np.array([len(terms)]), threshold)
-            found = dict(index.search(terms, opened[0][1], threshold)) if opened else {}
+            opened = index.open_passages(terms, np.arange(len(terms)) // 10, np.array([[0, 1]]), threshold)
+            found = dict(index.search(opened[0][1], opened[0][2], threshold)) if opened else {}
             assert set(found) == {s for s, v in full.items() if v >= threshold}
             assert all(math.isclose(found[s], full[s]) for s in found)
 
