@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and identifiers that the fixed patterns miss, found by the words around known ones.
 
 1. Base: four fixed regular expressions give spans (kind, start, end) in code points.
-2. Seeds and patterns: each base span is a seed entity. The two words before it, and the words on both sides of it, are its lexical patterns.
+2. Seeds and patterns: each base span is a seed entity. The three words before it, and two words before with the one behind it, are its lexical patterns.
    Every other word that holds a digit or an at sign is a candidate with patterns of its own.
 3. Graph: patterns that at least ``min_seeds`` different seeds share are kept. An edge says how often a pattern stood around an entity. How often
    a pattern stands around any word at all is counted over the whole corpus, so a pattern of ordinary prose scores near 0.
@@ -93,8 +93,8 @@ def _contexts(text: Column, span: Column) -> Column:
     def keys(w: Column) -> Column:
         b, a = w.getItem(0), w.getItem(1)
         return F.struct(
-            F.when(F.size(b) >= 2, F.xxhash64(F.lit("left"), F.element_at(b, -2), F.element_at(b, -1))).alias("left"),
-            F.when((F.size(b) >= 1) & (F.size(a) >= 1), F.xxhash64(F.lit("both"), F.element_at(b, -1), F.element_at(a, 1))).alias("both"),
+            F.when(F.size(b) >= 3, F.xxhash64(F.lit("left"), F.element_at(b, -3), F.element_at(b, -2), F.element_at(b, -1))).alias("left"),
+            F.when((F.size(b) >= 2) & (F.size(a) >= 1), F.xxhash64(F.lit("both"), F.element_at(b, -2), F.element_at(b, -1), F.element_at(a, 1))).alias("both"),
         )
 
     return let(F.array(words(before), words(after)), keys)
@@ -104,8 +104,8 @@ def _word_contexts(text: Column) -> Column:
     """Pattern hashes around every word of a text."""
 
     def around(w: Column) -> Column:
-        left = F.transform(positions(1, F.size(w) - 2), lambda i: F.xxhash64(F.lit("left"), F.element_at(w, i), F.element_at(w, i + 1)))
-        both = F.transform(positions(1, F.size(w) - 2), lambda i: F.xxhash64(F.lit("both"), F.element_at(w, i), F.element_at(w, i + 2)))
+        left = F.transform(positions(1, F.size(w) - 3), lambda i: F.xxhash64(F.lit("left"), F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
+        both = F.transform(positions(1, F.size(w) - 3), lambda i: F.xxhash64(F.lit("both"), F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 3)))
         return F.concat(left, both)
 
     return let(words(F.lower(text)), around)
