@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with the ids of repeated pieces remembered per worker.
 
 Both tokenizers here never join characters across a space that follows a character that is not white space: the ids of a text are the ids of its pieces, cut there, one
-after the other. Natural text repeats its words, so most pieces are found in the memory. A new piece that is one word, with or without
-punctuation behind it, goes straight to the tokenizer's merge model, as its pre-tokens are known; any other new piece takes the whole tokenizer.
+after the other. Natural text repeats its words, so most pieces are found in the memory. A new piece of Latin letters, digits, punctuation and single line ends goes
+straight to the tokenizer's merge model, as its pre-tokens are known; any other new piece takes the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -10,33 +10,30 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 
-#: Pieces remembered per worker; the memory is emptied when it is full, which changes no result.
+#: Pieces remembered per worker, in two generations: a full one becomes the older, which is dropped with the next. That changes no result.
 REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S)(?= )")
-_UNSAFE = re.compile(r"(?:^|\s) ")
-#: A word of Latin letters and the punctuation behind it: two pre-tokens at most. Apostrophes may start a contraction and are left out.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: Remembered for pieces that are empty or end in white space: the space behind them is not a border.
+_NO_BORDER = False
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Apostrophes may start a contraction and are left out.
+_MARKS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+#: Pre-tokens: runs of letters, digits or marks, each with the space before it, and line ends between them.
+_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
+#: With word ends, spaces and line ends only separate, and every digit stands alone.
+_WORD_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+|\n")
+#: Line ends that are not between two such runs.
+_LINE_ENDS = re.compile(r"^ ?\n|\n\n|\n$")
 #: Byte-level vocabularies write bytes as printable characters: printable Latin-1 stands for itself, all others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512)))
 
 
-def pieces(text: str, drop_spaces: bool) -> list[str]:
-    """``text`` cut before each space that follows a character that is not white space; with ``drop_spaces`` cut at all spaces, which are left out."""
-    if drop_spaces:
-        return text.split(" ")
-    if _UNSAFE.search(text):
-        return _CUT.split(text)
-    parts = text.split(" ")
-    parts[1:] = [" " + x for x in parts[1:]]
-    return parts
-
-
 class Encoder:
     """``path``: tokenizer file. ``word_ends``: its words are lower-cased and spaces get no ids. Strings of special tokens count as ordinary text."""
 
@@ -47,7 +44,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.word_ends = word_ends
-        self.known: dict[str, bytes] = {}
+        self.cut = (_WORD_PARTS if word_ends else _PARTS).findall
+        self.known: dict[str, bytes | bool] = {}  # by the piece without the space before it
+        self.older: dict[str, bytes | bool] = {}
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
@@ -55,30 +54,43 @@ class Encoder:
         if found is None:
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
-            written = (part.lower() if self.word_ends else part).encode().decode("latin-1").translate(_BYTE_CHARS)
-            found = self.parts[part] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+            written = part if part.isascii() and part.isprintable() and part[0] != " " else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
         return found
 
-    def _new(self, piece: str) -> bytes:
-        plain = _PLAIN.fullmatch(piece)
-        if plain and not (self.word_ends and piece[0] == " "):
-            word, behind = plain.groups()
-            found = self._part(word) + self._part(behind) if behind else self._part(word)
-        else:
-            found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        parts = self.cut(piece)
+        if sum(map(len, parts)) != len(piece) or "\n" in piece and _LINE_ENDS.search(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if self.word_ends:
+            return b"".join([self._part(p.lower()) for p in parts if p != "\n"])
+        return b"".join(map(self._part, parts))
+
+    def _new(self, piece: str) -> bytes | bool:
+        found = self.older.get(piece)
+        if found is None:
+            if not self.word_ends and (not piece or piece[-1].isspace()):
+                found = _NO_BORDER
+            else:
+                found = self._piece(piece if self.word_ends else " " + piece)
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         self.known[piece] = found
         return found
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
         """Ids of a text (null: empty) as unsigned 32-bit numbers, followed by ``end``."""
-        own = pieces(text or "", self.word_ends)
-        new = self._new
+        own = (text or "").split(" ")
         found = list(map(self.known.get, own))
         if None in found:
-            found = [new(p) if f is None else f for p, f in zip(own, found, strict=True)]
-        return np.frombuffer(b"".join(chain(found, (np.array([end], "<u4").tobytes(),))), "<u4")
+            found = [self._new(p) if f is None else f for p, f in zip(own, found, strict=True)]
+        if not self.word_ends:
+            if _NO_BORDER in found or not own[0]:
+                found = [self._piece(p) for p in _CUT.split(text or "") if p]
+            else:
+                found[0] = self._piece(own[0])
+        found.append(array("I", [end]).tobytes())
+        return np.frombuffer(b"".join(found), np.uint32)
 
     def encode(self, texts: Iterable[str | None], end: int) -> list[np.ndarray]:
         return [self.ids(text, end) for text in texts]
