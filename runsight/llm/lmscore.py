@@ -5,12 +5,14 @@ share of the count table: it adds the counts of all blocks and joins the table b
 the block knows the rest itself. An n-gram can only occur elsewhere if both n-grams of one word less do, so higher orders send ever fewer. At last each block joins its n-grams
 with these counts and sums per document.
 
-Rows hold many n-grams as sorted 64-bit hashes, differences of which take about five bytes each; as single rows they would fill several times the disk of the input.
+Rows hold many n-grams as sorted hashes, differences of which take about five bytes each; as single rows they would fill several times the disk of the input. Hashes
+are as wide as the corpus needs (``hash_bits``). What an order has shuffled is given up before the next one starts.
 Per n-gram there is one entry per block, however often it occurs, so frequent n-grams make no large partition.
 """
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -20,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsight.llm import sharedfiles
-from runsight.llm.textbytes import SPACED, Words, blocks, mix
+from runsight.llm.batches import small_batches
+from runsight.llm.textbytes import SPACED, Words, mix, slices
 from runsight.session import materialize, shared_dir
 
 #: Fixed factor of the method for each order that is backed off.
 BACKOFF = 0.4
 ORDER = 3
 #: Bytes of text per block, and per hash partition of a count table.
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 8 << 20
 PARTITION_TEXT = 16 << 20
 OUT = "doc_id long, n_words long, log_score double, n_backed_off long, n_unseen long"
 
@@ -59,54 +62,67 @@ def _blocked(docs: DataFrame, block_text: int) -> DataFrame:
 
         ids: list = []
         held: list[bytes] = []
-        size = words = 0
+        size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal size, words
-            row = [uuid.uuid4().int >> 65, ids[:], zstandard.ZstdCompressor(level=3).compress(b"".join(held)), np.cumsum([0, *map(len, held)]).tolist(), words, size]
+            nonlocal size
+            text, borders = b"".join(held), np.cumsum([0, *map(len, held)])
+            words = sum(len(w.hash) for w in _words(np.frombuffer(text, np.uint8), borders))
+            row = [uuid.uuid4().int >> 65, ids[:], zstandard.ZstdCompressor(level=3).compress(text), borders.tolist(), words, size]
             ids.clear()
             held.clear()
-            size = words = 0
+            size = 0
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["block", "docs", "text", "borders", "n_words", "n_bytes"])
 
         for batch in batches:
-            for _, part in blocks(batch.column(1), SPACED):
-                words += len(part.hash)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held.append((text.as_py() or "").encode())
                 ids.append(doc)
                 size += len(held[-1])
-            if size >= block_text:
-                yield close()
+                if size >= block_text:
+                    yield close()
         if ids:
             yield close()
 
     schema = "block long, docs array<long>, text binary, borders array<long>, n_words long, n_bytes long"
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, schema))
+    return materialize(small_batches(docs).select("doc_id", "text").mapInArrow(run, schema))
+
+
+def _words(data: np.ndarray, borders: np.ndarray) -> Iterator[Words]:
+    for first, last in slices(borders):
+        yield Words(data[borders[first] : borders[last]], borders[first : last + 1] - borders[first], SPACED)
+
+
+def hash_bits(n_words: int) -> int:
+    """Width at which less than one pair of n-grams of an order is expected to share a hash, 64 at most (beyond 2^31 words some may)."""
+    return min(64, 2 * max(1, n_words).bit_length() + 2)
 
 
 class Block:
-    """N-grams of a block: ``grams(k)`` has the hash of the k words that end at each word, 0 where the text has fewer before it."""
+    """N-grams of a block: ``grams(k)`` has one more than the hash of the k words that end at each word, 0 where the text has fewer before it."""
 
-    def __init__(self, text: bytes, borders: list[int]) -> None:
+    def __init__(self, text: bytes, borders: list[int], bits: int = 63) -> None:
         import zstandard
 
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text) if text else b"", np.uint8)
-        words = Words(data, np.array(borders), SPACED)
-        self.hash, self.rows = words.hash | np.uint64(1), words.rows
-        self.owner = np.repeat(np.arange(len(words)), np.diff(words.rows))
-        self.place = np.arange(len(self.hash)) - words.rows[self.owner]
-        self._grams = [self.hash]
+        parts = [(w.hash, np.diff(w.rows)) for w in _words(data, np.array(borders))]
+        sizes = np.concatenate([np.zeros(0, np.int64), *[s for _, s in parts]])
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in parts]])
+        self.rows = np.concatenate([[0], np.cumsum(sizes)])
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = np.arange(len(self.hash)) - self.rows[self.owner]
+        self.drop = np.uint64(64 - min(bits, 63))
 
     def grams(self, k: int) -> np.ndarray:
-        while len(self._grams) < k:
-            shorter, n = self._grams[-1], len(self._grams)
-            longer = np.zeros_like(shorter)
-            longer[1:] = mix(shorter[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hash[1:]) | np.uint64(1)
-            longer[self.place < n] = 0
-            self._grams.append(longer)
-        return self._grams[k - 1]
+        found = self.hash
+        for _ in range(k - 1):
+            longer = np.zeros_like(found)
+            longer[1:] = mix(found[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hash[1:])
+            found = longer
+        found = (found >> self.drop) + np.uint64(1)
+        found[self.place < k - 1] = 0
+        return found
 
 
 def _found(values: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -123,13 +139,13 @@ def _elsewhere(folder: str, block: int, k: int) -> tuple[np.ndarray, np.ndarray]
     return _unpack(sharedfiles.get(f"{folder}/{k}/{block}"))
 
 
-def _counted(table: DataFrame, folder: str, k: int, partitions: int) -> None:
+def _counted(table: DataFrame, folder: str, k: int, partitions: int, bits: int) -> None:
     """Count n-grams of order k over all blocks; each block's counts elsewhere become a file of the shared folder."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, text, borders in zip(*[batch.column(c) for c in ("block", "text", "borders")]):
-                block, own = block.as_py(), Block(text.as_py(), borders.as_py())
+                block, own = block.as_py(), Block(text.as_py(), borders.as_py(), bits)
                 grams = own.grams(k)
                 chosen = grams != 0
                 if k > 1:
@@ -138,7 +154,7 @@ def _counted(table: DataFrame, folder: str, k: int, partitions: int) -> None:
                     chosen &= shared
                     chosen[1:] &= shared[:-1]
                 values, times = np.unique(grams[chosen], return_counts=True)
-                cuts = np.searchsorted(values, [np.uint64(p * (1 << 64) // partitions) for p in range(1, partitions)])
+                cuts = np.searchsorted(values, [np.uint64((p << min(bits, 63)) // partitions) for p in range(1, partitions)])
                 rows = [(p, v, t) for p, (v, t) in enumerate(zip(np.split(values, cuts), np.split(times, cuts))) if len(v)]
                 # A row without n-grams for each block, so that each gets a file.
                 rows.append((block % partitions, values[:0], times[:0]))
@@ -206,13 +222,17 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_text: int = BLOCK_TEXT,
     size, total = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     partitions = max(4, -(-int(size) // partition_text))
     folder = f"{shared_dir(docs.sparkSession)}/{uuid.uuid4().hex}"
+    bits = hash_bits(int(total))
     for k in range(1, order + 1):
-        _counted(table, folder, k, partitions)
+        _counted(table, folder, k, partitions, bits)
+        # Spark removes shuffle files once nothing refers to them any more.
+        gc.collect()
+        docs.sparkSession._jvm.System.gc()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, text, borders in zip(*[batch.column(c) for c in ("block", "docs", "text", "borders")]):
-                own = Block(text.as_py(), borders.as_py())
+                own = Block(text.as_py(), borders.as_py(), bits)
                 log, used, most = _scores(own, [_elsewhere(folder, block.as_py(), k) for k in range(1, order + 1)], total)
                 n = len(own.rows) - 1
                 sums = np.bincount(own.owner, log, n), np.bincount(own.owner, used < most, n), np.bincount(own.owner, used == 0, n)

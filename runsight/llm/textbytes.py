@@ -88,6 +88,15 @@ class Words:
         return total, borders
 
 
+def slices(borders: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of stretches of texts that have about ``BLOCK_BYTES`` together, given their borders."""
+    first = 0
+    while first < len(borders) - 1:
+        last = max(first + 1, int(np.searchsorted(borders, borders[first] + BLOCK_BYTES, "right")) - 1)
+        yield first, last
+        first = last
+
+
 def blocks(texts: pa.Array, word: np.ndarray = SPACED) -> Iterator[tuple[int, Words]]:
     """Words of all texts of a column (null as empty) in blocks of about ``BLOCK_BYTES``: (number of the first text, words)."""
     texts = pc.fill_null(texts, "")
@@ -99,8 +108,5 @@ def blocks(texts: pa.Array, word: np.ndarray = SPACED) -> Iterator[tuple[int, Wo
     borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     buffer = texts.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    first = 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(borders, borders[first] + BLOCK_BYTES, "right")) - 1)
+    for first, last in slices(borders):
         yield first, Words(data[borders[first] : borders[last]], borders[first : last + 1] - borders[first], word)
-        first = last
