@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runsight.llm.batches import small_batches
 from runsight.llm.textbytes import LETTERS, Words, blocks
 from runsight.session import materialize
 
@@ -225,7 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                     names = [c.split()[0] for c in OUT.split(", ")]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c) for c in columns]], names)
 
-        return docs.select("doc_id", "text").mapInArrow(run, OUT)
+        return small_batches(docs).select("doc_id", "text").mapInArrow(run, OUT)
 
     parts = [against(index) for index in indexes(items)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], OUT)
@@ -233,7 +234,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``docs`` without the rows that hold a leaked item; all columns stay. Cases as in ``leaks``."""
-    kept = docs
+    kept = small_batches(docs)
     for index in indexes(items):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runsight.llm.batches import small_batches
 from runsight.llm.sampling import labelled_texts, remainder
 from runsight.llm.textbytes import LETTERS, _LOWER, Words, blocks
 
@@ -207,7 +208,7 @@ def predict(docs: DataFrame, network: Network | None, languages: list[str]) -> D
     Null texts and texts without a letter are ``und``, as is everything if nothing was learned. Of equal probabilities the first language by name wins.
     """
     lettered = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
-    given = docs.select(lettered.alias("__letters"), *[F.col(c) for c in docs.columns])
+    given = small_batches(docs).select(lettered.alias("__letters"), *[F.col(c) for c in docs.columns])
     names = np.array([*languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runsight.llm.batches import small_batches
 from runsight.llm.textbytes import SPACED, Words, blocks, mix
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
@@ -72,7 +73,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                     ["doc_id", "n_shingles", "key_a", "key_b", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary")
 
 
 def _neighbours(table: np.ndarray, tree: np.ndarray, node: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

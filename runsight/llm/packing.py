@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsight.llm import tokens
+from runsight.llm.batches import small_batches
 from runsight.session import materialize
 
 LENGTH = 2048
@@ -46,7 +47,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
                 out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "key", "ids"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, ids binary"))
+    return materialize(small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, key long, ids binary"))
 
 
 def statistics(tokenised: DataFrame) -> tuple[np.ndarray, float]:

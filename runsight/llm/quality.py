@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runsight.llm.batches import small_batches
 from runsight.llm.sampling import labelled_texts, remainder
 from runsight.llm.textbytes import SPACED, Words, blocks, mix
 
@@ -167,7 +168,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
                     found[first : first + len(words)] = model.forward(*passages(words))["score"]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

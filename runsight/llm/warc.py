@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.llm import sharedfiles
+from runsight.llm.batches import small_batches
 from runsight.session import materialize
 
 #: Fixed values of the format.
@@ -220,7 +221,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["path", "n_records", "n_bytes"])
 
-    return materialize(with_originals(pages, least_bytes).mapInArrow(write, "path string, n_records long, n_bytes long"))
+    return materialize(with_originals(small_batches(pages), least_bytes).mapInArrow(write, "path string, n_records long, n_bytes long"))
 
 
 def _read(files: DataFrame, columns: str, gaps: bool) -> DataFrame:

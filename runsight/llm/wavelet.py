@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runsight.llm import sharedfiles, tokens
+from runsight.llm.batches import small_batches
 from runsight.session import materialize
 
 MAGIC = b"WVM1"
@@ -38,21 +39,21 @@ class WaveletMatrix:
         bits = max(1, int(ids.max(initial=0)).bit_length())
         rest, planes = ids.astype(np.uint16 if bits <= 16 else np.uint32), []
         for level in range(bits - 1, -1, -1):
-            plane = (rest >> level) & 1 == 1
+            plane = (rest >> rest.dtype.type(level) & rest.dtype.type(1)).astype(bool)
             planes.append(plane)
             rest = np.concatenate([rest[~plane], rest[plane]])
         return cls(planes, np.asarray(doc_ids, "<i8"), np.asarray(counts, "<i8"), len(ids))
 
     def decode(self) -> np.ndarray:
         """All ids in token order, read from the lowest plane upwards."""
-        values = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        values = np.zeros(self.size, kind)
         for depth, plane in enumerate(reversed(self.planes)):
             zeros = self.zeros[-1 - depth]
             above = np.empty_like(values)
-            above[~plane], above[plane] = values[:zeros], values[zeros:]
-            above |= plane.astype(np.uint32) << np.uint32(depth)
+            above[~plane], above[plane] = values[:zeros], values[zeros:] | kind(1 << depth)
             values = above
-        return values
+        return values.astype(np.uint32)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones of a plane before place ``i``."""
@@ -167,7 +168,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, shard_t
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["part", "shard", "path", "n_docs", "n_tokens"])
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    keyed = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("tie"))
     ranges = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     written = materialize(ranges.mapInArrow(write, "part long, shard long, path string, n_docs long, n_tokens long"))
     by_part = written.groupBy("part").agg(F.sum("n_tokens").alias("all"))  # one row per task
