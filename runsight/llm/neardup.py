@@ -248,9 +248,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, stars: DataFrame | None = None) -> DataFrame | None:
-    """(node, component) of the nodes that confirmed links join, on top of those in ``stars``; None without any link."""
+    """(node, component) of the nodes that confirmed links join, None without any link. On top of known ``stars`` all pairs between components are tested at once."""
     tested = None
-    for turn in ("partner", "best", "all"):
+    for turn in ("partner", "best", "all") if stars is None else ("all",):
         open_pairs = pairs
         if tested is not None:
             open_pairs = open_pairs.join(tested, ["a", "b"], "left_anti")
