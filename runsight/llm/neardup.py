@@ -5,7 +5,7 @@
    no prefix, however common, has to fit one task; what lies at the borders of two ranges is compared in a further step.
 3. Candidates: neighbours that share a prefix of ``DEPTH`` components. Where more than ``REGION`` nodes share one, the prefix grows, component by component and for this region only,
    until it holds no more, and each node is also compared with its next neighbours in the order. So each node has a bounded number of candidates per tree. What such a region
-   may have missed is made up for at the end: its nodes outside of its largest component are compared, in blocks, with all nodes of the region in other components.
+   may have missed is made up for at the end: its nodes outside of its largest component are compared, in blocks, with all nodes of the region in other components, and tested against the closest.
    Of these, pairs whose signatures agree in fewer than ``AGREE`` components are left out; at a similarity of 0.8 that loses one pair in a hundred thousand.
 4. Links are confirmed on the full sets, first one per node, then the best between any two components, then all that are still between two components. Pairs inside a component
    need no check, as they cannot change it. Components are found by star contraction over tables in the shared folder.
@@ -31,6 +31,8 @@ from runsight.session import materialize
 COMPONENTS, TREES, DEPTH = 64, 16, 3
 REGION = 32
 NEXT = 2
+#: Partners that a node outside of a large region's main component is tested against, per block of the region: those that agree most.
+CLOSEST = 4
 AGREE = 34
 #: Pairs that agree in so many components are tried first.
 SURE = 50
@@ -174,8 +176,8 @@ def candidates(nodes: DataFrame, region: int = REGION) -> DataFrame:
 def strays(nodes: DataFrame, stars: DataFrame, region: int = REGION, block: int = 2048) -> DataFrame:
     """(a, b, same): pairs that a region too large for all its pairs may have missed.
 
-    In each such region, nodes outside of its largest component are compared with all others of the region that are in another component. Both sides are
-    cut into blocks of about ``block`` nodes, so that no task holds a whole region.
+    In each such region, nodes outside of its largest component are compared with all others of the region that are in another component; the ``CLOSEST`` of each block
+    are candidates, so that their number follows that of the nodes. Both sides are cut into blocks of about ``block`` nodes, so that no task holds a whole region.
     """
     rows = forest(nodes).withColumn("stem", F.substr("branch", F.lit(1), F.lit(2 * DEPTH)))
     large = materialize(rows.groupBy("tree", "stem").agg(F.count("*").alias("n")).where(F.col("n") > region))
@@ -201,6 +203,7 @@ def strays(nodes: DataFrame, stars: DataFrame, region: int = REGION, block: int
             for node, component, row in zip(nb, cb, tb):
                 same = (ta == row).sum(axis=1)
                 at = np.flatnonzero((same >= AGREE) & (ca != component))
+                at = at[np.argsort(-same[at], kind="stable")[:CLOSEST]]
                 for k, x in enumerate((np.minimum(na[at], node), np.maximum(na[at], node), same[at])):
                     found[k].append(x)
         return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in found], ["a", "b", "same"])
