@@ -1,7 +1,7 @@
 """Benchmark decontamination: every passage of the training text is a query against a BM25 index of the test items.
 
-1. Items are cut into segments of at most ``SEGMENT`` words, the documents of the index. A segment's term weights are divided by its own score, so that 1.0 means that a passage holds
-   all its terms. Statistics are over all items.
+1. Items are cut into segments of at most ``SEGMENT`` words, the documents of the index; their questions are cut again on their own, so that a text with the question alone is found too.
+   A segment's term weights are divided by its own score, so that 1.0 means that a passage holds all its terms. Statistics are over all items.
 2. Segments are put in order and into blocks; each term keeps its largest weight per block. Texts are cut into passages of two segments' length, one segment apart, so that every
    copied segment lies whole in a passage.
 3. Block-max WAND, a set at a time: sums of the terms' largest weights bound the scores of all passages of a batch; passages that reach the threshold get the sums of block maxima, and
@@ -70,10 +70,11 @@ class Index:
         for item, text in sorted(items):
             question, answer = question_and_answer(text)
             self.shingles[item] = [_part(t) for t in (question, answer, text)]
-            own = _words(text).hash
-            for part in cut(own):
+            own, asked = _words(text).hash, _words(question).hash
+            for part in cut(own) + (cut(asked) if len(asked) < len(own) else []):
                 terms, times = np.unique(part, return_counts=True)
-                idf = np.array([math.log1p((segments - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in terms])
+                often = [df.get(int(t), 0) for t in terms]  # a question cut at rare white space may hold a word of its own
+                idf = np.array([math.log1p((segments - n + 0.5) / (n + 0.5)) for n in often])
                 weights = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(part) / mean))
                 self.ids.append(item)
                 rows.append(dict(zip(terms.tolist(), (weights / weights.sum()).tolist())))
@@ -147,8 +148,9 @@ class Index:
         hits: dict[tuple[int, int], list] = {}
         for p, own, opened in self.open_passages(terms, chunk, passages_of, threshold):
             for segment, score in self.search(own, opened, threshold):
-                hit = hits.setdefault((int(owner[p]), self.ids[segment]), [0.0, 0])
-                hit[0], hit[1] = max(hit[0], score), hit[1] + 1
+                hit = hits.setdefault((int(owner[p]), self.ids[segment]), [0.0, set()])
+                hit[0] = max(hit[0], score)
+                hit[1].add(p)
         if not hits:
             return
         there: dict[tuple[int, int], np.ndarray] = {}
@@ -163,7 +165,7 @@ class Index:
         for (text, item), (score, passages) in sorted(hits.items()):
             question, answer, whole = (share(text, *own) for own in self.shingles[item])
             if whole >= overlap or question >= overlap:
-                yield text, item, score, question, answer, whole, passages
+                yield text, item, score, question, answer, whole, len(passages)
 
 
 def cut(words: np.ndarray) -> list[np.ndarray]:
@@ -211,7 +213,8 @@ def _run(index: Index, batch: pa.RecordBatch, texts: pa.Array, threshold: float,
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per document and leaked item: doc_id, item_id, score (best passage, 1.0 for all terms of a segment), question_overlap, answer_overlap, overlap, passages.
+    """One row per document and leaked item: doc_id, item_id, score (best passage, 1.0 for all terms of a segment), question_overlap, answer_overlap, overlap,
+    passages (those that reach the threshold for any segment).
 
     Null and empty texts leak nothing; rows that share a doc_id are searched one by one; an empty table or benchmark gives no rows. Texts are read where
     they lie, without a shuffle; only doc_id and text are read.

@@ -154,6 +154,17 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == wanted
 
 
+def test_question_alone_is_a_leak(spark):
+    items = [(i, f"{_prose(i, 8)}\n{_prose(500 + i, 40)}") for i in range(30)] + [(100 + i, f"{_prose(900 + i, 70)}?\n{_prose(950 + i, 300)}") for i in range(5)]
+    docs = [(i, f"{_prose(2000 + i, 90)} {decontam.question_and_answer(t)[0]} {_prose(3000 + i, 70)}", "en", "s", "x") for i, t in items]
+    wanted = _leaks(docs, items)
+    assert wanted == {(i, i) for i, _ in items}
+    docs, items = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == wanted and all(r.question_overlap == 1.0 and r.answer_overlap == 0.0 for r in found)
+    assert decontam.clean(docs, items).count() == 0
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame(_docs(), SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontam.leaks(docs, items).count() == 0 and decontam.clean(docs, items).count() == docs.count()
