@@ -5,8 +5,9 @@
    no prefix, however common, has to fit one task; what lies at the borders of two ranges is compared in a further step.
 3. Candidates: neighbours that share a prefix of ``DEPTH`` components. Where more than ``REGION`` nodes share one, the prefix grows, component by component and for this region only,
    until it holds no more, and each node is also compared with its next neighbours in the order. So each node has a bounded number of candidates per tree. What such a region
-   may have missed is made up for at the end: its nodes outside of its largest component are compared, in blocks, with all nodes of the region in other components, and tested against the closest.
-   Of these, pairs whose signatures agree in fewer than ``AGREE`` components are left out; at a similarity of 0.8 that loses one pair in a hundred thousand.
+   may have missed is made up for at the end: its nodes outside of its largest component are compared, in blocks, with all nodes of the region in other components, the closest first, in turns until
+   no pair between two components is left. Pairs whose signatures agree in fewer than ``AGREE`` components are left out; at a similarity of 0.8 that loses one pair in a hundred thousand. So are
+   pairs that cannot be alike by their shingles' counts per bucket: sets differ by at least as much as these counts, so that this loses none.
 4. Links are confirmed on the full sets, first one per node, then the best between any two components, then all that are still between two components. Pairs inside a component
    need no check, as they cannot change it. Components are found by star contraction over tables in the shared folder.
 
@@ -31,8 +32,11 @@ from runsight.session import materialize
 COMPONENTS, TREES, DEPTH = 64, 16, 3
 REGION = 32
 NEXT = 2
-#: Partners that a node outside of a large region's main component is tested against, per block of the region: those that agree most.
-CLOSEST = 4
+#: Partners that a node outside of a large region's main component is tested against in the first turn, per block of the region: those that agree most. Each further turn
+#: goes on to ``FURTHER`` times as many.
+CLOSEST, FURTHER = 4, 4
+#: Buckets of a set's shingles, by hash; their counts (255 at most) bound how much two sets have in common.
+BUCKETS = 128
 AGREE = 34
 #: Pairs that agree in so many components are tried first.
 SURE = 50
@@ -47,7 +51,7 @@ def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key_a and key_b (128 bits that depend on the set alone), signature; the last three null for texts without words."""
+    """doc_id, n_shingles, key_a and key_b (128 bits that depend on the set alone), signature, counts (shingles per bucket); the last four null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +61,8 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 none = sizes == 0
                 table = np.zeros((len(sizes), COMPONENTS), "<u2")
                 keys = np.zeros((2, len(sizes)), np.uint64)
+                bucket = (sets >> np.uint64(57)).astype(np.int64) + np.repeat(np.arange(len(sizes)) * BUCKETS, sizes)
+                counts = np.minimum(np.bincount(bucket, minlength=len(sizes) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
                 if len(at):
                     for k, seed in enumerate(_SEEDS):
                         own = (sets ^ seed) * seed
@@ -70,12 +76,12 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                         batch.column(0).slice(first, len(sizes)),
                         pa.array(sizes),
                         *[pa.array(k.view(np.int64), mask=none) for k in keys],
-                        pa.array([None if e else row.tobytes() for e, row in zip(none, table)], pa.binary()),
+                        *[pa.array([None if e else row.tobytes() for e, row in zip(none, x)], pa.binary()) for x in (table, counts)],
                     ],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "signature"],
+                    ["doc_id", "n_shingles", "key_a", "key_b", "signature", "counts"],
                 )
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary, counts binary")
 
 
 def _neighbours(table: np.ndarray, tree: np.ndarray, node: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,14 +134,14 @@ def _rows(a, b, same, *edge) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns + (list(edge) if edge else none), [c.split()[0] for c in _EDGE.split(", ")])
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """(tree, branch, node): the signature of every node as each tree orders it."""
+def forest(nodes: DataFrame, *more: str) -> DataFrame:
+    """(tree, branch, node): the signature of every node as each tree orders it, and ``more`` columns of the node."""
     step = 2 * COMPONENTS // TREES
     turned = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.cast("long").alias("tree"), F.concat(F.substr("signature", t * step + 1, F.lit(2 * COMPONENTS)), F.substr("signature", F.lit(1), t * step)).alias("branch")),
     )
-    return nodes.select("node", F.explode(turned).alias("x")).select("x.tree", "x.branch", "node")
+    return nodes.select("node", *more, F.explode(turned).alias("x")).select("x.tree", "x.branch", "node", *more)
 
 
 def candidates(nodes: DataFrame, region: int = REGION) -> DataFrame:
@@ -173,40 +179,56 @@ def candidates(nodes: DataFrame, region: int = REGION) -> DataFrame:
     return found.where("b IS NOT NULL").select("a", "b", "same").unionByName(across).distinct()
 
 
-def strays(nodes: DataFrame, stars: DataFrame, region: int = REGION, block: int = 2048) -> DataFrame:
-    """(a, b, same): pairs that a region too large for all its pairs may have missed.
+def crowded(nodes: DataFrame, stars: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame]:
+    """Regions too large for all their pairs that hold several components: (tree, stem, n, n_strays, main) and their members with the first two.
 
-    In each such region, nodes outside of its largest component are compared with all others of the region that are in another component; the ``CLOSEST`` of each block
-    are candidates, so that their number follows that of the nodes. Both sides are cut into blocks of about ``block`` nodes, so that no task holds a whole region.
+    ``main`` is the largest component, so that of any two nodes in different components one at least is outside of it. It stays as it is while components grow together.
     """
-    rows = forest(nodes).withColumn("stem", F.substr("branch", F.lit(1), F.lit(2 * DEPTH)))
+    rows = forest(nodes, "n_shingles", "counts").withColumn("stem", F.substr("branch", F.lit(1), F.lit(2 * DEPTH)))
     large = materialize(rows.groupBy("tree", "stem").agg(F.count("*").alias("n")).where(F.col("n") > region))
-    members = rows.join(broadcast_if_small(large, stored=True), ["tree", "stem"]).join(stars, "node", "left")
-    members = materialize(members.withColumn("component", F.coalesce("component", "node")))
-    sizes = members.groupBy("tree", "stem", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("tree", "stem").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("n_strays"))
-    main = materialize(main.where("n_strays > 0"))
-    placed = members.join(broadcast_if_small(main, stored=True), ["tree", "stem"])
+    members = rows.join(broadcast_if_small(large.select("tree", "stem"), stored=True), ["tree", "stem"]).join(stars, "node", "left")
+    members = materialize(members.withColumn("first", F.coalesce("component", "node")).drop("component"))
+    sizes = members.groupBy("tree", "stem", "first").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("tree", "stem").agg(F.max_by("first", F.struct("k", "first")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("n_strays"))
+    return materialize(main.where("n_strays > 0")), members
+
+
+def strays(regions: DataFrame, members: DataFrame, stars: DataFrame, percent: int, low: int, high: int, block: int = 2048) -> DataFrame:
+    """(a, b, same): pairs that a region too large for all its pairs may have missed, and a row of nulls if some are left for further turns.
+
+    Nodes outside of a region's main component are compared with all others of the region. Per block, partners that may be alike have a fixed order, the closest first;
+    those in places ``low`` to ``high`` that are in another component by now are candidates. Both sides are cut into blocks of about ``block`` nodes, so that no
+    task holds a whole region.
+    """
+    placed = members.join(broadcast_if_small(regions, stored=True), ["tree", "stem"]).join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     count = lambda n: F.ceil(F.col(n) / block).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), count(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
-    key, columns = ["tree", "stem", "left", "right"], ["node", "component", "branch"]
+    key, columns = ["tree", "stem", "left", "right"], ["node", "component", "n_shingles", "branch", "counts"]
     left = placed.select("tree", "stem", own("n").alias("left"), every("n_strays").alias("right"), *columns)
-    right = materialize(placed.where("component <> main").select(own("n_strays").alias("right"), every("n").alias("left"), "tree", "stem", *columns))
+    right = materialize(placed.where("first <> main").select(own("n_strays").alias("right"), every("n").alias("left"), "tree", "stem", *columns))
 
     def compare(these: pa.Table, those: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        further = False
         if these.num_rows and those.num_rows:
-            (na, ca, ta), (nb, cb, tb) = [
-                (t["node"].to_numpy(), t["component"].to_numpy(), np.frombuffer(b"".join(t["branch"].to_pylist()), "<u2").reshape(-1, COMPONENTS)) for t in (these, those)
+            (na, ca, sa, ta, ka), (nb, cb, sb, tb, kb) = [
+                (*[t[c].to_numpy() for c in columns[:3]], np.frombuffer(b"".join(t["branch"].to_pylist()), "<u2").reshape(-1, COMPONENTS), np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16))
+                for t in (these.sort_by("node"), those)
             ]
-            for node, component, row in zip(nb, cb, tb):
+            for node, component, size, row, held in zip(nb, cb, sb, tb, kb):
                 same = (ta == row).sum(axis=1)
-                at = np.flatnonzero((same >= AGREE) & (ca != component))
-                at = at[np.argsort(-same[at], kind="stable")[:CLOSEST]]
+                at = np.flatnonzero((same >= AGREE) & (na != node))
+                both = (sa[at] + size - np.abs(ka[at] - held).sum(axis=1, dtype=np.int64)) // 2  # at most so many shingles in common
+                at = at[100 * both >= percent * (sa[at] + size - both)]
+                at = at[np.argsort(-same[at], kind="stable")]
+                further = further or bool((ca[at[high:]] != component).any())
+                at = at[low:high]
+                at = at[ca[at] != component]
                 for k, x in enumerate((np.minimum(na[at], node), np.maximum(na[at], node), same[at])):
                     found[k].append(x)
-        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in found], ["a", "b", "same"])
+        out = pa.table([pa.array(np.concatenate(x), pa.int64()) for x in found], ["a", "b", "same"])
+        return pa.concat_tables([out, pa.table([pa.nulls(1, pa.int64())] * 3, ["a", "b", "same"])]) if further else out
 
     return left.groupBy(*key).cogroup(right.select(*key, *columns).groupBy(*key)).applyInArrow(compare, "a long, b long, same long").distinct()
 
@@ -287,7 +309,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, region: int
     doc_id and text are read.
     """
     own = materialize(signatures(docs, n))
-    sets = own.where("doc_id IS NOT NULL AND key_a IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    sets = own.where("doc_id IS NOT NULL AND key_a IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("signature", "n_shingles", "counts")])
     sets = materialize(sets)
     pairs = materialize(candidates(sets, region))
 
@@ -296,15 +318,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, region: int
         return materialize(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text").join(broadcast_if_small(wanted, stored=True), "node"))
 
     stars = _confirmed(pairs, texts_of(pairs), n, percent)
-    if stars is not None:
-        missed = materialize(strays(sets, stars, region))
+    if stars is None:
+        stars = docs.sparkSession.createDataFrame([], "node long, component long")
+    regions, members = crowded(sets, stars, region)
+    low, high = 0, CLOSEST
+    more = not regions.isEmpty()
+    while more:
+        found = materialize(strays(regions, members, stars, percent, low, high))
+        missed = found.where("a IS NOT NULL")
         if not missed.isEmpty():
             stars = _confirmed(missed, texts_of(missed), n, percent, stars)
+        more = not found.where("a IS NULL").isEmpty()
+        low, high = high, FURTHER * high
     placed = own.join(sets.select("key_a", "key_b", "node"), ["key_a", "key_b"], "left")
-    if stars is not None:
-        placed = placed.join(stars, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
-    else:
-        placed = placed.withColumn("component_id", F.coalesce("node", "doc_id"))
+    placed = placed.join(stars, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

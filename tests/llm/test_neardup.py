@@ -63,6 +63,21 @@ def test_components_equal_brute_force(spark, copies, region):
         assert (r.component_id, r.n_shingles, r.kept) == (wanted[r.doc_id], sizes[r.doc_id], r.doc_id == wanted[r.doc_id]), r
 
 
+def test_true_partner_among_many_lookalikes(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared, rows = [word() for _ in range(178)], []
+    for i in range(60):
+        tail = [word() for _ in range(25)]
+        rows.append((i, " ".join(shared + tail), "en", "x", None))
+        if i % 4 == 0:  # a partner that shares a little more than the template
+            rows.append((1000 + i, " ".join(shared + tail[:4] + [word() for _ in range(21)]), "en", "x", None))
+    wanted = _brute(rows, 4)
+    assert len(set(wanted.values())) == 60
+    out = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 4, 80, 4).collect()
+    assert {r.doc_id: r.component_id for r in out} == wanted
+
+
 def test_rows_without_id_and_empty_table(spark):
     rows = [(None, "a b c d e", None, None, None), (1, "a b c d e", None, None, None), (2, "a b c d e", None, None, None)]
     out = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
