@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and identifiers that the fixed patterns miss, found by the words around known ones.
 
 1. Base: four fixed regular expressions give spans (kind, start, end) in code points.
-2. Seeds and patterns: each base span is a seed entity. The three words before it, and two words before with the one behind it, are its lexical patterns.
+2. Seeds and patterns: each base span is a seed entity. The two and the three words before it, and one and two words before with the one behind it, are its lexical patterns.
    Every other word that holds a digit or an at sign is a candidate with patterns of its own.
 3. Graph: patterns that at least ``min_seeds`` different seeds share are kept. An edge says how often a pattern stood around an entity. How often
    a pattern stands around any word at all is counted over the whole corpus, so a pattern of ordinary prose scores near 0.
@@ -33,6 +33,7 @@ PATTERNS = {
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Contexts are read from so many code points on either side of an entity.
 REACH = 80
+PATTERN_NAMES = ("left2", "left", "around", "both")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,surface:string>>"
 
 
@@ -86,14 +87,17 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(text: Column, span: Column) -> Column:
-    """Hashes of the two lexical patterns around a span, null where the text has too few words there."""
+    """Hashes of the four lexical patterns around a span, null where the text has too few words there."""
+
     before = F.lower(F.substr(text, F.greatest(span["start"] - REACH + 1, F.lit(1)), F.least(span["start"], F.lit(REACH))))
     after = F.lower(F.substr(text, span["end"] + 1, F.lit(REACH)))
 
     def keys(w: Column) -> Column:
         b, a = w.getItem(0), w.getItem(1)
         return F.struct(
+            F.when(F.size(b) >= 2, F.xxhash64(F.lit("left2"), F.element_at(b, -2), F.element_at(b, -1))).alias("left2"),
             F.when(F.size(b) >= 3, F.xxhash64(F.lit("left"), F.element_at(b, -3), F.element_at(b, -2), F.element_at(b, -1))).alias("left"),
+            F.when((F.size(b) >= 1) & (F.size(a) >= 1), F.xxhash64(F.lit("around"), F.element_at(b, -1), F.element_at(a, 1))).alias("around"),
             F.when((F.size(b) >= 2) & (F.size(a) >= 1), F.xxhash64(F.lit("both"), F.element_at(b, -2), F.element_at(b, -1), F.element_at(a, 1))).alias("both"),
         )
 
@@ -104,9 +108,8 @@ def _word_contexts(text: Column) -> Column:
     """Pattern hashes around every word of a text."""
 
     def around(w: Column) -> Column:
-        left = F.transform(positions(1, F.size(w) - 3), lambda i: F.xxhash64(F.lit("left"), F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
-        both = F.transform(positions(1, F.size(w) - 3), lambda i: F.xxhash64(F.lit("both"), F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 3)))
-        return F.concat(left, both)
+        at = lambda name, less, *places: F.transform(positions(1, F.size(w) - less), lambda i: F.xxhash64(F.lit(name), *[F.element_at(w, i + k) for k in places]))
+        return F.concat(at("left2", 2, 0, 1), at("left", 3, 0, 1, 2), at("around", 2, 0, 2), at("both", 3, 0, 1, 3))
 
     return let(words(F.lower(text)), around)
 
@@ -134,7 +137,7 @@ def entities(found: DataFrame) -> DataFrame:
     spans = found.select("doc_id", "text_key", "text", F.explode(F.concat("base", outside)).alias("s"))
     return spans.select(
         "doc_id", "text_key", "s.*", F.xxhash64(F.lower("s.surface"), "s.kind").alias("entity"), _contexts(F.col("text"), F.col("s")).alias("c")
-    ).select("doc_id", "text_key", "kind", "start", "end", "surface", "entity", F.col("c.left").alias("left"), F.col("c.both").alias("both"))
+    ).select("doc_id", "text_key", "kind", "start", "end", "surface", "entity", *[F.col(f"c.{p}").alias(p) for p in PATTERN_NAMES])
 
 
 def scored_entities(edges: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
@@ -160,7 +163,7 @@ def scored_entities(edges: DataFrame, totals: DataFrame, rounds: int) -> DataFra
 def discovered(docs: DataFrame, found: DataFrame, min_seeds: int = 3, rounds: int = 3, accept: float = 0.8) -> DataFrame:
     """(doc_id, text_key, added): spans beyond the base of the documents that have any."""
     spots = materialize(entities(found))
-    around = spots.select("entity", "kind", F.explode(F.array("left", "both")).alias("pattern")).where("pattern IS NOT NULL")
+    around = spots.select("entity", "kind", F.explode(F.array(*PATTERN_NAMES)).alias("pattern")).where("pattern IS NOT NULL")
     edges = around.groupBy("pattern", "entity", "kind").agg(F.count("*").alias("n"))
     strong = edges.where("kind IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
     strong = materialize(strong)  # eight bytes a row: the row limit of the broadcast is a limit of bytes

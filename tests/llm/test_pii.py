@@ -70,6 +70,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(found[i].spans == ",".join(_brute(t)) for i, t, *_ in rows if i != 50)
 
 
+def test_short_contexts(spark):
+    rows = [(i, f"{name} tel no +1 555 123 456{i}", "en", "x") for i, name in enumerate("anna bert carl dora emil fred gina hugo".split())]
+    rows += [(20 + i, f"{'abcdefgh'[i]}x phone: +1 555 321 456{i} ext", "en", "x") for i in range(8)]
+    rows += [(100, "zoe tel no 555-123-9999", "en", "x"), (101, "phone: 555-321-9999 ext", "en", "x")]
+    found = {r.doc_id: r for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert found[100].spans == "phone:11:23" and found[101].spans == "phone:7:19"
+
+
 def test_mask(spark):
     rows = _bootstrap_rows() + [(60, None, None, "x"), (61, "a@b.cd +4930123456 end", "en", None)]
     df = spark.createDataFrame(rows, SCHEMA)
