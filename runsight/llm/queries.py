@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import decontam, langid, lmscore, neardup, packing, pii, quality, rules, warc, wavelet
+from runsight.llm import decontam, langid, lmscore, neardup, packing, pii, quality, rules, simhash, warc, wavelet
 from runsight.queries import r, scratch, table
 from runsight.session import materialize
 
@@ -136,3 +136,8 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, len(w)
 @query(OP10)
 def op10_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     return lmscore.lm_scores(table(spark, d, "documents")).withColumn("log_score", r("log_score", 4))
+
+
+@query()
+def op13_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, d, "documents"))
