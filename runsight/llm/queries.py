@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runsight.llm import decontam, langid, lmscore, neardup, packing, pii, quality, rules, simhash, warc, wavelet
+from runsight.llm import collocate, decontam, langid, lmscore, neardup, packing, pii, quality, resample, rules, simhash, warc, wavelet
 from runsight.queries import r, scratch, table
 from runsight.session import materialize
 
@@ -138,6 +138,55 @@ def op10_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     return lmscore.lm_scores(table(spark, d, "documents")).withColumn("log_score", r("log_score", 4))
 
 
+OP11 = r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+       SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+     total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+     x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+     f AS (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM x, range(1, 6) t(m) WHERE i + m - 1 <= len(w)) GROUP BY ALL HAVING count(*) >= 100),
+     often AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1),
+     parts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM often)),
+     cuts AS (SELECT c.lang, c.m, c.phrase, c.a, k, h.f AS l, t.f AS r, n, ((1000::HUGEINT * c.a * n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+              FROM parts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail JOIN total ON total.lang = c.lang),
+     worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     inner_of AS (SELECT lang, phrase AS longer, a, unnest(flatten(list_transform(range(2, m), lambda s: list_transform(range(1, m - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))) AS phrase FROM often WHERE m > 2),
+     covered AS (SELECT lang, phrase, max(a) AS longer FROM inner_of GROUP BY ALL),
+     kept AS (SELECT worst.* FROM worst LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+QUALIFY rank <= 2000
+"""
+
+
+@query(OP11)
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocate.collocations(table(spark, d, "documents"))
+
+
+OP12 = r"""
+WITH crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+     d AS (SELECT 1 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 2, row_number() OVER (), text FROM benchmark),
+     w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+     x AS (SELECT side, id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+     g AS (SELECT side, id, w[i] AS g FROM x UNION ALL SELECT side, id, w[i] || ' ' || w[i + 1] FROM x WHERE i < len(w)),
+     bytes AS (SELECT g, list_transform(range(0, strlen(g)), lambda i: ('0x' || substr(hex(g), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT g FROM g)),
+     sums AS (SELECT g, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+     placed AS (SELECT side, id, bucket, count(*) AS n FROM g JOIN sums USING (g) GROUP BY ALL),
+     n AS (SELECT bucket, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 2), 0)::DOUBLE AS t FROM placed GROUP BY bucket),
+     gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS gain FROM n),
+     m AS (SELECT id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM placed JOIN gain USING (bucket) WHERE side = 1 GROUP BY id),
+     v AS (SELECT w.id AS doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n + n) % n)) // n, 0) AS weight,
+                  ('0x' || sha256('7:' || w.id)[1:8])::BIGINT AS h FROM w LEFT JOIN m USING (id) WHERE side = 1),
+     scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM v),
+     ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scored WHERE words >= 20)
+SELECT s.doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score, CASE WHEN rank <= 25 * able // 100 THEN rank END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query(OP12)
+def op12_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query()
 def op13_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, d, "documents"))
