@@ -51,6 +51,12 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def timed_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts with the time at which they were logged."""
+    times = table(spark, d, "events").select(F.col("event_id").alias("experiment_id"), F.col("ts").cast("timestamp").alias("timestamp"))
+    return attempts(spark, d).join(times, "experiment_id").select("run_id", "experiment_id", "status", "error", "metric_value", "timestamp")
+
+
 def value_baselines(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").where(F.col("event_type").isin("view", "click"))
     return events.groupBy(F.col("event_type").alias("name")).agg(

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.queries import SQL, logs as _logs, query, r, scratch, table  # noqa: F401  _logs registers the SQL used here
-from runsight.queries.inputs import RESULT_LOG, attempts, decided_sql, result_log, value_baselines
+from runsight.queries.inputs import RESULT_LOG, attempts, decided_sql, result_log, timed_attempts, value_baselines
 from runsight.sources import logs
-from runsight.streaming import live
+from runsight.streaming import live, ordered
+
+FAMILIES = ["linear", "random_forest", "xgboost", "lightgbm", "svm"]
 
 
 def _stream(spark: SparkSession, d: str, batch: DataFrame) -> DataFrame:
@@ -59,11 +61,47 @@ def live_decisions(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL["stagnation_events"])
 def live_stagnation(spark: SparkSession, d: str) -> DataFrame:
     bar = value_baselines(spark, d).agg(F.max("score").alias("bar")).first()["bar"]
-    families = ["linear", "random_forest", "xgboost", "lightgbm", "svm"]
-    out = live.drain(live.live_decisions(_stream(spark, d, attempts(spark, d)), bar=bar, families=families), "append")
+    out = live.drain(live.live_decisions(_stream(spark, d, attempts(spark, d)), bar=bar, families=FAMILIES), "append")
     return out.where(F.col("family").isNotNull()).select("run_id", "experiment_id", "family")
 
 
+def _backwards(spark: SparkSession, d: str, delay: str, parts: int = 4) -> DataFrame:
+    """Decisions over a log whose latest stretch is written first, with a last row that closes it by moving the clock on."""
+    path, log = scratch(spark), timed_attempts(spark, d)
+    bar = value_baselines(spark, d).agg(F.max("score").alias("bar")).first()["bar"]
+    top = log.agg(F.max("experiment_id").alias("top")).first()["top"] + 1
+    for i in reversed(range(parts)):
+        log.where((F.col("experiment_id") >= top * i // parts) & (F.col("experiment_id") < top * (i + 1) // parts)).write.mode("append").json(path)
+    spark.sql("SELECT timestamp'2100-01-01' AS timestamp").write.mode("append").json(path)
+    files = spark.read.format("binaryFile").load(path).count()
+    ordered.use_state_store(spark)
+    stream = live.follow(spark, path, log.schema, files_per_batch=max(1, files // parts))
+    return live.drain(ordered.ordered_decisions(stream, delay, bar=bar, families=FAMILIES), "append")
+
+
+@query(f"WITH {decided_sql(gate=True)} SELECT run_id, experiment_id, action, gated, best_before, FALSE AS late FROM decided")
+def ordered_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """A log read back to front, within a delay that covers it: the decisions of the batch."""
+    return _backwards(spark, d, "60 days").select("run_id", "experiment_id", "action", "gated", "best_before", "late")
+
+
+@query(SQL["stagnation_events"])
+def ordered_stagnation(spark: SparkSession, d: str) -> DataFrame:
+    return _backwards(spark, d, "60 days").where(F.col("family").isNotNull()).select("run_id", "experiment_id", "family")
+
+
+@query("SELECT user_id AS run_id, max(event_id) AS experiment_id, 'time' AS reason FROM events GROUP BY user_id")
+def silent_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every run has used up a budget of 40 days by the time of the last row, which only moves the clock."""
+    log = result_log(spark, d).select("run_id", "experiment_id", "cost_usd", "timestamp")
+    path = scratch(spark)
+    log.write.json(path)
+    spark.sql("SELECT -1L AS run_id, -1L AS experiment_id, 0D AS cost_usd, timestamp'2100-01-01' AS timestamp").write.mode("append").json(path)
+    files = spark.read.format("binaryFile").load(path).count()
+    stream = live.follow(spark, path, log.schema, files_per_batch=max(1, files - 1))
+    return live.drain(live.silent_runs(stream, minutes=40 * 24 * 60), "append")
+
+
 @query(f"WITH {RESULT_LOG} SELECT run_id, experiment_id, metric_value FROM log")
 def without_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Every row written twice comes through once."""

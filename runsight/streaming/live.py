@@ -18,7 +18,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from runsight.functions.values import check_direction
 from runsight.operators.runlog import (
     MAX_RETRIES,
-    OUT_OF_MEMORY_MARKS,
     STAGNATION_THRESHOLD,
     best_result,
     cost_summary,
@@ -26,6 +25,7 @@ from runsight.operators.runlog import (
 )
 from runsight.session import shared_dir
 from runsight.sources.tables import or_empty
+from runsight.streaming.loop import FIELDS, Loop, Rules, advance, out_of_memory, ran
 
 
 def follow(spark: SparkSession, path: str, schema: T.StructType, source: str = "json", files_per_batch: int = 1000, **options) -> DataFrame:
@@ -73,7 +73,6 @@ def without_repeats(log: DataFrame, delay: str = "1 hour", keys: Sequence[str] =
 DECISION = (
     "run_id {run}, experiment_id long, action string, gated boolean, best_before double, consecutive_reverts long, family string"
 )
-DECISION_STATE = "best double, kept boolean, streak long, memory_errors long, tried long, stopped boolean"
 
 
 def live_decisions(
@@ -87,42 +86,27 @@ def live_decisions(
     """Action per attempt as it arrives, with the family a stagnated run moves to.
 
     ``bar`` is the best baseline score. Within a batch a run's attempts are taken in order; batches must
-    arrive in order, as they do from an append-only log.
+    arrive in order, as they do from an append-only log. ``ordered_decisions`` takes rows in any order, at the price of a delay.
     """
-    sign = 1.0 if check_direction(direction) == "maximize" else -1.0
-    families = list(families)
+    rules = Rules(1.0 if check_direction(direction) == "maximize" else -1.0, bar, tuple(families), threshold, max_retries)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, kept, streak, errors, tried, stopped = state.get if state.exists else (None, False, 0, 0, 0, False)
+        loop = Loop(*state.get) if state.exists else Loop()
         rows = pd.concat(list(batches)).sort_values("experiment_id")
         out = []
-        for number, status, error, metric in rows[["experiment_id", "status", "error", "metric_value"]].itertuples(index=False):
-            if stopped:
+        for number, finished, memory, metric in rows[["experiment_id", "finished", "memory", "metric_value"]].itertuples(index=False):
+            if loop.stopped:
                 break
-            ran = status not in ("crash", "timeout") and metric is not None and abs(metric) < float("inf")
-            improved = ran and (best is None or sign * metric > sign * best)
-            passed = bar is None or (ran and sign * metric > sign * bar)
-            memory = status == "crash" and any(mark in (error or "") for mark in OUT_OF_MEMORY_MARKS)
-            errors = 0 if improved else errors + memory
-            before, family = best, None
-            if memory:
-                stopped = errors > max_retries
-                action = "stop" if stopped else "retry"
-            elif improved and passed:
-                action, best, kept, streak = "keep", float(metric), True, 0
-            else:
-                action, streak = "revert", streak + 1
-                if not improved and kept and streak >= threshold and tried < len(families):
-                    family, tried, streak = families[tried], tried + 1, 0
-            out.append((key[0], number, action, bool(improved and not passed), before, streak, family))
-        state.update((best, kept, streak, errors, tried, stopped))
+            loop, made = advance(loop, finished, memory, metric, rules)
+            out.append((key[0], number, *made))
+        state.update(tuple(loop))
         yield pd.DataFrame(out, columns=["run_id", "experiment_id", "action", "gated", "best_before", "consecutive_reverts", "family"])
 
     run = attempts.schema["run_id"].dataType.simpleString().replace("bigint", "long")
     return (
-        attempts.select("run_id", "experiment_id", "status", "error", "metric_value")
+        attempts.select("run_id", "experiment_id", ran().alias("finished"), out_of_memory().alias("memory"), "metric_value")
         .groupBy("run_id")
-        .applyInPandasWithState(step, DECISION.format(run=run), DECISION_STATE, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, DECISION.format(run=run), FIELDS, "append", GroupStateTimeout.NoTimeout)
     )
 
 
