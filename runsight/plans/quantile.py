@@ -1,72 +1,106 @@
-"""Exact medians of large columns in two passes."""
+"""Exact medians of large columns by radix selection: three scans, whatever the values.
+
+A double has an image among the 64-bit whole numbers that keeps its order. Each scan counts the values of all columns at once by the next ``DIGITS`` bits of their images, among those that share
+the bits found before, and so fixes these bits of the wanted ranks. Counts are combined before the shuffle; digits are looked up half by half, so that
+no step sees more than ``2 ** (DIGITS / 2)`` counts of a column at once. No sketch and no guess is involved, and ties are one count.
+"""
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BRACKET_ROWS = 1_000_000
-LEAST_ACCURACY, MOST_ACCURACY = 1_000, 100_000
+#: Bits per scan; the last one takes what is left of 64.
+DIGITS = 22
+_HALF = DIGITS // 2
+#: Scale of the smallest normal number, and its exponent. Smaller numbers are multiples of 2**-1074.
+_LEAST_EXPONENT, _FRACTION = -1022, 52
 
 
-def exact_medians(
-    df: DataFrame, columns: dict[str, Column], accuracy: int | None = None
-) -> dict[str, float | None]:
-    """Median of each expression, averaging the two middle values of an even count.
+def ordered_images(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The columns as whole numbers of 64 bits that order doubles as they are: the bit pattern of the size, with the number's sign. NULL and NaN give NULL.
 
-    A first pass brackets the middle with an approximate quantile. The second keeps only the values inside
-    the bracket, about ``5 n / accuracy`` rows, and ranks them exactly. The bracket is checked against the
-    counts; one that misses is opened fully and ranked again.
+    Each step is a projection of its own, so that no value is worked out twice.
     """
+    least, none = F.lit(2.0**_LEAST_EXPONENT), F.lit(None)
+    x = df.select(*[F.nanvl(c.cast("double"), none).alias(f"{n}_x") for n, c in columns.items()])
+    sizes = x.select("*", *[F.abs(f"{n}_x").alias(f"{n}_size") for n in columns])
+    usual = lambda n: F.when((F.col(f"{n}_size") >= least) & (F.col(f"{n}_size") < float("inf")), F.col(f"{n}_size"))
+    # The logarithm may be off by one next to a power of two; its share of the size tells.
+    exponents = sizes.select("*", *[F.greatest(F.least(F.floor(F.log2(usual(n))).cast("int"), F.lit(1 - _LEAST_EXPONENT)), F.lit(_LEAST_EXPONENT)).alias(f"{n}_e") for n in columns])
+    shares = exponents.select("*", *[(F.col(f"{n}_size") / F.pow(F.lit(2.0), F.col(f"{n}_e"))).alias(f"{n}_share") for n in columns])  # exact: only the exponent moves
+
+    def image(n: str) -> Column:
+        value, size, e, share = (F.col(f"{n}_{c}") for c in ("x", "size", "e", "share"))
+        off = F.when(share < 1, -1).when(share >= 2, 1).otherwise(0)
+        fraction = F.when(share < 1, share * 2).when(share >= 2, share / 2).otherwise(share) - 1
+        normal = (e + off - (_LEAST_EXPONENT - 1)).cast("long") * F.lit(2**_FRACTION) + (fraction * F.lit(2.0**_FRACTION)).cast("long")
+        tiny = (F.when(size < least, size) * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+        found = F.when(size == float("inf"), F.lit(2047 * 2**_FRACTION)).when(size < least, tiny).otherwise(normal)
+        return F.when(value < 0, -1).when(value >= 0, 1) * found
+
+    return shares.select(*[image(n).alias(n) for n in columns])
+
+
+def from_image(image: int) -> float:
+    size = struct.unpack("<d", struct.pack("<q", abs(image)))[0]
+    return -size if image < 0 else size
+
+
+def exact_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
+    """Median of each expression, averaging the two middle values of an even count; None where there is no value."""
     names = list(columns)
-    values = df.select(*[F.nanvl(columns[n].cast("double"), F.lit(None)).alias(f"v{i}") for i, n in enumerate(names)])
-    total = df.count()
-    accuracy = accuracy or min(MOST_ACCURACY, max(LEAST_ACCURACY, 5 * total // BRACKET_ROWS))
-    margin = 2.0 / accuracy
-    first = values.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-        *[
-            F.percentile_approx(f"v{i}", [0.5 - margin, 0.5 + margin], accuracy).alias(f"q{i}")
-            for i in range(len(names))
-        ],
-    ).first()
-    sizes = [first[f"n{i}"] for i in range(len(names))]
-    brackets = {i: tuple(first[f"q{i}"]) for i in range(len(names)) if sizes[i]}
-    found: dict[int, float] = {}
-    while brackets:
-        found.update(_rank_inside(values, sizes, brackets))
-        brackets = {i: (float("-inf"), float("inf")) for i in brackets if i not in found}
-    return {n: found.get(i) for i, n in enumerate(names)}
-
-
-def _rank_inside(values: DataFrame, sizes: list[int], brackets: dict[int, tuple[float, float]]) -> dict[int, float]:
-    below = values.agg(*[F.count(F.when(F.col(f"v{i}") < lo, 1)).alias(f"b{i}") for i, (lo, _) in brackets.items()]).first()
-    inside = values.select(
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("c"),
-                            F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")).alias("v"),
-                        )
-                        for i, (lo, hi) in brackets.items()
-                    ]
-                ),
-                lambda s: s["v"].isNotNull(),
-            )
-        ).alias("s")
-    ).select("s.c", "s.v")
-    counts = inside.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.create_map(*[F.lit(x) for i in brackets for x in (i, below[f"b{i}"])])
-    lower = F.create_map(*[F.lit(x) for i in brackets for x in (i, (sizes[i] - 1) // 2)])
-    upper = F.create_map(*[F.lit(x) for i in brackets for x in (i, sizes[i] // 2)])
-    ranked = counts.select("c", "v", "n", (F.sum("n").over(upto) + start[F.col("c")]).alias("end"))
-    first_of = F.col("end") - F.col("n")
-    holds = lambda rank: (first_of <= rank) & (rank < F.col("end"))
-    rows = ranked.groupBy("c").agg(
-        F.max(F.when(holds(lower[F.col("c")]), F.col("v"))).alias("lo"),
-        F.max(F.when(holds(upper[F.col("c")]), F.col("v"))).alias("hi"),
-    ).collect()
-    return {r["c"]: (r["lo"] + r["hi"]) / 2 for r in rows if r["lo"] is not None and r["hi"] is not None}
+    images = ordered_images(df, {f"v{i}": columns[n] for i, n in enumerate(names)})
+    found = _ranked(images, len(names))
+    middle = {n: [from_image(found[i, side]) for side in ("lo", "hi")] for i, n in enumerate(names) if (i, "lo") in found}
+    return {n: (middle[n][0] if middle[n][0] == middle[n][1] else sum(middle[n]) / 2) if n in middle else None for n in names}
+
+
+def _ranked(images: DataFrame, columns: int) -> dict[tuple[int, str], int]:
+    """Image at both middle ranks of each column: by (column, 'lo' or 'hi')."""
+    known: dict[tuple[int, str], tuple[int, int]] = {}  # upper bits found so far, and the rank among the values that share them
+    shift = 64
+    while shift > 0:
+        shift, before = max(0, shift - DIGITS), shift
+        rows = _digit_at_rank(images, columns, known, shift, before)
+        if not rows:
+            return {}
+        known = {(r["c"], r["side"]): ((r["head"] << (before - shift)) + r["digit"], r["left"]) for r in rows}
+    return {key: image for key, (image, _) in known.items()}
+
+
+def _digit_at_rank(images: DataFrame, columns: int, known: dict, shift: int, before: int) -> list:
+    """One scan: per column and side the next bits at the wanted rank, and the rank among the values that share them too. The first scan finds the ranks from the counts."""
+    first = not known
+    low = (1 << (before - shift)) - 1
+    entries = []
+    for i in range(columns):
+        heads = sorted({head for (c, _), (head, _) in known.items() if c == i})
+        if heads or first:
+            v = F.col(f"v{i}")
+            head = F.lit(0).cast("long") if first else F.shiftright(v, before)
+            digit = F.shiftright(v, shift) if first else F.shiftright(v, shift).bitwiseAND(F.lit(low).cast("long"))
+            inside = v.isNotNull() if first else head.isin(heads)
+            entries.append(F.when(inside, F.struct(F.lit(i).alias("c"), head.alias("head"), digit.alias("digit"))))
+    if not entries:
+        return []
+    each = images.select(F.explode(F.filter(F.array(*entries), lambda s: s.isNotNull())).alias("s")).select("s.*")
+    counts = each.groupBy("c", "head", F.shiftright("digit", _HALF).alias("upper"), "digit").agg(F.count(F.lit(1)).alias("n"))
+    uppers = counts.groupBy("c", "head", "upper").agg(F.sum("n").alias("n"))
+    if first:
+        size = uppers.groupBy("c", "head").agg(F.sum("n").alias("size"))
+        sides = F.array(F.struct(F.lit("lo").alias("side"), F.expr("(size + 1) div 2").alias("rank")), F.struct(F.lit("hi").alias("side"), F.expr("size div 2 + 1").alias("rank")))
+        wanted = size.select("c", "head", F.explode(sides).alias("w")).select("c", "head", "w.side", "w.rank")
+    else:
+        rows = [(c, head, side, rank) for (c, side), (head, rank) in known.items()]
+        wanted = images.sparkSession.createDataFrame(rows, "c int, head long, side string, rank long")
+    place = lambda by, order: Window.partitionBy("c", "head", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # At most 2**_HALF rows per column in either window: counts, not values.
+    ends = uppers.withColumn("end", F.sum("n").over(place([], "upper")))
+    at = ends.join(F.broadcast(wanted), ["c", "head"]).where((F.col("rank") <= F.col("end")) & (F.col("rank") > F.col("end") - F.col("n")))
+    at = at.select("c", "head", "upper", "side", (F.col("rank") - F.col("end") + F.col("n")).alias("rank"))
+    inner = counts.join(F.broadcast(at.select("c", "head", "upper").distinct()), ["c", "head", "upper"]).withColumn("end", F.sum("n").over(place(["upper"], "digit")))
+    hit = inner.join(F.broadcast(at), ["c", "head", "upper"]).where((F.col("rank") <= F.col("end")) & (F.col("rank") > F.col("end") - F.col("n")))
+    return hit.select("c", "head", "side", "digit", (F.col("rank") - F.col("end") + F.col("n")).alias("left")).collect()
