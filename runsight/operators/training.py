@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runsight.plans.pointers import next_below, on_chain
 from runsight.plans.running import Running, between, hot_keys, running, since_reset
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
 RUN = "run_id"
+#: Candidates of a run that are gone through as one list.
+FOLDED = 1024
 
 # Settings of the training loop.
 STOP_PATIENCE = 5
@@ -56,6 +56,41 @@ def epoch_averages(batches: DataFrame) -> DataFrame:
     )
 
 
+def _gaps(candidates: DataFrame, threshold: float) -> DataFrame:
+    """(run_id, after, until): from each best loss to the next, 0 standing for the start. ``candidates``: run_id, position, val_loss."""
+    counts = materialize(candidates.groupBy(RUN).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLDED).select(RUN))
+    if counts.isEmpty():
+        return _folded(candidates, threshold)
+    long = broadcast_if_small(counts, stored=True)
+    return _folded(candidates.join(long, RUN, "left_anti"), threshold).unionByName(_chained(candidates.join(long, RUN, "left_semi"), threshold))
+
+
+def _folded(candidates: DataFrame, threshold: float) -> DataFrame:
+    """Runs with few candidates: each is one list, gone through in order."""
+    lists = candidates.groupBy(RUN).agg(F.array_sort(F.collect_list(F.struct("position", "val_loss"))).alias("rows"))
+    none = F.array().cast("array<struct<after: bigint, until: bigint>>")
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).cast("long").alias("at"), none.alias("gaps"))
+
+    def step(state: Column, row: Column) -> Column:
+        gap = F.struct(state["at"].alias("after"), row["position"].alias("until"))
+        best = F.struct(row["val_loss"].alias("best"), row["position"].alias("at"), F.concat(state["gaps"], F.array(gap)).alias("gaps"))
+        return F.when(row["val_loss"] < state["best"] * (1 - threshold), best).otherwise(state)
+
+    return lists.select(RUN, F.explode(F.aggregate("rows", start, step)["gaps"]).alias("gap")).select(RUN, "gap.*")
+
+
+def _chained(candidates: DataFrame, threshold: float) -> DataFrame:
+    """Runs of any length: the bests are the rows on the chain of pointers from the first candidate."""
+    placed = materialize(running(candidates, [RUN], "position", [Running("place", "count", F.lit(True), before=True)]))
+    rows = placed.select(RUN, "place", F.col("val_loss").alias("value"), (F.col("val_loss") * (1 - threshold)).alias("limit"))
+    pointers = materialize(next_below(rows, [RUN]))
+    bests = pointers.join(on_chain(pointers, [RUN]), [RUN, "place"])
+    of = lambda place, position: placed.select(RUN, F.col("place").alias(place), F.col("position").alias(position))
+    between_bests = bests.where("target IS NOT NULL").join(of("place", "after"), [RUN, "place"]).join(of("target", "until"), [RUN, "target"])
+    first = placed.where("place = 0").select(RUN, F.lit(0).cast("long").alias("after"), F.col("position").alias("until"))
+    return first.unionByName(between_bests.select(RUN, "after", "until"))
+
+
 def plateau_lr(
     epochs: DataFrame,
     patience: int = PLATEAU_PATIENCE,
@@ -66,8 +101,8 @@ def plateau_lr(
     """Epochs at which the learning rate falls, from the loss curve: (run_id, epoch, reduction, learning_rate).
 
     The rate falls after every ``patience + 1`` epochs in a row that do not beat the best loss by the threshold.
-    Which losses count as such a best depends on the one before, so those are picked in order; only rows below
-    all earlier losses can be one, and only they reach the ordered pass, which holds one number per run.
+    Which losses count as such a best depends on the one before; only rows below all earlier losses can be one, or any row once losses are negative.
+    Of a run with up to ``FOLDED`` such rows they are folded in order, as one list. Longer ones are chains of pointers, from each row to the first one that beats it.
     The falls between two bests follow by arithmetic.
     """
     seen = running(
@@ -82,27 +117,9 @@ def plateau_lr(
     seen = materialize(seen)
     loss = F.col("val_loss")
     candidate = F.col("_low").isNull() | (F.col("_low") < 0) | (loss < F.col("_low"))
-    ordered = (
-        seen.where(_number("val_loss").isNotNull() & candidate)
-        .select(F.col(RUN), "position", loss.cast("double").alias("val_loss"))
-        .repartition(RUN)
-        .sortWithinPartitions(RUN, "position")
-    )
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, best, at = None, float("inf"), 0
-        for batch in batches:
-            gaps = []
-            for key, position, value in batch.itertuples(index=False, name=None):
-                if key != run:
-                    run, best, at = key, float("inf"), 0
-                if value < best * (1 - threshold):
-                    gaps.append((key, at, position))
-                    best, at = value, position
-            yield pd.DataFrame(gaps, columns=[RUN, "after", "until"])
-
-    kind = seen.schema[RUN].dataType.simpleString()
-    gaps = materialize(ordered.mapInPandas(pick, f"{RUN} {kind}, after long, until long"))
+    finite = _number("val_loss").isNotNull() & (loss < float("inf"))
+    candidates = seen.where(finite & candidate).select(RUN, "position", loss.cast("double").alias("val_loss"))
+    gaps = materialize(_gaps(candidates, threshold))
     ends = seen.groupBy(RUN).agg((F.max("position") + 1).alias("until"))
     last = gaps.groupBy(RUN).agg(F.max("until").alias("after"))
     tails = ends.join(last, RUN, "left").select(RUN, F.coalesce("after", F.lit(0)).alias("after"), "until")

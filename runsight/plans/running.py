@@ -1,9 +1,9 @@
 """Running aggregates that survive a hot key.
 
 A plain ``Window.partitionBy(run)`` sends a whole run to one task. That is right for most runs, so keys are
-counted first (one column, combined before the shuffle). Keys above ``HOT_ROWS`` are cut into chunks of their order
-column: the window runs per (key, chunk), and a small table of their chunk totals, itself windowed per key, carries
-in what came before the chunk. Without hot keys the plan is the plain window.
+counted first (one column, combined before the shuffle). Rows of keys above ``HOT_ROWS`` are cut into ranges of (key, order) of about equal size, whatever the order column is and
+however sparse its values: the window runs per (key, chunk), and what came before a chunk is carried in from the chunk totals. These are a running aggregate themselves, by the same rule: a key
+with very many chunks has its totals cut into chunks in turn. Without hot keys the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from runsight.session import materialize
 
 CHUNK = "_chunk"
 RANGE = "_range"
-CHUNK_BITS = 20  # a chunk holds at most 2**20 rows of a key
-HOT_ROWS = 1 << CHUNK_BITS
-CHUNK_ROWS = 1 << CHUNK_BITS
+HOT_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -53,15 +52,10 @@ class Running:
         return (F.greatest if self.how == "max" else F.least)(local, carry)
 
 
-def by_width(order: str, bits: int = CHUNK_BITS) -> Column:
-    """Chunk of a whole-number order column that is unique within its key: its upper bits."""
-    return F.shiftright(F.col(order).cast("long"), bits)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more than ``HOT_ROWS`` rows, None if there are none. At most one key per ``HOT_ROWS`` rows of the table."""
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame | None:
+    """Keys with more than ``rows`` rows (``HOT_ROWS``) and their number, None if there are none. At most one key per ``rows`` rows of the table."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = materialize(counts.where(F.col("_n") > HOT_ROWS).select(*keys, F.lit(True).alias("_hot")))
+    hot = materialize(counts.where(F.col("_n") > (HOT_ROWS if rows is None else rows)).select(*keys, "_n"))
     return None if hot.isEmpty() else hot
 
 
@@ -71,7 +65,9 @@ def between(df: DataFrame, hot: DataFrame | None) -> DataFrame:
     return df if hot is None else materialize(df)
 
 
-def _chunked(df: DataFrame, keys: list[str], order: str, chunk: Column | None, hot: DataFrame | None | str) -> tuple[DataFrame, bool]:
+def _chunked(
+    df: DataFrame, keys: list[str], order: str, chunk: Column | None, hot: DataFrame | None | str, chunk_rows: int | None = None
+) -> tuple[DataFrame, bool]:
     """``df`` with its chunk number, and whether any key has more than one chunk."""
     if chunk is not None:
         return df.withColumn(CHUNK, chunk), True
@@ -79,8 +75,18 @@ def _chunked(df: DataFrame, keys: list[str], order: str, chunk: Column | None, h
         hot = hot_keys(df, keys)
     if hot is None:
         return df.withColumn(CHUNK, F.lit(0).cast("long")), False
-    flagged = df.join(broadcast_if_small(hot, stored=True), keys, "left")
-    return flagged.withColumn(CHUNK, F.when(F.col("_hot"), by_width(order) + 1).otherwise(F.lit(0).cast("long"))).drop("_hot"), True
+    small = broadcast_if_small(hot.select(*keys), stored=True)
+    # Ranges come out up to twice as large as wanted, as their borders are sampled.
+    ranges = -(-hot.agg(F.sum("_n")).first()[0] // max(1, (CHUNK_ROWS if chunk_rows is None else chunk_rows) // 2))
+    long = range_chunks(df.join(small, keys, "left_semi").select(*df.columns), [*keys, order], ranges)
+    long = long.withColumn(CHUNK, F.col(RANGE) + 1).drop(RANGE)
+    return df.join(small, keys, "left_anti").select(*df.columns).withColumn(CHUNK, F.lit(0).cast("long")).unionByName(long), True
+
+
+def _carry(totals: DataFrame, keys: list[str], measures: Sequence[Running]) -> DataFrame:
+    """Running aggregates of chunk totals, each chunk without its own: a running aggregate in the order of the chunks."""
+    at = "_at_" + CHUNK
+    return running(totals.withColumnRenamed(CHUNK, at), keys, at, measures).withColumnRenamed(at, CHUNK)
 
 
 def running(
@@ -90,15 +96,15 @@ def running(
     measures: Sequence[Running],
     chunk: Column | None = None,
     hot: DataFrame | None | str = "count",
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order``, which must be unique within a key.
 
-    Without ``chunk`` the order column must be a whole number. ``hot`` takes the answer of ``hot_keys`` where
-    several calls share it.
+    Any type that can be sorted will do as order. ``hot`` takes the answer of ``hot_keys`` where several calls share it.
     """
     keys = list(keys)
     columns = [c for c in df.columns if c not in {m.name for m in measures}]
-    placed, split = _chunked(df, keys, order, chunk, hot)
+    placed, split = _chunked(df, keys, order, chunk, hot, chunk_rows)
     parts = [*keys, CHUNK] if split else keys
     base = placed.select("*", *[m.input().alias(f"_in_{m.name}") for m in measures])
     inside = Window.partitionBy(*parts).orderBy(order)
@@ -108,9 +114,9 @@ def running(
         return base.select(*columns, *[m.combine(locals_[m.name], F.lit(None)).alias(m.name) for m in measures])
 
     chunks = base if chunk is not None else base.where(F.col(CHUNK) != 0)
-    totals = chunks.groupBy(*parts).agg(*[m.over(F.col(f"_in_{m.name}")).alias(f"_in_{m.name}") for m in measures])
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*parts, *[m.over(F.col(f"_in_{m.name}")).over(earlier).alias(f"_carry_{m.name}") for m in measures])
+    totals = materialize(chunks.groupBy(*parts).agg(*[m.over(F.col(f"_in_{m.name}")).alias(f"_in_{m.name}") for m in measures]))
+    totals_of = [Running(f"_carry_{m.name}", "sum" if m.how == "count" else m.how, F.col(f"_in_{m.name}"), before=True) for m in measures]
+    carry = _carry(totals, keys, totals_of).select(*parts, *[m.name for m in totals_of])
     local = base.select(*columns, CHUNK, *[c.alias(f"_local_{name}") for name, c in locals_.items()])
     return local.join(broadcast_if_small(carry), parts, "left").select(
         *columns, *[m.combine(F.col(f"_local_{m.name}"), F.col(f"_carry_{m.name}")).alias(m.name) for m in measures]
@@ -148,11 +154,9 @@ def since_reset(
         extra = [F.col("_sum").alias(total)] if total else []
         return marked(base).select(*columns, (F.col("_sum") - F.coalesce("_mark", F.lit(0))).alias(name), *extra)
 
-    totals = marked(base.where(F.col(CHUNK) != 0)).groupBy(*parts).agg(F.max("_sum").alias("_sum"), F.max("_mark").alias("_mark"))
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).select(
-        *parts, "_before", F.max(F.col("_before") + F.col("_mark")).over(earlier).alias("_base")
-    )
+    totals = materialize(marked(base.where(F.col(CHUNK) != 0)).groupBy(*parts).agg(F.max("_sum").alias("_sum"), F.max("_mark").alias("_mark")))
+    carry = materialize(_carry(totals, keys, [Running("_before", "sum", F.col("_sum"), before=True)]))
+    carry = _carry(carry, keys, [Running("_base", "max", F.col("_before") + F.col("_mark"), before=True)]).select(*parts, "_before", "_base")
     running_sum = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_sum")
     base_sum = F.coalesce(F.coalesce(F.col("_before"), F.lit(0)) + F.col("_mark"), F.col("_base"), F.lit(0))
     extra = [running_sum.alias(total)] if total else []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.operators import agents, baselines, runlog, training
-from runsight.plans.running import Running, by_width, running, running_global
+from runsight.plans.running import Running, hot_keys, running, running_global
 from runsight.queries import query, r, table
 from runsight.queries.inputs import RESULT_LOG, attempts, decided_sql, result_log, value_baselines
 
@@ -389,7 +389,18 @@ def running_in_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Running values of three long runs, cut into chunks of 64 ids."""
     log = result_log(spark, d).select((F.col("run_id") % 3).alias("run_id"), "experiment_id", "cost_usd", "metric_value")
     measures = [Running("cost", "sum", F.col("cost_usd")), Running("best", "max", F.col("metric_value")), Running("earlier", "count", F.lit(True), before=True)]
-    out = running(log, ["run_id"], "experiment_id", measures, by_width("experiment_id", 6))
+    out = running(log, ["run_id"], "experiment_id", measures, F.shiftright("experiment_id", 6))
+    return out.select("run_id", "experiment_id", r("cost", 4).alias("cost"), "best", "earlier")
+
+
+@query(f"""WITH {RESULT_LOG} SELECT run_id % 3 AS run_id, experiment_id, round(sum(cost_usd) OVER w, 4) AS cost, max(metric_value) OVER w AS best,
+  count(*) OVER (PARTITION BY run_id % 3 ORDER BY ts, experiment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+FROM log WINDOW w AS (PARTITION BY run_id % 3 ORDER BY ts, experiment_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_by_time(spark: SparkSession, d: str) -> DataFrame:
+    """Running values of three long runs in the order of their time stamps, as hot keys from 500 rows on, in chunks of 200 rows at most."""
+    log = result_log(spark, d).select((F.col("run_id") % 3).alias("run_id"), "experiment_id", "cost_usd", "metric_value", F.struct("timestamp", "experiment_id").alias("at"))
+    measures = [Running("cost", "sum", F.col("cost_usd")), Running("best", "max", F.col("metric_value")), Running("earlier", "count", F.lit(True), before=True)]
+    out = running(log, ["run_id"], "at", measures, hot=hot_keys(log, ["run_id"], 500), chunk_rows=200)
     return out.select("run_id", "experiment_id", r("cost", 4).alias("cost"), "best", "earlier")
 
 

@@ -14,13 +14,10 @@ def spark():
 @pytest.fixture
 def small_chunks(monkeypatch):
     """Cut every run into chunks of a few rows, so that values have to be carried between them."""
-    from pyspark.sql import functions as F
-
     from runsight.plans import running
 
-    monkeypatch.setattr(running, "by_width", lambda order: F.shiftright(F.col(order), 2))
     monkeypatch.setattr(running, "HOT_ROWS", 10)
-    monkeypatch.setattr(running, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(running, "CHUNK_ROWS", 12)
 
 
 def rows(df, *columns):

@@ -3,7 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from runsight.plans.hashorder import rank_cuts
-from runsight.plans.quantile import exact_medians
 from runsight.plans.running import Running, running, running_global, since_reset
 
 from .conftest import rows
@@ -64,17 +63,3 @@ def test_rank_cuts_find_the_row_at_each_rank(spark):
         hashes = sorted(h for k, h in data if k == g)
         assert (g, 0) not in got
         assert got[g, 1] == hashes[0] and got[g, 2] == hashes[len(hashes) // 2 - 1] and got[g, 3] == hashes[-1]
-
-
-def test_exact_medians_with_ties_gaps_and_narrow_brackets(spark):
-    draw = random.Random(3)
-    data = [(draw.choice([1.0, 2.0, None]), draw.gauss(0, 1), 5.0, None) for _ in range(2001)]
-    df = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(7)
-    columns = {c: F.col(c) for c in "abcd"}
-    plain = exact_medians(df, columns)
-    assert plain["c"] == 5.0 and plain["d"] is None
-    assert plain["b"] == sorted(x[1] for x in data)[1000]
-    for accuracy in (50, 1000, 100_000):
-        assert exact_medians(df, columns, accuracy=accuracy) == plain
-    even = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "a double")
-    assert exact_medians(even, {"a": F.col("a")}) == {"a": 2.5}
