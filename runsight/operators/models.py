@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import math
 import random
+import statistics
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -17,7 +21,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.functions.values import clean_floats
@@ -36,6 +40,7 @@ from runsight.operators.prep import (
     stratified_kfold,
     string_columns,
 )
+from runsight.session import materialize
 
 # The search space and its size.
 TRIALS = 20
@@ -44,6 +49,10 @@ DEPTH = (3, 15)
 INVERSE_PENALTY = (1e-3, 100.0)
 PENALTY = (1e-3, 100.0)
 LOGISTIC_ITERATIONS = 500
+#: Trials and folds that run at a time.
+PARALLEL = 4
+#: Solvers report through Spark or the JVM.
+SOLVER_ERRORS = (ValueError, TypeError, PySparkException, Py4JError)
 
 
 class _Columns(Params):
@@ -105,11 +114,32 @@ def build_preprocessor(df: DataFrame, exclude: Sequence[str] = ()) -> Pipeline:
 # --- model families ---------------------------------------------------------------------------------
 
 
-def linear(task: str, rows: int = 1, penalty: float = 1.0) -> Estimator:
+class Linear(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Ridge regression (``penalty`` is alpha of |y - Xw|^2 + alpha |w|^2) or logistic regression (``penalty`` is the inverse strength C), fitted with the penalty per row that the solvers take.
+
+    The regression solver scales the label to a deviation of 1 before it applies the penalty, so that the penalty has to be multiplied by it.
+    """
+
+    task = Param(Params._dummy(), "task", "regression or classification", TypeConverters.toString)
+    penalty = Param(Params._dummy(), "penalty", "alpha, or C", TypeConverters.toFloat)
+
+    def __init__(self, task: str = "classification", penalty: float = 1.0) -> None:
+        super().__init__()
+        self._set(task=task, penalty=penalty)
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        penalty, label = self.getOrDefault("penalty"), F.col("label").cast("double")
+        facts = dataset.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("spread")).first()
+        n = max(facts["n"], 1)
+        if self.getOrDefault("task") == "regression":
+            strength = penalty * (facts["spread"] or 1.0) / n
+            return LinearRegression(labelCol="label", regParam=strength, elasticNetParam=0.0, standardization=False).fit(dataset)
+        return LogisticRegression(labelCol="label", regParam=1.0 / (penalty * n), maxIter=LOGISTIC_ITERATIONS, standardization=False).fit(dataset)
+
+
+def linear(task: str, penalty: float = 1.0) -> Estimator:
     """Logistic regression (``penalty`` is the inverse strength C) or ridge (``penalty`` is alpha)."""
-    if task == "regression":
-        return LinearRegression(labelCol="label", regParam=penalty / max(rows, 1), elasticNetParam=0.0, standardization=False)
-    return LogisticRegression(labelCol="label", regParam=1.0 / (penalty * max(rows, 1)), maxIter=LOGISTIC_ITERATIONS, standardization=False)
+    return Linear(task, penalty)
 
 
 def random_forest(task: str, trees: int = 100, depth: int = 10, seed: int = SEED) -> Estimator:
@@ -151,21 +181,25 @@ def with_folds(train: DataFrame, key: str, task: str, k: int = FOLDS, seed: int
     return folded.withColumn("fold", F.col("fold").cast("int"))
 
 
-def trials(task: str, rows: int, n_trials: int = TRIALS, seed: int = SEED) -> list[tuple[str, dict, Estimator]]:
-    """Seeded random candidates: (family, parameters, estimator)."""
+def draw_trials(task: str, n_trials: int = TRIALS, seed: int = SEED) -> list[tuple[str, dict]]:
+    """Seeded random points of the search space: (family, parameters)."""
     draw = random.Random(seed)
     log_uniform = lambda low, high: math.exp(draw.uniform(math.log(low), math.log(high)))
-    out = []
+    out: list[tuple[str, dict]] = []
     for _ in range(n_trials):
         if draw.random() < 0.5:
-            trees, depth = draw.randint(*TREES), draw.randint(*DEPTH)
-            out.append(("random_forest", {"trees": trees, "depth": depth}, random_forest(task, trees, depth)))
+            out.append(("random_forest", {"trees": draw.randint(*TREES), "depth": draw.randint(*DEPTH)}))
         else:
-            strength = log_uniform(*(PENALTY if task == "regression" else INVERSE_PENALTY))
-            out.append(("linear", {"penalty": strength}, linear(task, rows, strength)))
+            out.append(("linear", {"penalty": log_uniform(*(PENALTY if task == "regression" else INVERSE_PENALTY))}))
     return out
 
 
+def trials(task: str, n_trials: int = TRIALS, seed: int = SEED) -> list[tuple[str, dict, Estimator]]:
+    """Seeded random candidates: (family, parameters, estimator)."""
+    build = {"random_forest": lambda p: random_forest(task, **p), "linear": lambda p: linear(task, **p)}
+    return [(family, params, build[family](params)) for family, params in draw_trials(task, n_trials, seed)]
+
+
 def cross_validated(train: DataFrame, estimator: Estimator, metric: str, exclude: Sequence[str], k: int = FOLDS) -> float:
     """Mean score over the ``fold`` column; the preprocessing is fitted inside each fold.
 
@@ -179,6 +213,40 @@ def cross_validated(train: DataFrame, estimator: Estimator, metric: str, exclude
     return sum(scores) / k
 
 
+def _at_once(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallel: int) -> list:
+    """Results of ``tasks``, up to ``parallel`` of them running at a time, each with a scheduler pool of its own, so that under fair scheduling none starves another."""
+
+    def pooled(task: Callable[[], object], pool: str) -> Callable[[], object]:
+        def run() -> object:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+            return task()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(tasks) or 1))) as threads:
+        running = [threads.submit(pooled(task, f"search-{i % parallel}")) for i, task in enumerate(tasks)]
+        return [r.result() for r in running]
+
+
+def fold_vectors(folded: DataFrame, exclude: Sequence[str], k: int = FOLDS, parallel: int = PARALLEL) -> list[DataFrame]:
+    """One table per fold with label, features and held_out. The preprocessing is fitted on the other folds, once, and its vectors are written: every trial reads them."""
+    stages = build_preprocessor(folded, [*exclude, "label", "fold"])
+
+    def vectors(i: int) -> DataFrame:
+        fitted = stages.fit(folded.where(F.col("fold") != i))
+        return materialize(fitted.transform(folded).select("label", "features", (F.col("fold") == i).alias("held_out")))
+
+    return _at_once(folded.sparkSession, [partial(vectors, i) for i in range(k)], parallel)
+
+
+def fold_score(table: DataFrame, estimator: Estimator, metric: str) -> float:
+    model = estimator.fit(table.where("NOT held_out"))
+    return float(evaluator(metric).evaluate(model.transform(table.where("held_out"))))
+
+
+SEARCH = "trial int, family string, params string, score double, folds int, state string"
+
+
 def search(
     train: DataFrame,
     key: str,
@@ -188,21 +256,52 @@ def search(
     direction: str | None = None,
     timeout_minutes: float | None = None,
     k: int = FOLDS,
+    parallel: int = PARALLEL,
+    prune_after: int | None = None,
 ) -> tuple[DataFrame, tuple[str, dict, Estimator]]:
-    """Cross-validated score of every candidate, and the best candidate. ``train`` has the target in ``label``."""
-    folded = with_folds(train, key, task, k).persist()
+    """Every candidate with its cross-validated score, and the best candidate. ``train`` has the target in ``label``.
+
+    Folds are turned into vectors once. Trials are jobs of their own, ``parallel`` at a time. None but the first starts behind the deadline (state ``skipped``); one that has started ends. With
+    ``prune_after``, all are scored on so many folds first, and those worse than the median are given up (``pruned``: the score is the mean of these folds and cannot win). The outcome does not
+    depend on which trial ends first. Of equal scores the earlier trial wins. A candidate that cannot be fitted is ``failed`` and has no score; an error is raised only if none can be.
+    """
+    folded = materialize(with_folds(train, key, task, k))
     maximize = direction_of(metric, direction) == "maximize"
-    started, rows, best = time.monotonic(), [], None
-    for i, candidate in enumerate(candidates):
-        if timeout_minutes is not None and rows and time.monotonic() - started > timeout_minutes * 60:
-            break
-        value = cross_validated(folded, candidate[2], metric, [key], k)
-        rows.append((i, candidate[0], json.dumps(candidate[1], sort_keys=True), float(value)))
-        if best is None or (value > best[0] if maximize else value < best[0]):
-            best = (value, candidate)
-    folded.unpersist()
-    table = train.sparkSession.createDataFrame(rows, "trial int, family string, params string, score double")
-    return table, best[1]
+    tables = fold_vectors(folded, [key], k, parallel)
+    deadline = None if timeout_minutes is None else time.monotonic() + timeout_minutes * 60
+    scores: dict[int, list[float]] = {i: [] for i in range(len(candidates))}
+    state = dict.fromkeys(scores, "complete")
+
+    def run(i: int, folds: Sequence[int]) -> None:
+        if deadline is not None and i and not scores[i] and time.monotonic() > deadline:
+            state[i] = "skipped"
+            return
+        try:
+            for fold in folds:
+                scores[i].append(fold_score(tables[fold], candidates[i][2].copy(), metric))
+        except SOLVER_ERRORS:
+            state[i] = "failed"
+
+    rung = k if prune_after is None else min(prune_after, k)
+    _at_once(train.sparkSession, [partial(run, i, range(rung)) for i in scores], parallel)
+    mean = lambda i: sum(scores[i]) / len(scores[i])
+    running = [i for i in scores if state[i] == "complete"]
+    if rung < k and running:
+        middle = statistics.median(mean(i) for i in running)
+        for i in running:
+            if (mean(i) < middle) if maximize else (mean(i) > middle):
+                state[i] = "pruned"
+        running = [i for i in running if state[i] == "complete"]
+        _at_once(train.sparkSession, [partial(run, i, range(rung, k)) for i in running], parallel)
+        running = [i for i in running if state[i] == "complete"]
+    if not running:
+        raise ValueError("no candidate could be fitted")
+    best = (max if maximize else min)(running, key=lambda i: (mean(i), -i if maximize else i))
+    rows = [
+        (i, family, json.dumps(params, sort_keys=True), mean(i) if state[i] in ("complete", "pruned") else None, len(scores[i]), state[i])
+        for i, (family, params, _) in enumerate(candidates)
+    ]
+    return train.sparkSession.createDataFrame(rows, SEARCH), candidates[best]
 
 
 def retrain_and_predict(train: DataFrame, test: DataFrame, key: str, estimator: Estimator) -> tuple[PipelineModel, DataFrame]:
@@ -232,7 +331,7 @@ def draft_phase(
     for i, (name, build) in enumerate(families.items()):
         try:
             rows.append(("draft", i, name, float(cross_validated(folded, build(), metric, [key], k)), "draft-keep", f"draft-{name}"))
-        except (ValueError, TypeError, PySparkException, Py4JError):  # solvers report through Spark or the JVM
+        except SOLVER_ERRORS:
             rows.append(("draft", i, name, None, "draft-discard", ""))
     folded.unpersist()
     schema = "run_id string, position long, name string, metric_value double, status string, commit_hash string"

@@ -216,7 +216,7 @@ def export_metadata(spark: SparkSession, d: str) -> DataFrame:
 def export_best_model(spark: SparkSession, d: str) -> DataFrame:
     """Fit on the customers, export, load again, predict."""
     train, test = models.train_test(table(spark, d, "customer").drop("c_name"), "c_custkey", "c_acctbal")
-    model, _ = models.retrain_and_predict(train, test, "c_custkey", models.linear("regression", train.count()))
+    model, _ = models.retrain_and_predict(train, test, "c_custkey", models.linear("regression"))
     path = scratch(spark)
     snapshots.export_best(model, train.groupBy().agg(F.count(F.lit(1)).alias("rows")), path)
     return PipelineModel.load(f"{path}/model").transform(test).select("c_custkey", r("prediction").alias("prediction"))

@@ -26,7 +26,7 @@ def test_preprocessor_fits_on_training_rows_and_zeroes_unseen(spark, table):
 
 def test_ridge_learns_and_survives_export(spark, table, tmp_path):
     train, test = models.train_test(table, "id", "y")
-    model, predictions = models.retrain_and_predict(train, test, "id", models.linear("regression", 240, 0.01))
+    model, predictions = models.retrain_and_predict(train, test, "id", models.linear("regression", 0.01))
     assert predictions.count() == 60
     assert predictions.agg(F.corr("y_true", "y_pred")).first()[0] > 0.95
     snapshots.export_best(model, spark.range(1), str(tmp_path / "m"))
@@ -37,15 +37,55 @@ def test_ridge_learns_and_survives_export(spark, table, tmp_path):
 
 def test_search_follows_the_metric_direction(spark, table):
     train, _ = models.train_test(table, "id", "y")
-    candidates = [("linear", {"penalty": p}, models.linear("regression", 240, p)) for p in (0.01, 1e6)]
+    candidates = [("linear", {"penalty": p}, models.linear("regression", p)) for p in (0.01, 1e6)]
     scores, best = models.search(train, "id", "regression", "rmse", candidates, k=2)
     assert best[1] == {"penalty": 0.01} and scores.count() == 2
     _, best = models.search(train, "id", "regression", "r2", candidates, k=2)
     assert best[1] == {"penalty": 0.01}
 
 
+def test_search_states_prunes_and_scores_like_cross_validation(spark, table):
+    train, _ = models.train_test(table, "id", "y")
+    families = [("linear", {"penalty": p}, models.linear("regression", p)) for p in (0.01, 10.0, 1e5, 1e6)] + [("random_forest", {"trees": 3}, models.random_forest("regression", 3, 3))]
+    plain, best = models.search(train, "id", "regression", "rmse", families, k=3)
+    folded = models.with_folds(train, "id", "regression", 3)
+    scores = {r["trial"]: r["score"] for r in plain.collect()}
+    for i, (_, _, estimator) in enumerate(families):
+        close = 1e-9 if i < 4 else 0.2  # forests draw by partition
+        assert scores[i] == pytest.approx(models.cross_validated(folded, estimator, "rmse", ["id"], 3), rel=close)
+    assert [r["state"] for r in plain.collect()] == ["complete"] * 5 and best[1] == families[min(scores, key=scores.get)][1]
+    pruned, again = models.search(train, "id", "regression", "rmse", families, k=3, prune_after=1, parallel=2)
+    states = {r["trial"]: (r["state"], r["folds"]) for r in pruned.collect()}
+    assert again[1] == best[1] and states[3] == ("pruned", 1) and sum(s[0] == "complete" for s in states.values()) >= 2
+    late, first = models.search(train, "id", "regression", "rmse", families, k=3, timeout_minutes=0)
+    assert [r["state"] for r in late.orderBy("trial").collect()] == ["complete"] + ["skipped"] * 4 and first[1] == {"penalty": 0.01}
+
+
+def test_search_goes_on_without_candidates_that_fail(spark, table):
+    train, _ = models.train_test(table, "id", "y")
+    bad = ("linear", {"iterations": -1}, models.boosted_trees("classification", classes=2, rounds=1))  # labels are not 0 and 1
+    scores, best = models.search(train, "id", "regression", "rmse", [bad, ("linear", {"penalty": 1.0}, models.linear("regression"))], k=2)
+    assert {r["trial"]: (r["state"], r["score"] is None) for r in scores.collect()} == {0: ("failed", True), 1: ("complete", False)} and best[1] == {"penalty": 1.0}
+    with pytest.raises(ValueError):
+        models.search(train, "id", "regression", "rmse", [bad], k=2)
+
+
+def test_ridge_solves_its_equations(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    y = 100 * x[:, 0] - 7 * x[:, 1] + rng.normal(size=60) * 50 + 1000
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    df = spark.createDataFrame([(i, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))], "id long, a double, b double, label double")
+    for alpha in (0.5, 30.0):
+        _, out = models.retrain_and_predict(df, df, "id", models.linear("regression", alpha))
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (y - y.mean()))
+        assert [r["y_pred"] for r in out.orderBy("row_id").collect()] == pytest.approx((z @ w + y.mean()).tolist(), rel=1e-9)
+
+
 def test_trials_repeat_and_stay_in_the_space():
-    draws = lambda task: [(f, p) for f, p, _ in models.trials(task, 100)]
+    draws = lambda task: [(f, p) for f, p, _ in models.trials(task)]
     pytest.importorskip("pyspark")
     first = draws("regression")
     assert first == draws("regression") and len(first) == 20 and {f for f, _ in first} == {"linear", "random_forest"}
@@ -59,7 +99,7 @@ def test_drafts_record_families_that_fail(spark, table):
     def broken():
         raise ValueError("no such solver")
 
-    drafts = models.draft_phase(train, "id", "classification", "accuracy", {"linear": lambda: models.linear("classification", 240), "bad": broken}, k=2)
+    drafts = models.draft_phase(train, "id", "classification", "accuracy", {"linear": lambda: models.linear("classification"), "bad": broken}, k=2)
     found = {r["name"]: (r["status"], r["metric_value"]) for r in drafts.collect()}
     assert found["linear"][0] == "draft-keep" and found["linear"][1] > 0.9 and found["bad"] == ("draft-discard", None)
 
