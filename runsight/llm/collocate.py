@@ -4,10 +4,10 @@
    equal passages give equal chunks, wherever they stand, and every n-gram lies whole in the chunk in which it starts before the overlap: it is counted there and nowhere else.
    Borders of pieces stay in the chunk as line ends, which no n-gram crosses.
 2. Dictionary: distinct chunks per language with their frequencies, counted per task before the shuffle. All counting below reads the dictionary alone and weighs by frequency.
-3. Counting, one length after the other: n-grams travel as 64-bit hashes and only if both n-grams of one word less are frequent. Which are is a bitmap of ``MAP_BITS`` bits in a file of the shared folder,
-   built in tasks: its size is fixed, and what it lets through by mistake costs time and no result, as do equal hashes.
-4. Exact counts: the phrases that passed are counted as texts. Scores, the weakest cut, phrases that a longer one covers, and the first of each language follow from that table by joins,
-   in whole-number arithmetic of 38 digits.
+3. Counting, one length after the other: n-grams travel as hashes of 96 bits and only if both n-grams of one word less are frequent. Which are is a bitmap of ``MAP_BITS`` bits in a file of the shared
+   folder, built in tasks: its size is fixed, and what it lets through by mistake costs time and no result. Two of 10^12 different n-grams share a hash with a probability of 1e-5.
+4. Texts: with each hash goes the first chunk that holds it, and only frequent ones are read from there, once each. Scores, the weakest cut, phrases that a longer one covers, and the first of each
+   language follow by joins, in whole-number arithmetic of 38 digits.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ TOP = 2000
 #: Words per chunk on average, without the overlap.
 PERIOD = 64
 MAP_BITS = 27
-#: Hashes, or distinct phrases, that a task holds before it hands them on.
+#: Hashes that a task holds before it hands them on.
 HELD = 1 << 20
-HELD_PHRASES = 1 << 17
+#: Words of a chunk at most, without the overlap; only texts that go on without a start have as many.
+MOST = 1 << 16
 #: What separates pieces, and words within a piece.
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -78,13 +79,15 @@ def _chunks(words: Words, longest: int, period: int) -> Iterator[tuple[int, byte
             continue
         own = starts[np.searchsorted(starts, first, "right") : np.searchsorted(starts, last - overlap, "right")]
         cuts = [int(first), *own.tolist()]
+        if max([last - cuts[-1], *np.diff(cuts)]) > MOST:
+            cuts = [c for x, y in zip(cuts, [*cuts[1:], last - overlap + 1]) for c in range(x, max(y, x + 1), MOST)]
         for a, b in zip(cuts, cuts[1:]):
             yield text, data[begin[a] : after[b + overlap - 1] - 1], False, b - a
         yield text, data[begin[cuts[-1]] : after[last - 1] - 1], True, int(last) - cuts[-1]
 
 
 def dictionary(docs: DataFrame, longest: int = LONGEST, period: int = PERIOD) -> DataFrame:
-    """lang, chunk, final (whether no overlap follows), own (words that start before the overlap), weight (how often it occurs)."""
+    """at (a number of its own, once the table is written), lang, chunk, final (whether no overlap follows), own (words that start before the overlap), weight (how often it occurs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,14 +103,15 @@ def dictionary(docs: DataFrame, longest: int = LONGEST, period: int = PERIOD) ->
     kinds = [pa.string(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
     named = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     chunks = small_batches(named).mapInArrow(run, "lang string, chunk binary, final boolean, own long, n long")
-    return chunks.groupBy("lang", "chunk", "final").agg(F.first("own").alias("own"), F.sum("n").alias("weight"))
+    counted = chunks.groupBy("lang", "chunk", "final").agg(F.first("own").alias("own"), F.sum("n").alias("weight"))
+    return counted.select(F.monotonically_increasing_id().alias("at"), "*")
 
 
 _maps: dict[str, np.ndarray] = {}
 
 
 def _in_map(path: str, hashes: np.ndarray) -> np.ndarray:
-    """Whether each hash may be among those of a bitmap file, which this worker keeps until it has read eight more."""
+    """Whether each hash may be among those of a bitmap file, which this worker keeps until it has read seven more."""
     if path not in _maps:
         if len(_maps) >= 8:
             _maps.clear()
@@ -140,10 +144,16 @@ class _Block:
         self.words, self.row = words, np.repeat(np.arange(len(words)), sizes)
         self.hashes = words.hash ^ salt[self.row]
         self.weight = weight[self.row]
+        ends = words.data[words.start].astype(np.uint64) << np.uint64(8) | words.data[words.end - 1].astype(np.uint64)
+        self.marks = words.hash * np.uint64(0xD6E8FEB86659FD93) + ((words.end - words.start).astype(np.uint64) << np.uint64(16) | ends)  # length and both ends of each word
         at, ends = np.arange(len(self.row)), np.flatnonzero(_breaks(words))
         self.left = (ends[np.searchsorted(ends, at)] - at + 1) if len(at) else at
         self.owned = final[self.row] | (at < words.rows[1:][self.row] - longest + 1)
 
+    def more(self, n: int) -> np.ndarray:
+        """32 further bits for the phrases of n words from each word on."""
+        return (_grams(self.marks, n) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def starts(self, n: int) -> np.ndarray:
         """Words at which a phrase of n words starts that belongs to its chunk."""
         return np.flatnonzero(self.owned & (self.left >= n))
@@ -161,77 +171,81 @@ def _blocks(batch: pa.RecordBatch, longest: int) -> Iterator[tuple[int, _Block]]
 
 
 def _hash_counts(chunks: DataFrame, n: int, shorter: str | None, longest: int) -> DataFrame:
-    """hash, n of all phrases of n words, of which both parts of one word less are in the bitmap ``shorter``."""
+    """hash, more, a (occurrences), at (first chunk) of all phrases of n words, of which both parts of one word less are in the bitmap ``shorter``."""
 
-    def handed(held: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, weight = np.concatenate(held), np.concatenate(weights)
+    def handed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        hashes, more, weight, at = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(hashes)
-        hashes = hashes[order]
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(np.add.reduceat(weight[order], first))], ["hash", "n"])
+        hashes, more = hashes[order], more[order]
+        first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1])]))
+        columns = [hashes[first].view(np.int64), more[first], np.add.reduceat(weight[order], first), np.minimum.reduceat(at[order], first)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "more", "a", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, weights, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for _, block in _blocks(batch, longest):
+            numbers = batch.column(4).to_numpy()
+            for first, block in _blocks(batch, longest):
                 at = block.starts(n)
                 if shorter is not None and len(at):
                     known = _in_map(shorter, _grams(block.hashes, n - 1))
                     at = at[known[at] & known[at + 1]]
                 if len(at):
-                    held.append(_grams(block.hashes, n)[at])
-                    weights.append(block.weight[at])
+                    held.append((_grams(block.hashes, n)[at], block.more(n)[at], block.weight[at], numbers[first + block.row[at]]))
                     size += len(at)
                 if size >= HELD:
-                    yield handed(held, weights)
-                    held, weights, size = [], [], 0
+                    yield handed(held)
+                    held, size = [], 0
         if size:
-            yield handed(held, weights)
+            yield handed(held)
 
-    return chunks.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = chunks.select("lang", "chunk", "final", "weight", "at").mapInArrow(run, "hash long, more int, a long, at long")
+    return counted.groupBy("hash", "more").agg(F.sum("a").alias("a"), F.min("at").alias("at"))
 
 
-def _phrase_counts(chunks: DataFrame, maps: list[str], longest: int) -> DataFrame:
-    """lang, phrase, a of all phrases whose hashes are in the bitmap of their length."""
-
-    def handed(found: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        for lang, counts in found.items():
-            own = [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(own, ["lang", "phrase", "a"])
+def _texts(often: DataFrame, chunks: DataFrame, longest: int) -> DataFrame:
+    """lang, phrase, a of frequent phrases (words, hash, more, a, at), each read from its first chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
         for batch in batches:
-            langs, numbers = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+            wanted = batch.column(4)
+            sizes, parts = wanted.value_lengths().to_numpy(), wanted.flatten()
+            row, fields = np.repeat(np.arange(len(sizes)), sizes), [parts.field(c).to_numpy() for c in ("words", "hash", "more", "a")]
+            langs, out = batch.column(0).to_pylist(), []
             for first, block in _blocks(batch, longest):
-                data = block.words.data.tobytes()
-                lang_of = numbers[first + block.row]
-                for n, path in enumerate(maps, 1):
+                data, inside = block.words.data.tobytes(), (row >= first) & (row < first + len(block.words))
+                for n in range(1, longest + 1):
+                    own = inside & (fields[0] == n)
+                    hash_of, more_of, a_of = (f[own].tolist() for f in fields[1:])
+                    left = dict(zip(zip(row[own].tolist(), hash_of, more_of), a_of))
                     at = block.starts(n)
-                    at = at[_in_map(path, _grams(block.hashes, n)[at])] if len(at) else at
-                    for k, lang in enumerate(langs):
-                        own = at[lang_of[at] == k]
-                        counts = found[lang]
-                        for a, b, weight in zip(block.words.start[own].tolist(), block.words.end[own + n - 1].tolist(), block.weight[own].tolist()):
-                            counts[data[a:b]] += weight
-                if sum(map(len, found.values())) >= HELD_PHRASES:
-                    yield from handed(found)
-                    found.clear()
-        yield from handed(found)
-
-    counted = chunks.mapInArrow(run, "lang string, phrase binary, a long").groupBy("lang", F.col("phrase").cast("string").alias("phrase"))
-    return counted.agg(F.sum("a").alias("a"))
+                    hashes, more = _grams(block.hashes, n)[at].view(np.int64), block.more(n)[at]
+                    hit = np.flatnonzero(np.isin(hashes, fields[1][own]))
+                    rows = first + block.row[at[hit]]
+                    for i, *key in zip(at[hit].tolist(), rows.tolist(), hashes[hit].tolist(), more[hit].tolist()):
+                        a = left.pop(tuple(key), None)
+                        if a is not None:
+                            out.append((langs[key[0]], data[block.words.start[i] : block.words.end[i + n - 1]], a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.int64()))], ["lang", "phrase", "a"])
+
+    # A chunk has at most as many phrases as words times lengths.
+    asked = often.groupBy("at").agg(F.collect_list(F.struct("words", "hash", "more", "a")).alias("wanted"))
+    found = chunks.select("at", "lang", "chunk", "final", "weight").join(asked, "at").select("lang", "chunk", "final", "weight", "wanted")
+    return small_batches(found).mapInArrow(run, "lang string, phrase binary, a long").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def frequent_phrases(chunks: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = MAP_BITS) -> DataFrame:
     """lang, phrase (words joined by a space), a: all phrases of 1 to ``longest`` words that occur ``least`` times or more, from a written dictionary."""
-    rows, maps = small_batches(chunks.select("lang", "chunk", "final", "weight")), []
+    rows, found, shorter = small_batches(chunks), None, None
     for n in range(1, longest + 1):
-        often = materialize(_hash_counts(rows, n, maps[-1] if maps else None, longest).where(F.col("n") >= least).select("hash"))
+        often = materialize(_hash_counts(rows, n, shorter, longest).where(F.col("a") >= least).select(F.lit(n).alias("words"), "hash", "more", "a", "at"))
+        found = often if found is None else found.unionByName(often)
         if often.isEmpty():
             break
-        maps.append(_map_file(often, bits))
-    return materialize(_phrase_counts(rows, maps, longest).where(F.col("a") >= least))
+        if n < longest:
+            shorter = _map_file(often.select("hash"), bits)
+    return materialize(_texts(found, chunks, longest))
 
 
 def _scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def test_equals_brute_force(spark, period, bits):
 @pytest.mark.parametrize("longest,share", [(2, 100), (3, 80)])
 def test_other_lengths_and_shares(spark, monkeypatch, longest, share):
     monkeypatch.setattr(collocate, "HELD", 50)  # handed on in many parts
-    monkeypatch.setattr(collocate, "HELD_PHRASES", 10)
+    monkeypatch.setattr(collocate, "MOST", 40)  # and texts without a start in many chunks
     rows = _texts()
     docs = spark.createDataFrame([(i, t, lang, "p", "r", "n") for i, (t, lang) in enumerate(rows)], SCHEMA)
     got = collocate.collocations(docs, least=5, longest=longest, top=10_000, share=share, period=7)
@@ -81,15 +81,16 @@ def test_counts_of_64_bits_and_more(spark):
     assert row.score == 1000 * big * 7 * big // (6 * big * big) and (row.l, row.r) == (3 * big, 2 * big)
 
 
-@pytest.mark.parametrize("longest", [2, 5])
-def test_chunks_overlap_once(longest):
+@pytest.mark.parametrize("longest,most", [(2, 1 << 16), (5, 1 << 16), (5, 3), (2, 1)])
+def test_chunks_overlap_once(monkeypatch, longest, most):
+    monkeypatch.setattr(collocate, "MOST", most)
     rows = [t for t, _ in _texts()]
     for first, words in blocks(pa.array(rows), collocate._WORD):
         starts = Counter()
         for text, chunk, final, own in collocate._chunks(words, longest, 4):
             starts[text] += own
             held = re.findall(rb"[^ \n]+", chunk)
-            assert len(held) == own + (0 if final else longest - 1)
+            assert len(held) == own + (0 if final else longest - 1) and (own <= most or final and own < most + longest)
         assert [starts[i] for i in range(len(words))] == [sum(map(len, _pieces(t))) for t in rows[first : first + len(words)]]
 
 
