@@ -31,6 +31,8 @@ LONGEST = 2
 LEAST_WORDS = 20
 PERCENT = 25
 SEED = 7
+#: Rows per range when documents are ranked.
+RANGE_ROWS = 1 << 15
 #: Over lower-cased UTF-8: digits, letters and everything beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SEPARATOR = b"\0"
@@ -139,5 +141,5 @@ def resample(
     able = F.coalesce(F.col("score").isNotNull() & (F.col("n_words") >= least_words), F.lit(False))
     scored = materialize(scored.select("doc_id", "n_features", "weight", "score", F.struct((~able).alias("out"), (-F.col("score")).alias("score"), "doc_id").alias("place")))
     quota = scored.where("NOT place.out").count() * percent // 100
-    ranked = running_global(scored, "place", [Running("rank", "count", F.lit(True))])
+    ranked = running_global(scored, "place", [Running("rank", "count", F.lit(True))], chunk_rows=RANGE_ROWS)
     return ranked.select("doc_id", "n_features", "weight", "score", F.when(~F.col("place.out") & (F.col("rank") <= quota), F.col("rank")).alias("rank"))

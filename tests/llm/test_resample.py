@@ -7,7 +7,6 @@ import zlib
 import pytest
 
 from runsight.llm import resample
-from runsight.plans import running
 
 SCHEMA = "doc_id long, text string, rank string, score string, place string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,7 +52,7 @@ def _key(rows):
 
 @pytest.mark.parametrize("chunk", [7, 1 << 20])
 def test_equals_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(running, "CHUNK_ROWS", chunk)  # ranks carried between many ranges
+    monkeypatch.setattr(resample, "RANGE_ROWS", chunk)  # ranks carried between many ranges
     rows, target = _rows()
     rows.append((None, "one more text without a number " * 5, "r", "s", "p"))
     out = resample.resample(spark.createDataFrame(rows, SCHEMA).repartition(5), spark.createDataFrame([(t, 1) for t in target], "text string, doc_id int"))
