@@ -15,14 +15,14 @@ def put(folder: str, name: str, data: bytes) -> str:
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     uri = f"{folder.rstrip('/')}/{uuid.uuid4().hex}-{name}"
-    with system.open_output_stream(fs.FileSystem.from_uri(uri)[1]) as out:
+    with system.open_output_stream(fs.FileSystem.from_uri(uri)[1], compression=None) as out:  # bytes as they are, whatever the name
         out.write(data)
     return uri
 
 
 def get(uri: str) -> bytes:
     system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         return source.read()
 
 

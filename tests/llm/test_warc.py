@@ -1,4 +1,5 @@
 import gzip
+import zlib
 
 from runsight.llm import warc
 
@@ -76,3 +77,18 @@ def test_quarantine_of_files(spark, tmp_path):
     files = warc.archives(spark, str(tmp_path))
     assert sorted(r.payload.decode() for r in warc.records(files).collect()) == ["x", "y"]
     assert [r.length for r in warc.quarantine(files).collect()] == [4]
+
+
+def test_files_on_disk_are_archives(spark, tmp_path):
+    """Each member of a written file, unpacked alone, is one WARC record, and readers of bytes and of names find the same records at the same places."""
+    rows = [(i, f"http://h/{i}", "x" * (i % 7) * 100, "") for i in range(40)]
+    files = warc.write_archives(_pages(spark, rows), str(tmp_path), archive_bytes=2000)
+    by_path = sorted((r.path.rsplit("/", 1)[1], r.offset, r.length, r.record_id) for r in warc.records(files.select("path")).collect())
+    by_bytes = sorted((r.path.rsplit("/", 1)[1], r.offset, r.length, r.record_id) for r in warc.records(warc.archives(spark, str(tmp_path))).collect())
+    assert by_path == by_bytes and len(by_path) == 40 and len({r[0] for r in by_path}) > 1
+    for name, offset, length, _ in by_path:
+        data = (tmp_path / name).read_bytes()[offset : offset + length]
+        plain = zlib.decompressobj(31)
+        assert plain.decompress(data).startswith(b"WARC/1.1\r\n") and plain.eof and not plain.unused_data
+    for file in files.collect():
+        assert (tmp_path / file.path.rsplit("/", 1)[1]).stat().st_size == file.n_bytes
