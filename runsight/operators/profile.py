@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from runsight.functions.dates import parse_date
 from runsight.functions.values import clean_floats, fixed, pearson
-from runsight.session import materialize
 
 # Thresholds that decide results.
 REGRESSION_ABOVE = 20
@@ -217,7 +216,6 @@ PROFILE_SCHEMA = T.StructType(
                     T.StructField("mean", T.DoubleType()),
                     T.StructField("std", T.DoubleType()),
                     T.StructField("n_classes", T.LongType()),
-                    T.StructField("distribution", T.MapType(T.StringType(), T.LongType())),
                 ]
             ),
         ),
@@ -227,17 +225,14 @@ PROFILE_SCHEMA = T.StructType(
 
 
 def profile_dataset(df: DataFrame, target: str) -> DataFrame:
-    """One-row profile: task, default metric, column kinds, dates, target statistics, missing share, leakage."""
+    """One-row profile: task, default metric, column kinds, dates, target statistics, missing share, leakage. Classes with their counts are rows of ``class_distribution``."""
     clean = clean_floats(df)
     facts = _facts(clean, target)
     _check(clean, target, facts)
     kinds = feature_types(df, target)
     numeric_target = isinstance(df.schema[target].dataType, NUMERIC)
-    n_classes, counts = None, None
     many = numeric_target and distinct_up_to(clean, target, REGRESSION_ABOVE + 1) > REGRESSION_ABOVE
-    if not many:
-        counts = materialize(value_counts(clean, target))
-        n_classes = counts.count()
+    n_classes = None if many else n_unique(clean, target).first()["n_unique"]
     task = detect_task(numeric_target, REGRESSION_ABOVE + 1 if many else n_classes)
     metric, direction = select_metric(task, REGRESSION_ABOVE + 1 if many else n_classes)
     regression = task == "regression"
@@ -257,18 +252,19 @@ def profile_dataset(df: DataFrame, target: str) -> DataFrame:
             "mean": facts["mean"] if regression else None,
             "std": facts["std"] if regression else None,
             "n_classes": None if regression else n_classes,
-            "distribution": None,
         },
         "missing_pct": 100.0 * (cells - sum(facts["counts"].values())) / cells,
     }
-    profile = df.sparkSession.createDataFrame([row], PROFILE_SCHEMA)
-    if regression or counts is None:
-        return profile
-    # All classes are one cell of the profile, put together by Spark; `value_counts` and `data_summary` have them as rows.
-    pair = F.struct(F.col("value").cast("string"), F.col("n"))
-    classes = counts.agg(F.map_from_entries(F.collect_list(pair)).alias("_classes"))
-    filled = F.col("target_stats").withField("distribution", F.col("_classes"))
-    return profile.join(classes, F.lit(True)).withColumn("target_stats", filled).drop("_classes")
+    return df.sparkSession.createDataFrame([row], PROFILE_SCHEMA)
+
+
+def class_distribution(df: DataFrame, target: str) -> DataFrame:
+    """Rows per class of a categorical target: (value, n), as many rows as there are classes, counted per task before the shuffle. A continuous target has none."""
+    clean = clean_floats(df)
+    numeric = isinstance(df.schema[target].dataType, NUMERIC)
+    counts = value_counts(clean, target).select(F.col("value").cast("string").alias("value"), "n")
+    continuous = numeric and distinct_up_to(clean, target, REGRESSION_ABOVE + 1) > REGRESSION_ABOVE
+    return counts.limit(0) if continuous else counts
 
 
 def data_summary(df: DataFrame, target: str) -> DataFrame:

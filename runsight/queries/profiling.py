@@ -26,9 +26,6 @@ def _flat(p: DataFrame) -> DataFrame:
         r("target_stats.mean", 2).alias("target_mean"),
         r("target_stats.std", 2).alias("target_std"),
         F.col("target_stats.n_classes").alias("n_classes"),
-        F.array_join(
-            F.transform(F.array_sort(F.map_entries("target_stats.distribution")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","
-        ).alias("distribution"),
         r("missing_pct").alias("missing_pct"),
     )
 
@@ -42,7 +39,7 @@ def _columns(source: str, target: str, test: str) -> str:
   {_columns('lineitem', 'l_extendedprice', f'column_type IN {NUMERIC_TYPES}')} AS numeric_features,
   {_columns('lineitem', 'l_extendedprice', f'column_type NOT IN {NUMERIC_TYPES}')} AS categorical_features,
   'l_shipdate' AS date_columns, CAST(0 AS BIGINT) AS n_warnings, round(avg(l_extendedprice), 2) AS target_mean,
-  round(stddev_samp(l_extendedprice), 2) AS target_std, CAST(NULL AS BIGINT) AS n_classes, CAST(NULL AS VARCHAR) AS distribution,
+  round(stddev_samp(l_extendedprice), 2) AS target_std, CAST(NULL AS BIGINT) AS n_classes,
   0.0 AS missing_pct FROM lineitem""")
 def profile_regression(spark: SparkSession, d: str) -> DataFrame:
     return _flat(profile.profile_dataset(table(spark, d, "lineitem"), "l_extendedprice"))
@@ -53,8 +50,6 @@ def profile_regression(spark: SparkSession, d: str) -> DataFrame:
   {_columns('lineitem', 'l_returnflag', f'column_type NOT IN {NUMERIC_TYPES}')} AS categorical_features,
   'l_shipdate' AS date_columns, CAST(0 AS BIGINT) AS n_warnings, CAST(NULL AS DOUBLE) AS target_mean,
   CAST(NULL AS DOUBLE) AS target_std, count(DISTINCT l_returnflag) AS n_classes,
-  (SELECT string_agg(l_returnflag || '=' || n, ',' ORDER BY l_returnflag) FROM
-    (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)) AS distribution,
   0.0 AS missing_pct FROM lineitem""")
 def profile_classification(spark: SparkSession, d: str) -> DataFrame:
     return _flat(profile.profile_dataset(table(spark, d, "lineitem"), "l_returnflag"))
@@ -239,11 +234,20 @@ def validate_input(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(verdicts, "name string, verdict string")
 
 
-@query("""SELECT count(DISTINCT c_name) AS n_classes, count(*) AS n_rows,
-  (SELECT string_agg(c_name || '=' || n, ',' ORDER BY c_name) FROM (SELECT c_name, count(*) AS n FROM customer GROUP BY 1)) AS distribution FROM customer""")
+@query("SELECT c_name AS value, count(*) AS n, (SELECT count(DISTINCT c_name) FROM customer) AS n_classes, (SELECT count(*) FROM customer) AS n_rows FROM customer GROUP BY c_name")
 def profile_many_classes(spark: SparkSession, d: str) -> DataFrame:
-    """A target in which every row is a class of its own."""
-    return _flat(profile.profile_dataset(table(spark, d, "customer"), "c_name")).select("n_classes", "n_rows", "distribution")
+    """A target in which every row is a class of its own: the profile beside its classes, a row each."""
+    customer = table(spark, d, "customer")
+    facts = profile.profile_dataset(customer, "c_name").select("target_stats.n_classes", "n_rows")  # one row
+    return profile.class_distribution(customer, "c_name").join(F.broadcast(facts)).select("value", "n", "n_classes", "n_rows")
+
+
+@query("SELECT l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 'n' || l_linenumber, count(*) FROM lineitem GROUP BY 1")
+def class_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of a text and of a number with few values; a continuous target adds no row."""
+    lineitem = table(spark, d, "lineitem")
+    few = profile.class_distribution(lineitem, "l_linenumber").select(F.concat(F.lit("n"), "value").alias("value"), "n")
+    return profile.class_distribution(lineitem, "l_returnflag").unionByName(few).unionByName(profile.class_distribution(lineitem, "l_extendedprice"))
 
 
 @query(f"""WITH {_CONFIGS} SELECT config_id, CASE WHEN model_name IS NULL AND domain = 'finetuning' THEN 'meta-llama/Llama-3.2-1B' ELSE model_name END AS model_name FROM cfg""")
