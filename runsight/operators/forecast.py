@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.operators.metrics import mape
-from runsight.plans.running import Running, running_global
+from runsight.plans.running import CHUNK, Running, carried, chunked, hot_keys, running
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
 
 def with_position(series: DataFrame, key: str = "series_id", period: str = "period") -> DataFrame:
     """Add the 1-based position of each row in its series, however long the series is."""
-    return running_global(series, period, [Running("position", "count", F.lit(True))], [key])
+    return running(series, [key], period, [Running("position", "count", F.lit(True))])
 
 
-def _lagged(series: DataFrame, lag: int, name: str) -> DataFrame:
-    """Value ``lag`` places back, by a join on (series, position): no window over a whole series."""
-    placed = materialize(with_position(series))
-    back = placed.select("series_id", (F.col("position") + lag).alias("position"), F.col("value").alias(name))
-    return placed.join(back, ["series_id", "position"], "left")
+def lagged(series: DataFrame, lag: int, name: str, hot: DataFrame | None | str = "count", chunk_rows: int | None = None) -> DataFrame:
+    """Add ``position`` and the value ``lag`` places back.
+
+    Series that fit a task take one exchange and one sort. Longer ones lie in ranges of (series, period), and the last ``lag`` rows of each range are its halo: they are sent to the rows ``lag``
+    places on, which stand in a later range. No other row meets another one.
+    """
+    if lag < 1:
+        raise ValueError("a lag is one place at least")
+    back = lambda over: (F.row_number().over(over).cast("long"), F.lag("value", lag).over(over))
+    hot = hot_keys(series, ["series_id"]) if isinstance(hot, str) else hot
+    if hot is None:
+        place, value = back(Window.partitionBy("series_id").orderBy("period"))
+        return series.select("*", place.alias("position"), value.alias(name))
+    chunks, _ = chunked(series, ["series_id"], "period", None, hot, chunk_rows)
+    chunks = materialize(chunks)
+    totals = materialize(chunks.where(F.col(CHUNK) != 0).groupBy("series_id", CHUNK).agg(F.count(F.lit(1)).alias("_n")))
+    before = carried(totals, ["series_id"], [Running("_before", "sum", F.col("_n"), before=True)])
+    place, value = back(Window.partitionBy("series_id", CHUNK).orderBy("period"))
+    local = chunks.select("*", place.alias("_in"), value.alias("_back")).join(broadcast_if_small(before), ["series_id", CHUNK], "left")
+    placed = materialize(local.withColumn("position", F.col("_in") + F.coalesce("_before", F.lit(0))))
+    halo = placed.where(F.col("_in") > F.col("_n") - lag).select("series_id", (F.col("position") + lag).alias("position"), F.col("value").alias("_sent"))
+    met = placed.join(broadcast_if_small(halo), ["series_id", "position"], "left")
+    return met.select(*series.columns, "position", F.coalesce("_back", "_sent").alias(name))
 
 
 def baseline_naive(series: DataFrame) -> DataFrame:
     """Forecast = last value."""
-    return _lagged(series, 1, "forecast")
+    return lagged(series, 1, "forecast")
 
 
 def baseline_seasonal_naive(series: DataFrame, season: int = 4) -> DataFrame:
     """Forecast = value one season earlier."""
-    return _lagged(series, season, "forecast")
+    return lagged(series, season, "forecast")
 
 
 def forecast_mape(forecasts: DataFrame) -> DataFrame:
@@ -46,11 +64,15 @@ def walk_forward(series: DataFrame, n_splits: int = 5) -> DataFrame:
     Each of the last ``n_splits`` blocks of n // (n_splits + 1) rows is once the test block: ``test_fold`` (1-based,
     NULL for rows that are only trained on). A row trains every fold from ``trains_from`` on, NULL when none.
     """
-    placed = materialize(with_position(series))
-    sizes = placed.groupBy("series_id").agg(F.max("position").alias("n"))
+    hot = hot_keys(series, ["series_id"])
+    if hot is None:
+        own = Window.partitionBy("series_id")
+        joined = series.select("*", F.row_number().over(own.orderBy("period")).cast("long").alias("position"), F.count(F.lit(1)).over(own).alias("n"))
+    else:
+        sizes = broadcast_if_small(series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")))
+        joined = running(series, ["series_id"], "period", [Running("position", "count", F.lit(True))], hot=hot).join(sizes, "series_id")
     block = F.floor(F.col("n") / (n_splits + 1)).cast("long")
     first = F.col("n") - block * n_splits
-    joined = placed.join(broadcast_if_small(sizes), "series_id")
     at = F.when((F.col("position") > first) & (block > 0), F.floor((F.col("position") - first - 1) / block) + 1).cast("int")
     return joined.withColumn("test_fold", at).select(
         *series.columns,

@@ -65,7 +65,7 @@ def between(df: DataFrame, hot: DataFrame | None) -> DataFrame:
     return df if hot is None else materialize(df)
 
 
-def _chunked(
+def chunked(
     df: DataFrame, keys: list[str], order: str, chunk: Column | None, hot: DataFrame | None | str, chunk_rows: int | None = None
 ) -> tuple[DataFrame, bool]:
     """``df`` with its chunk number, and whether any key has more than one chunk."""
@@ -83,7 +83,7 @@ def _chunked(
     return df.join(small, keys, "left_anti").select(*df.columns).withColumn(CHUNK, F.lit(0).cast("long")).unionByName(long), True
 
 
-def _carry(totals: DataFrame, keys: list[str], measures: Sequence[Running]) -> DataFrame:
+def carried(totals: DataFrame, keys: list[str], measures: Sequence[Running]) -> DataFrame:
     """Running aggregates of chunk totals, each chunk without its own: a running aggregate in the order of the chunks."""
     at = "_at_" + CHUNK
     return running(totals.withColumnRenamed(CHUNK, at), keys, at, measures).withColumnRenamed(at, CHUNK)
@@ -104,7 +104,7 @@ def running(
     """
     keys = list(keys)
     columns = [c for c in df.columns if c not in {m.name for m in measures}]
-    placed, split = _chunked(df, keys, order, chunk, hot, chunk_rows)
+    placed, split = chunked(df, keys, order, chunk, hot, chunk_rows)
     parts = [*keys, CHUNK] if split else keys
     base = placed.select("*", *[m.input().alias(f"_in_{m.name}") for m in measures])
     inside = Window.partitionBy(*parts).orderBy(order)
@@ -116,7 +116,7 @@ def running(
     chunks = base if chunk is not None else base.where(F.col(CHUNK) != 0)
     totals = materialize(chunks.groupBy(*parts).agg(*[m.over(F.col(f"_in_{m.name}")).alias(f"_in_{m.name}") for m in measures]))
     totals_of = [Running(f"_carry_{m.name}", "sum" if m.how == "count" else m.how, F.col(f"_in_{m.name}"), before=True) for m in measures]
-    carry = _carry(totals, keys, totals_of).select(*parts, *[m.name for m in totals_of])
+    carry = carried(totals, keys, totals_of).select(*parts, *[m.name for m in totals_of])
     local = base.select(*columns, CHUNK, *[c.alias(f"_local_{name}") for name, c in locals_.items()])
     return local.join(broadcast_if_small(carry), parts, "left").select(
         *columns, *[m.combine(F.col(f"_local_{m.name}"), F.col(f"_carry_{m.name}")).alias(m.name) for m in measures]
@@ -140,7 +140,7 @@ def since_reset(
     """
     keys = list(keys)
     columns = [c for c in df.columns if c not in (name, total)]
-    placed, split = _chunked(df, keys, order, None, hot)
+    placed, split = chunked(df, keys, order, None, hot)
     parts = [*keys, CHUNK] if split else keys
     base = placed.select(
         *columns, CHUNK, F.coalesce(value.cast("long"), F.lit(0)).alias("_v"), F.coalesce(reset, F.lit(False)).alias("_reset")
@@ -155,8 +155,8 @@ def since_reset(
         return marked(base).select(*columns, (F.col("_sum") - F.coalesce("_mark", F.lit(0))).alias(name), *extra)
 
     totals = materialize(marked(base.where(F.col(CHUNK) != 0)).groupBy(*parts).agg(F.max("_sum").alias("_sum"), F.max("_mark").alias("_mark")))
-    carry = materialize(_carry(totals, keys, [Running("_before", "sum", F.col("_sum"), before=True)]))
-    carry = _carry(carry, keys, [Running("_base", "max", F.col("_before") + F.col("_mark"), before=True)]).select(*parts, "_before", "_base")
+    carry = materialize(carried(totals, keys, [Running("_before", "sum", F.col("_sum"), before=True)]))
+    carry = carried(carry, keys, [Running("_base", "max", F.col("_before") + F.col("_mark"), before=True)]).select(*parts, "_before", "_base")
     running_sum = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_sum")
     base_sum = F.coalesce(F.coalesce(F.col("_before"), F.lit(0)) + F.col("_mark"), F.col("_base"), F.lit(0))
     extra = [running_sum.alias(total)] if total else []

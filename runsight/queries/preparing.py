@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runsight.operators import baselines, chat, forecast, models, prep
 from runsight.operators.registry import Domain
+from runsight.plans.running import hot_keys
 from runsight.queries import query, r, table
 from runsight.queries.inputs import WITH_GAPS, with_gaps
 
@@ -240,6 +241,13 @@ def forecast_mape(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast_mape(forecast.baseline_seasonal_naive(_quarters(spark, d))).withColumn("mape", r("mape"))
 
 
+@query("""SELECT user_id % 3 AS series_id, ts AS period, value, row_number() OVER w AS position, lag(value, 7) OVER w AS week_before FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts)""")
+def lag_in_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Three long series as hot keys, in ranges of 300 rows at most: the last seven rows of each are sent on."""
+    series = table(spark, d, "events").select((F.col("user_id") % 3).alias("series_id"), F.col("ts").alias("period"), "value")
+    return forecast.lagged(series, 7, "week_before", hot_keys(series, ["series_id"], 100), chunk_rows=300)
+
+
 @query(f"""WITH {_QUARTERS}, p AS (SELECT series_id, period, row_number() OVER (PARTITION BY series_id ORDER BY period) AS position, count(*) OVER (PARTITION BY series_id) AS n FROM q),
 b AS (SELECT *, n // 6 AS b FROM p), t AS (SELECT *, CASE WHEN position > n - 5 * b THEN CAST((position - (n - 5 * b) - 1) // b + 1 AS INT) END AS test_fold FROM b)
 SELECT series_id, period, position, test_fold, CASE WHEN coalesce(test_fold, 0) < 5 THEN coalesce(test_fold, 0) + 1 END AS trains_from FROM t""")

@@ -159,6 +159,34 @@ def test_drawn_predictions_follow_the_training_shares(spark, small_chunks):
     assert abs(uniform - 0.5) < 0.04
 
 
+@pytest.mark.parametrize("lag", [1, 4, 25])
+def test_lags_across_ranges_equal_the_list(spark, small_chunks, lag):
+    """Long series in ranges of a few rows, shorter than the lag too; short series beside them."""
+    lengths = [100, 3, 60, 1, 11, 10]
+    data = [(s, f"{i:04d}", None if i % 9 == 4 else float(100 * s + i), "x") for s, n in enumerate(lengths) for i in range(n)]
+    df = spark.createDataFrame(data, "series_id int, period string, value double, note string").repartition(4)
+    of = {(s, p): v for s, p, v, _ in data}
+    want = [(s, p, int(p) + 1, of.get((s, f"{int(p) - lag:04d}"))) for s, p, _, _ in data]
+    got = [tuple(r) for r in forecast.lagged(df, lag, "back").select("series_id", "period", "position", "back").collect()]
+    assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_short_series_take_one_exchange(spark):
+    df = spark.range(50).select((F.col("id") % 3).alias("series_id"), F.col("id").alias("period"), F.col("id").cast("double").alias("value"))
+    for out in (forecast.baseline_seasonal_naive(df), forecast.baseline_naive(df), forecast.walk_forward(df)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        out.collect()
+        done = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and done.count("Exchange hashpartitioning") <= 2  # one, shown in the first and in the final plan
+
+
+def test_walk_forward_of_hot_series(spark, small_chunks):
+    df = spark.range(70).select((F.col("id") >= 64).cast("int").alias("series_id"), F.col("id").alias("period"), F.col("id").cast("double").alias("value"))
+    assert rows(forecast.walk_forward(df, 3), "period", "position", "test_fold") == [
+        (i, i + 1 if i < 64 else i - 63, (1 + (i - 16) // 16 if i >= 16 else None) if i < 64 else (1 + (i - 67) if i >= 67 else None)) for i in range(70)
+    ]
+
+
 def test_walk_forward_blocks_and_lags(spark):
     df = spark.range(14).select(F.lit("s").alias("series_id"), F.col("id").alias("period"), F.col("id").cast("double").alias("value")).repartition(3)
     folds = rows(forecast.walk_forward(df, 3), "period", "test_fold", "trains_from")

@@ -36,7 +36,7 @@ def test_chunks_of_one_hot_key_are_bounded_and_even(spark, monkeypatch):
     monkeypatch.setattr(plan, "HOT_ROWS", 100_000)
     monkeypatch.setattr(plan, "CHUNK_ROWS", 1 << 17)
     df = spark.range(1_000_000).select(F.lit("r").alias("k"), "id", F.timestamp_micros((F.pow(F.col("id") / 1e6, 8) * 1e12).cast("long") * 1_000_000 + F.col("id")).alias("at"))
-    placed, split = plan._chunked(df, ["k"], "at", None, "count")
+    placed, split = plan.chunked(df, ["k"], "at", None, "count")
     sizes = [r["count"] for r in placed.groupBy(plan.CHUNK).count().collect()]
     assert split and max(sizes) <= 1 << 17 and sum(sizes) == 1_000_000 and len(sizes) >= 8
     out = running(df, ["k"], "at", [Running("n", "count", F.lit(True)), Running("s", "sum", F.col("id"))])
@@ -47,8 +47,8 @@ def test_totals_of_totals(spark, small_chunks, monkeypatch):
     """So many chunks that their totals are a hot key themselves."""
     monkeypatch.setattr(plan, "CHUNK_ROWS", 6)
     levels = []
-    inner = plan._carry
-    monkeypatch.setattr(plan, "_carry", lambda totals, *more: (levels.append(totals.count()), inner(totals, *more))[1])
+    inner = plan.carried
+    monkeypatch.setattr(plan, "carried", lambda totals, *more: (levels.append(totals.count()), inner(totals, *more))[1])
     df = spark.range(300).select(F.lit(1).alias("k"), (F.col("id") * F.col("id")).alias("o"), F.col("id").alias("v"))
     out = running(df, ["k"], "o", [Running("s", "sum", F.col("v"), before=True)])
     assert [r[0] for r in rows(out, "s")] == [i * (i - 1) // 2 for i in range(300)]
