@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runsight.functions.rouge import rouge
+from runsight.functions.rouge import overlap_f1, pairs, rouge_longest, tokens
 from runsight.operators.prep import SEED, split_train_eval
 
 TURN = "<|im_start|>%s\n%s<|im_end|>\n"  # default template of one message: role, content
@@ -97,6 +97,33 @@ def word_tokenizer(df_vocabulary: DataFrame) -> Callable[[], Callable[[str], lis
     return load
 
 
+def word_ids(df: DataFrame, df_vocabulary: DataFrame, text: str = "text", max_length: int = 512) -> DataFrame:
+    """Add ``input_ids`` and ``attention_mask`` of exactly ``max_length`` places by a word-level vocabulary (token, id), without leaving the JVM and without a shuffle.
+
+    The vocabulary, which is as large as its ``size`` says, is one row: an array of buckets by hash, of which a word looks at one. Only as many words are cut off a text as are kept.
+    """
+    held = df_vocabulary.select("token", F.col("id").cast("int").alias("id"))
+    buckets = 1 << max(1, held.count() - 1).bit_length()
+    entries: list[list] = [[] for _ in range(buckets)]
+    for row in held.select("token", "id", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket")).collect():  # at most ``size`` rows
+        entries[row["bucket"]].append((row["token"], row["id"]))
+    table = df.sparkSession.createDataFrame([(entries,)], "_table array<array<struct<token: string, id: int>>>")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD, max_length + 2), lambda w: w != "")
+    own = lambda w: F.filter(F.get("_table", F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")), lambda e: e["token"] == w)
+    found = F.transform(F.slice(words, 1, max_length), lambda w: F.coalesce(F.get(own(w), F.lit(0))["id"], F.lit(UNKNOWN)))
+    return _padded(df.join(F.broadcast(table)).withColumn("_ids", found), df.columns, max_length)
+
+
+def _padded(ids: DataFrame, columns: Sequence[str], max_length: int) -> DataFrame:
+    gap = F.lit(max_length) - F.size("_ids")
+    one = lambda v: F.lit(v).cast("int")
+    return ids.select(
+        *columns,
+        F.concat("_ids", F.array_repeat(one(PAD), gap)).alias("input_ids"),
+        F.concat(F.transform("_ids", lambda _: one(1)), F.array_repeat(one(0), gap)).alias("attention_mask"),
+    )
+
+
 def tokenize_truncate(df: DataFrame, load: Callable[[], Callable[[str], Sequence[int]]], text: str = "text", max_length: int = 512) -> DataFrame:
     """Add ``input_ids`` and ``attention_mask`` of exactly ``max_length`` places.
 
@@ -109,14 +136,7 @@ def tokenize_truncate(df: DataFrame, load: Callable[[], Callable[[str], Sequence
         for batch in batches:
             yield batch.map(lambda t: list(tokenizer(t or "")[:max_length]))
 
-    ids = df.withColumn("_ids", encode(F.col(text)))
-    gap = F.lit(max_length) - F.size("_ids")
-    one = lambda v: F.lit(v).cast("int")
-    return ids.select(
-        *df.columns,
-        F.concat("_ids", F.array_repeat(one(PAD), gap)).alias("input_ids"),
-        F.concat(F.transform("_ids", lambda _: one(1)), F.array_repeat(one(0), gap)).alias("attention_mask"),
-    )
+    return _padded(df.withColumn("_ids", encode(F.col(text))), df.columns, max_length)
 
 
 def apply_chat_template(df: DataFrame, load: Callable[[], Callable[[list[dict]], str]], messages: str = "messages") -> DataFrame:
@@ -136,7 +156,9 @@ def apply_chat_template(df: DataFrame, load: Callable[[], Callable[[list[dict]],
 
 def rouge_rows(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """Add rouge1, rouge2 and rougeL of each row."""
-    return df.withColumn("_r", rouge(F.col(prediction), F.col(reference))).select(*df.columns, "_r.*")
+    words = df.select("*", tokens(F.col(prediction)).alias("_p"), tokens(F.col(reference)).alias("_r"))
+    p, r = F.col("_p"), F.col("_r")
+    return words.select(*df.columns, overlap_f1(p, r).alias("rouge1"), overlap_f1(pairs(p), pairs(r)).alias("rouge2"), rouge_longest(p, r).alias("rougeL"))
 
 
 def rouge_scores(df: DataFrame, prediction: str = "prediction", reference: str = "reference", by: Sequence[str] = ()) -> DataFrame:

@@ -172,22 +172,34 @@ def baseline_perplexity_vocab(spark: SparkSession, d: str) -> DataFrame:
     return out.select("name", r("score").alias("score"), "std")
 
 
-@query(f"""WITH c AS (SELECT token, count(*) AS n FROM ({_WORDS}) WHERE token <> '' GROUP BY 1),
+_TOKEN_IDS = f"""WITH c AS (SELECT token, count(*) AS n FROM ({_WORDS}) WHERE token <> '' GROUP BY 1),
 v AS (SELECT token, 1 + row_number() OVER (ORDER BY n DESC, token) AS id FROM c QUALIFY id <= 501),
 t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))  AS token,
   generate_subscripts(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), 1) AS i FROM documents),
 e AS (SELECT doc_id, string_agg(CAST(coalesce(id, 1) AS VARCHAR), ' ' ORDER BY i) AS s, count(*) AS k FROM t LEFT JOIN v USING (token) WHERE i <= 64 GROUP BY 1)
-SELECT doc_id, trim(coalesce(s, '') || repeat(' 0', CAST(64 - coalesce(k, 0) AS INT))) AS ids, CAST(coalesce(k, 0) AS INT) AS used FROM documents LEFT JOIN e USING (doc_id)""")
-def tokenize_truncate(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "text")
-    load = chat.word_tokenizer(chat.vocabulary(documents, size=500))
-    out = chat.tokenize_truncate(documents, load, max_length=64)
+SELECT doc_id, trim(coalesce(s, '') || repeat(' 0', CAST(64 - coalesce(k, 0) AS INT))) AS ids, CAST(coalesce(k, 0) AS INT) AS used FROM documents LEFT JOIN e USING (doc_id)"""
+
+
+def _shown(out: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"),
     )
 
 
+@query(_TOKEN_IDS)
+def tokenize_truncate(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return _shown(chat.word_ids(documents, chat.vocabulary(documents, size=500), max_length=64))
+
+
+@query(_TOKEN_IDS)
+def tokenize_by_hook(spark: SparkSession, d: str) -> DataFrame:
+    """The same words by a tokenizer that workers load."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return _shown(chat.tokenize_truncate(documents, chat.word_tokenizer(chat.vocabulary(documents, size=500)), max_length=64))
+
+
 _NGRAMS = r"""tok AS (SELECT conv_id, turn, side, t, i, lead(t) OVER (PARTITION BY conv_id, turn, side ORDER BY i) AS t2 FROM (
   SELECT conv_id, turn, 'p' AS side, unnest(regexp_extract_all(lower(output), '[a-z0-9]+')) AS t, generate_subscripts(regexp_extract_all(lower(output), '[a-z0-9]+'), 1) AS i FROM pairs
   UNION ALL SELECT conv_id, turn, 'r', unnest(regexp_extract_all(lower(instruction), '[a-z0-9]+')), generate_subscripts(regexp_extract_all(lower(instruction), '[a-z0-9]+'), 1) FROM pairs)),

@@ -102,6 +102,34 @@ def test_tokenizer_hook_pads_and_truncates(spark):
     assert out == {"a b c d e": ([97, 98, 99], [1, 1, 1]), "a": ([97, 0, 0], [1, 0, 0]), None: ([0, 0, 0], [0, 0, 0])}
 
 
+def test_words_are_looked_up_without_python(spark):
+    texts = ["The cat, the CAT sat", "", None, " ,,", "über 9 lives " * 50, "cat " * 3 + "dog"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    vocabulary = spark.createDataFrame([(w, i + 2) for i, w in enumerate(["the", "cat", "über", "9", "lives", "on"])], "token string, id long")
+    for length in (1, 4, 200):
+        by_hook = chat.tokenize_truncate(df, chat.word_tokenizer(vocabulary), max_length=length)
+        out = chat.word_ids(df, vocabulary, max_length=length)
+        assert rows(out, "i", "input_ids", "attention_mask") == rows(by_hook, "i", "input_ids", "attention_mask")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange hash" not in plan
+
+
+def test_overlap_equals_counters(spark):
+    import random
+
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices("a b c d e".split(), k=draw.randint(0, 30))) for _ in range(60)] + [None, "", "A-b,C"]
+    both = [(x, y) for x in texts[::3] for y in texts[1::4]]
+    out = chat.rouge_rows(spark.createDataFrame(both, "prediction string, reference string"))
+    for row in out.collect():
+        a, b = ((row[c] or "").lower().replace("-", " ").replace(",", " ").split() for c in ("prediction", "reference"))
+        for name, x, y in (("rouge1", a, b), ("rouge2", list(zip(a, a[1:])), list(zip(b, b[1:])))):
+            common = (Counter(x) & Counter(y)).total()
+            assert row[name] == (2.0 * common / (len(x) + len(y)) if common else 0.0)
+    two = chat.rouge_scores(spark.createDataFrame(both, "prediction string, reference string")).select("rouge1", "rouge2")
+    assert "Python" not in two._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chat_template_hook(spark):
     df = spark.sql("SELECT array(named_struct('role', 'user', 'content', 'x')) AS messages")
     out = chat.apply_chat_template(df, lambda: lambda messages: "".join(f"<{m['role']}>{m['content']}" for m in messages))
