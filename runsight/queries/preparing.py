@@ -219,7 +219,12 @@ def rouge_scores(spark: SparkSession, d: str) -> DataFrame:
     return chat.rouge_scores(_pairs(spark, d), "output", "instruction").select(r("rouge1").alias("rouge1"), r("rouge2").alias("rouge2"))
 
 
-@query()
+# The table of common subsequences, a row of it per step of the recursion.
+@query(f"""WITH RECURSIVE {_PAIRS}, tok AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(output, '')), '[a-z0-9]+') AS a, regexp_extract_all(lower(coalesce(instruction, '')), '[a-z0-9]+') AS b FROM pairs),
+w AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(range(0, len(a) + 1), lambda x: 0::BIGINT) AS l FROM tok
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_transform(range(1, len(a) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND a[k - 1] = b[i + 1] THEN l[k - 1] + 1 ELSE l[k] END)))
+  FROM w WHERE i < len(b))
+SELECT conv_id, turn, round(CASE WHEN l[len(a) + 1] > 0 THEN 2.0 * l[len(a) + 1] / (len(a) + len(b)) ELSE 0 END, 6) AS "rougeL" FROM w WHERE i = len(b)""")
 def rouge_longest_subsequence(spark: SparkSession, d: str) -> DataFrame:
     """Longest common subsequences are not a SQL matter; tests compare them with a plain table."""
     return chat.rouge_rows(_pairs(spark, d), "output", "instruction").select("conv_id", "turn", r("rougeL").alias("rougeL"))
