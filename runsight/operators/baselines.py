@@ -17,6 +17,8 @@ from runsight.plans.quantile import exact_medians
 from runsight.plans.running import Running, running_global
 from runsight.session import materialize
 
+#: Classes, over all folds, that are looked up in a list.
+LISTED = 512
 # Share of the random-guess loss that the second loss baseline stands for.
 UNIFORM_SHARE = 0.95
 UNTRAINED_SHARE = 0.8
@@ -56,9 +58,7 @@ def beats_all(flags: DataFrame) -> DataFrame:
 
 def fold_class_counts(folded: DataFrame, label: str, fold: str = "fold", k: int = FOLDS) -> DataFrame:
     """(fold, label, in_fold, in_train) for every fold and class, written out: the baselines read it several times."""
-    counts = materialize(
-        folded.where(F.col(label).isNotNull()).groupBy(F.col(fold).alias("fold"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = folded.where(F.col(label).isNotNull()).groupBy(F.col(fold).alias("fold"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("per_fold"))
     every = totals.select("label", "total", "per_fold", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("fold"))
     inside = F.coalesce(F.try_element_at("per_fold", F.col("fold")), F.lit(0).cast("long"))
@@ -76,11 +76,10 @@ def most_frequent_scores(counts: DataFrame, metric: str) -> DataFrame:
 
 def expected_accuracy(counts: DataFrame, strategy: str = "stratified") -> DataFrame:
     """(fold, score): accuracy a random guess reaches on average, by training frequencies or uniformly."""
-    fold_window = Window.partitionBy("fold")  # one row per class
-    test = F.col("in_fold") / F.sum("in_fold").over(fold_window)
-    train = F.col("in_train") / F.sum("in_train").over(fold_window)
-    guess = train if strategy == "stratified" else F.lit(1.0) / F.count(F.lit(1)).over(fold_window)
-    return counts.select("fold", (guess * test).alias("s")).groupBy("fold").agg(F.sum("s").alias("score"))
+    sums = counts.groupBy("fold").agg(F.sum("in_fold").alias("_test"), F.sum("in_train").alias("_train"), F.count(F.lit(1)).alias("_classes"))  # one row per fold
+    rows = counts.join(F.broadcast(sums), "fold")
+    guess = F.col("in_train") / F.col("_train") if strategy == "stratified" else F.lit(1.0) / F.col("_classes")
+    return rows.select("fold", (guess * F.col("in_fold") / F.col("_test")).alias("s")).groupBy("fold").agg(F.sum("s").alias("score"))
 
 
 def drawn_predictions(
@@ -101,7 +100,18 @@ def drawn_predictions(
     weighted = counts.select("fold", "label", weight.alias("weight"))
     rows = folded.select(F.col(key), F.col(fold).alias("fold"), F.col(label).alias("y_true"), unit_draw(key, seed).alias("_u"))
     rows = rows.where(F.col("y_true").isNotNull())
-    return _drawn_by_order(rows, weighted, key)
+    return _drawn_by_list(rows, weighted, key) if counts.count() <= LISTED else _drawn_by_order(rows, weighted, key)
+
+
+def _drawn_by_list(rows: DataFrame, weighted: DataFrame, key: str) -> DataFrame:
+    """For few classes: each fold's classes with their starts in [0, 1) are one list, and a row takes the last that started before it. The same draw as ``_drawn_by_order``."""
+    window = Window.partitionBy("fold")  # at most ``LISTED`` rows in all
+    before = F.coalesce(F.sum("weight").over(window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = weighted.select("fold", "label", "weight", (before / F.sum("weight").over(window)).alias("at")).where(F.col("weight") > 0)
+    lists = starts.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("_starts"))  # one row per fold
+    begun = lambda s: s["at"] <= F.col("_u")
+    met = rows.join(F.broadcast(lists), "fold")
+    return met.select(key, "fold", "y_true", F.element_at(F.filter("_starts", begun), -1)["label"].alias("y_pred"))
 
 
 def _drawn_by_order(rows: DataFrame, weighted: DataFrame, key: str) -> DataFrame:

@@ -78,8 +78,8 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = FOLDS, seed:
     found per class by hash prefix, so a class of any size is never sorted as a whole. Rows without a
     label get no fold.
     """
-    index = label_index(df, label).withColumnRenamed("label", label)
-    sizes = running_before(index, "label_id", "n", "_offset").select(label, "_offset")
+    classes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = running_global(classes, label, [Running("_offset", "sum", F.col("_size"), before=True)]).select(label, "_offset")
     n, offset = F.col("_total"), F.col("_offset")
 
     def dealt(i: int) -> Column:
@@ -100,11 +100,6 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = FOLDS, seed:
     return joined.select(*df.columns, fold.alias("fold"))
 
 
-def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Sum of ``value`` over all earlier rows of a table that has one row per label."""
-    return running_global(df, order, [Running(name, "sum", F.col(value), before=True)])
-
-
 def temporal_split(df: DataFrame, date: str, test_size: float = 0.2) -> DataFrame:
     """Add ``is_test`` for the latest rows: at least ceil(n x test_size) of them, never splitting one point in time. Rows without a date are training rows."""
     per_date = materialize(df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_n")))

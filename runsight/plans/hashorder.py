@@ -44,13 +44,11 @@ def rank_cuts(
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     if extra is not None:
         totals = totals.join(extra, by)
-    asked = totals.select(*group, F.posexplode(ranks(F.col("_total"))).alias("cut", "_rank"))
+    # A span works out which of its group's ranks lie inside of it: one row per span, and one more per rank that does.
     low = F.col("_hi") - F.col("_n")
-    wanted = (
-        spans.join(asked, group)
-        .where((F.col("_rank") > low) & (F.col("_rank") <= F.col("_hi")))
-        .select(*group, "_p", "cut", (F.col("_rank") - low).alias("_at"))
-    )
+    numbered = F.transform(ranks(F.col("_total")), lambda rank, i: F.struct(i.alias("cut"), (rank - low).alias("_at")))
+    inside = F.filter(numbered, lambda x: (x["_at"] > 0) & (x["_at"] <= F.col("_n")))
+    wanted = spans.join(totals, group).select(*group, "_p", F.explode(inside).alias("_x")).select(*group, "_p", "_x.cut", "_x._at")
     wanted = materialize(wanted)  # as many rows as cuts
     inside = keyed.join(wanted.select(*group, "_p").distinct(), [*group, "_p"], "left_semi")
     ranked = inside.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_h")).cast("long"))

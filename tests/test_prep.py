@@ -199,6 +199,16 @@ def test_lags_across_ranges_equal_the_list(spark, small_chunks, lag):
     assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
 
 
+@pytest.mark.parametrize("strategy", ["stratified", "uniform"])
+def test_draws_from_a_list_are_those_in_order(spark, monkeypatch, strategy):
+    df = spark.range(600).select("id", F.concat(F.lit("c"), (F.col("id") * F.col("id") % 13).cast("string")).alias("y"))
+    folded = prep.stratified_kfold(df, "id", "y", 4).persist()
+    counts = baselines.fold_class_counts(folded, "y", k=4)
+    listed = rows(baselines.drawn_predictions(folded, counts, "id", "y", strategy=strategy), "id", "fold", "y_pred")
+    monkeypatch.setattr(baselines, "LISTED", 0)
+    assert listed == rows(baselines.drawn_predictions(folded, counts, "id", "y", strategy=strategy), "id", "fold", "y_pred") and len(listed) == 600
+
+
 def test_short_series_take_one_exchange(spark):
     df = spark.range(50).select((F.col("id") % 3).alias("series_id"), F.col("id").alias("period"), F.col("id").cast("double").alias("value"))
     for out in (forecast.baseline_seasonal_naive(df), forecast.baseline_naive(df), forecast.walk_forward(df)):
