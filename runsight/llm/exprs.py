@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,3 +23,11 @@ def words(text: Column) -> Column:
 def positions(first: int, last: Column) -> Column:
     """``first``..``last``, empty where ``last`` is smaller (a plain sequence would count down)."""
     return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.llm.batches import small_batches
+from runsight.llm.exprs import fresh
 from runsight.llm.textbytes import SPACED, Words, blocks, mix
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
@@ -51,7 +52,7 @@ def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key_a and key_b (128 bits that depend on the set alone), signature, counts (shingles per bucket); the last four null for texts without words."""
+    """doc_id, n_shingles, key_a and key_b (128 bits that depend on the set alone), signature, counts (shingles per bucket), text_key (hash of the text); key_a to counts null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +78,13 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                         pa.array(sizes),
                         *[pa.array(k.view(np.int64), mask=none) for k in keys],
                         *[pa.array([None if e else row.tobytes() for e, row in zip(none, x)], pa.binary()) for x in (table, counts)],
+                        batch.column(2).slice(first, len(sizes)),
                     ],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "signature", "counts"],
+                    ["doc_id", "n_shingles", "key_a", "key_b", "signature", "counts", "text_key"],
                 )
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary, counts binary")
+    keyed = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary, counts binary, text_key long")
 
 
 def _neighbours(table: np.ndarray, tree: np.ndarray, node: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +200,8 @@ def strays(regions: DataFrame, members: DataFrame, stars: DataFrame, percent: in
     """(a, b, same): pairs that a region too large for all its pairs may have missed, and a row of nulls if some are left for further turns.
 
     Nodes outside of a region's main component are compared with all others of the region. Per block, partners that may be alike have a fixed order, the closest first;
-    those in places ``low`` to ``high`` that are in another component by now are candidates. Both sides are cut into blocks of about ``block`` nodes, so that no
-    task holds a whole region.
+    those in places ``low`` to ``high`` that are in another component by now are candidates. A pair that shares a region of an earlier tree is left to that tree. Both sides are cut into blocks of
+    about ``block`` nodes, so that no task holds a whole region.
     """
     placed = members.join(broadcast_if_small(regions, stored=True), ["tree", "stem"]).join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     count = lambda n: F.ceil(F.col(n) / block).cast("int")
@@ -216,9 +219,12 @@ def strays(regions: DataFrame, members: DataFrame, stars: DataFrame, percent: in
                 (*[t[c].to_numpy() for c in columns[:3]], np.frombuffer(b"".join(t["branch"].to_pylist()), "<u2").reshape(-1, COMPONENTS), np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16))
                 for t in (these.sort_by("node"), those)
             ]
+            earlier = TREES - int(those["tree"][0].as_py())  # branches start with the tree's own components: those of earlier trees come last
             for node, component, size, row, held in zip(nb, cb, sb, tb, kb):
-                same = (ta == row).sum(axis=1)
+                equal = ta == row
+                same = equal.sum(axis=1)
                 at = np.flatnonzero((same >= AGREE) & (na != node))
+                at = at[~equal[at].reshape(len(at), TREES, COMPONENTS // TREES)[:, earlier:, :DEPTH].all(axis=2).any(axis=1)]
                 both = (sa[at] + size - np.abs(ka[at] - held).sum(axis=1, dtype=np.int64)) // 2  # at most so many shingles in common
                 at = at[100 * both >= percent * (sa[at] + size - both)]
                 at = at[np.argsort(-same[at], kind="stable")]
@@ -308,6 +314,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, region: int
     that share a doc_id are one document with several texts; rows without a doc_id are not linked, have no component and are kept. An empty table gives no rows. Only
     doc_id and text are read.
     """
+    return _grouped(docs, n, percent, region).drop("text_key")
+
+
+def _grouped(docs: DataFrame, n: int, percent: int, region: int = REGION) -> DataFrame:
+    """Rows of ``near_duplicates`` with the hash of their text."""
     own = materialize(signatures(docs, n))
     sets = own.where("doc_id IS NOT NULL AND key_a IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("signature", "n_shingles", "counts")])
     sets = materialize(sets)
@@ -333,20 +344,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, region: int
     placed = own.join(sets.select("key_a", "key_b", "node"), ["key_a", "key_b"], "left")
     placed = placed.join(stars, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id; all columns stay.
 
-    Of rows that share a kept doc_id one stays. Rows without a doc_id or without words stay. Texts are not shuffled unless the removed ids are too many
-    to be sent to every task.
+    Where rows share a doc_id, each is judged by its own text: a row goes if its component has a smaller doc_id, and of the texts of one component under the kept doc_id one stays. Rows without a doc_id or without
+    words stay. Texts are not shuffled unless the removed rows are too many to be sent to every task.
     """
-    found = materialize(near_duplicates(docs, n, percent).select("doc_id", "kept"))
-    gone = materialize(found.where("NOT kept").select("doc_id").distinct())
-    left = docs.join(broadcast_if_small(gone, stored=True), "doc_id", "left_anti")
-    again = materialize(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    key, held_id, held_key = (fresh(docs, name) for name in ("own_text_key", "held_doc_id", "held_text_key"))
+    found = materialize(_grouped(docs, n, percent))
+    gone = materialize(found.where("NOT kept").select("doc_id", "text_key").distinct())
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    away = lambda some: broadcast_if_small(some.select(F.col("doc_id").alias(held_id), F.col("text_key").alias(held_key)), stored=True)
+    same = (F.col("doc_id") == F.col(held_id)) & (F.col(key) == F.col(held_key))
+    left = marked.join(away(gone), same, "left_anti")
+    repeats = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"), F.min("text_key").alias("first"))
+    again = materialize(repeats.where("n > 1").select("doc_id", "component_id", "first"))
     if again.isEmpty():
         return left.select(*docs.columns)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    texts = materialize(found.where("n_shingles > 0").join(again, ["doc_id", "component_id"]).select("doc_id", "text_key", "first").distinct())
+    rest = left.join(away(texts), same, "left_anti")
+    once = left.join(away(texts.where("text_key = first")), same, "left_semi").dropDuplicates(["doc_id", key])
+    return rest.unionByName(once).select(*docs.columns)

@@ -92,6 +92,17 @@ def test_deduplicate_keeps_columns_and_one_row(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [3, 6, 7]
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    """A copy under another document's id takes no other text of that id with it; clashing names stay as they are."""
+    one, two = "a b c d e f g", "quite another text of some words"
+    rows = [(1, one, "k", 1), (2, one, "k", 2), (2, two, "k", 3), (2, two.upper(), "k", 4), (2, None, "k", 5), (2, "", "k", 6), (None, one, "k", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_text_key string, HELD_DOC_ID int")
+    out = neardup.deduplicate(df)
+    assert out.columns == df.columns
+    kept = sorted((r.doc_id or 0, (r.text or "").lower(), r.own_text_key) for r in out.collect())
+    assert kept == sorted([(1, one, "k"), (2, two, "k"), (2, "", "k"), (2, "", "k"), (0, one, "k")])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     found = {r.node: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
