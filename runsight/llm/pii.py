@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.exprs import let, positions, words
+from runsight.llm.exprs import fresh, let, positions, words
 from runsight.plans.sizing import broadcast_if_small
 from runsight.session import materialize
 
@@ -186,9 +186,10 @@ def find_pii(docs: DataFrame, min_seeds: int = 3, rounds: int = 3, accept: float
     larger groups nor further rows.
     """
     found = with_base(docs)
-    added = discovered(docs, found, min_seeds, rounds, accept)
-    spans = found.select("doc_id", "text_key", "base")
-    return spans.join(added, ["doc_id", "text_key"], "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN)))
+    added = discovered(docs, found, min_seeds, rounds, accept).select(F.col("doc_id").alias("held_id"), F.col("text_key").alias("held_key"), "added")
+    same = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key"))
+    spans = found.select("doc_id", "text_key", "base").join(added, same, "left")
+    return spans.select("doc_id", "text_key", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
 
 
 def _joined(spans: Column) -> Column:
@@ -226,10 +227,11 @@ def mask(text: Column, spans: Column) -> Column:
 
 def mask_documents(docs: DataFrame, min_seeds: int = 3, rounds: int = 3, accept: float = 0.8) -> DataFrame:
     """``docs`` with personal data in text masked; all columns and rows stay, null texts stay null."""
-    added = discovered(docs, with_base(docs), min_seeds, rounds, accept).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("added").alias("__added"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key"))
+    held, key, more = (fresh(docs, name) for name in ("held_id", "held_key", "added"))
+    added = discovered(docs, with_base(docs), min_seeds, rounds, accept).select(F.col("doc_id").alias(held), F.col("text_key").alias(key), F.col("added").alias(more))
+    same = F.col("doc_id").eqNullSafe(F.col(held)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
     base = F.concat(*[base_spans(F.col("text"), kind) for kind in KINDS])
-    spans = F.concat(base, F.coalesce("__added", F.array().cast(SPAN)))
+    spans = F.concat(base, F.coalesce(more, F.array().cast(SPAN)))
     joined = docs.join(broadcast_if_small(added, 2_000), same, "left")
     masked = F.when(F.col("text").isNotNull(), mask(F.col("text"), spans))
     return joined.select(*[masked.alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -35,13 +35,17 @@ _BYTE_CHARS = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256
 
 
 class Encoder:
-    """``path``: tokenizer file. ``word_ends``: its words are lower-cased and spaces get no ids. Strings of special tokens count as ordinary text."""
+    """``path``: tokenizer file. ``word_ends``: its words are lower-cased and spaces get no ids.
 
-    def __init__(self, path: str, word_ends: bool) -> None:
+    Strings of special tokens become these tokens, as they do for the library; with ``plain_marks`` they count as ordinary text. A text that may hold one goes through the library as a whole.
+    """
+
+    def __init__(self, path: str, word_ends: bool, plain_marks: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_marks
+        self.marks = [] if plain_marks else sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.model = self.tokenizer.model
         self.word_ends = word_ends
         self.cut = (_WORD_PARTS if word_ends else _PARTS).findall
@@ -80,13 +84,16 @@ class Encoder:
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
         """Ids of a text (null: empty) as unsigned 32-bit numbers, followed by ``end``."""
-        own = (text or "").split(" ")
+        text = text or ""
+        if any(m in text for m in self.marks):
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end], np.uint32)
+        own = text.split(" ")
         found = list(map(self.known.get, own))
         if None in found:
             found = [self._new(p) if f is None else f for p, f in zip(own, found, strict=True)]
         if not self.word_ends:
             if _NO_BORDER in found or not own[0]:
-                found = [self._piece(p) for p in _CUT.split(text or "") if p]
+                found = [self._piece(p) for p in _CUT.split(text) if p]
             else:
                 found[0] = self._piece(own[0])
         found.append(array("I", [end]).tobytes())

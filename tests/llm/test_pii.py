@@ -85,3 +85,14 @@ def test_mask(spark):
     assert masked[50] == "é please call me at [PHONE] tomorrow please"
     assert masked[60] is None and masked[61] == "[EMAIL] [PHONE] end" and masked[100] == rows[8][1]
     assert len(masked) == len(rows)
+
+
+def test_rows_without_an_id_and_clashing_names(spark):
+    """A text without an id has its added spans like any other; columns of documents may be called as those used inside."""
+    rows = [(i, t, "k", "a") for i, t, *_ in _bootstrap_rows()] + [(None, "ü please call me at 555-123-8888 tomorrow please", "k", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, HELD_KEY string, added string")
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(df)).collect()}
+    assert found[None] == "phone:20:32" and found[50] == "phone:20:32"
+    out = pii.mask_documents(df)
+    assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()}[None] == "ü please call me at [PHONE] tomorrow please"
+    assert pii.mask_documents(df.limit(0)).count() == 0

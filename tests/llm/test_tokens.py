@@ -10,28 +10,30 @@ from runsight.llm import packing, tokens, wavelet
 
 ODD = [
     "a  b   c\n d \t e\r\n\r\n f", "", "  lead", " x", "trail  ", " don't I'LL we've  é  z", "\x1c a\x1c  b", "日本 語  !!  ??", None, "a ́b  ́ c", "İSTANBUL ΣΑΣ ςΣ ß Ÿ",
-    "<|endoftext|> <|startoftext|>", "one,two. three!! (four) x1 2y", "\n\n", " ", "tab\tand nbsp  end",
+    "<|endoftext|> <|startoftext|>", "a <|endoftext|>b<|ENDOFTEXT|> <| c", "x<|startoftext|> y", "one,two. three!! (four) x1 2y", "\n\n", " ", "tab\tand nbsp  end",
 ]
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, start string, ids string"
 
 
-def _plain(path):
+def _plain(path, plain_marks=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain_marks
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("plain_marks", [False, True])
 @pytest.mark.parametrize(("path", "word_ends"), [(BYTE, False), (WORD, True)])
-def test_pieces_give_the_ids_of_whole_texts(path, word_ends, monkeypatch):
-    rng, plain = random.Random(0), _plain(path)
+def test_pieces_give_the_ids_of_whole_texts(path, word_ends, plain_marks, monkeypatch):
+    rng, plain = random.Random(0), _plain(path, plain_marks)
+    assert plain_marks != ({49407, 50256} & set(plain("a <|endoftext|> b")) != set())
     some = "".join(rng.choice("ab Zé.,'!\n\t 1ß#") for _ in range(4000))
     texts = [*ODD, some, some]
     for remembered in (tokens.REMEMBERED, 3):
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
-        own = tokens.Encoder(path, word_ends)
+        own = tokens.Encoder(path, word_ends, plain_marks)
         for text in texts:
             assert own.ids(text, 7).tolist() == plain(text) + [7]
 
