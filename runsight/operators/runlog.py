@@ -8,6 +8,8 @@ run may hold any share of the log.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from runsight.session import materialize
 
 RUN = "run_id"
 ORDER = "experiment_id"
+#: Rows of a run that may be a stagnation event and are gone through as one list.
+FOLDED = 1024
 
 # Limits and texts whose effect on results is part of the behaviour.
 MAX_RETRIES = 2
@@ -294,10 +298,10 @@ def stagnation_events(
 ) -> DataFrame:
     """Where each run branches to its next untried family: (run_id, experiment_id, family).
 
-    ``decided`` comes from ``decide``; ``families`` are the untried ones in catalogue order. An event
-    restarts the streak, but a run can have no more events than families, so the chain of resets is
-    that many rounds of one aggregate each over all runs at once, with no per-run loop. A revert by the
-    gate lengthens the streak without being checked, and without a kept commit there is no event.
+    ``decided`` comes from ``decide``; ``families`` are the untried ones in catalogue order. A revert by the
+    gate lengthens the streak without being checked, and without a kept commit there is no event. An event restarts the streak, so
+    which row is one depends on the one before. Runs with up to ``FOLDED`` rows that may be an event are one list each, gone through once; for longer ones the chain of resets is as many
+    rounds of one aggregate as there are families.
     """
     revert, keep = F.col("action") == "revert", F.col("action") == "keep"
     steps = decided.where(F.col("action").isin("keep", "revert")).select(RUN, ORDER, "action", "gated")
@@ -309,6 +313,27 @@ def stagnation_events(
         revert & ~F.col("gated") & (F.col("streak") >= threshold) & (F.lit(seeded) | (F.col("kept") > 0))
     )
     ready = materialize(ready.select(RUN, ORDER, "streak", "reverts"))
+    long = materialize(ready.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FOLDED).select(RUN))
+    if long.isEmpty():
+        return _folded_events(ready, families, threshold)
+    some = broadcast_if_small(long, stored=True)
+    return _folded_events(ready.join(some, RUN, "left_anti"), families, threshold).unionByName(_chained_events(ready.join(some, RUN, "left_semi"), families, threshold))
+
+
+def _folded_events(ready: DataFrame, families: list[str], threshold: int) -> DataFrame:
+    lists = ready.groupBy(RUN).agg(F.array_sort(F.collect_list(F.struct(ORDER, "streak", "reverts"))).alias("_rows"))
+    start = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<bigint>").alias("events"))
+
+    def step(state: Column, row: Column) -> Column:
+        since = F.least(row["streak"], row["reverts"] - F.coalesce(state["at"], F.lit(0)))
+        event = (F.size(state["events"]) < len(families)) & (state["at"].isNull() | (since >= threshold))
+        return F.when(event, F.struct(row["reverts"].alias("at"), F.concat(state["events"], F.array(row[ORDER].cast("long"))).alias("events"))).otherwise(state)
+
+    events = lists.select(RUN, F.posexplode(F.aggregate("_rows", start, step)["events"]).alias("_k", ORDER))
+    return events.select(RUN, ORDER, F.get(F.array(*[F.lit(f) for f in families]), F.col("_k")).alias("family"))
+
+
+def _chained_events(ready: DataFrame, families: list[str], threshold: int) -> DataFrame:
     first = F.min_by(F.struct(ORDER, "reverts"), F.col(ORDER)).alias("_e")
     events, last = [], None
     for family in families:
@@ -318,11 +343,8 @@ def stagnation_events(
             left = ready.join(last, RUN).where((F.col(ORDER) > F.col("_id")) & (since >= threshold))
         found = left.groupBy(RUN).agg(first).select(RUN, F.col(f"_e.{ORDER}").alias("_id"), F.col("_e.reverts").alias("_at"))
         last = broadcast_if_small(found)
-        events.append(last.select(RUN, F.col("_id").alias(ORDER), F.lit(family).alias("family")))
-    out = events[0]
-    for more in events[1:]:
-        out = out.unionByName(more)
-    return out
+        events.append(last.select(RUN, F.col("_id").cast("long").alias(ORDER), F.lit(family).alias("family")))
+    return reduce(DataFrame.unionByName, events)
 
 
 def budget_stop(log: DataFrame, config: DataFrame) -> DataFrame:

@@ -95,8 +95,9 @@ def random_attempts(seed, runs=40, length=60):
     return data
 
 
-@pytest.mark.parametrize("direction, bar", [("maximize", None), ("maximize", 0.6), ("minimize", 0.4)])
-def test_decisions_and_stagnation_equal_the_loop(spark, small_chunks, direction, bar):
+@pytest.mark.parametrize("direction, bar, folded", [("maximize", None, 1024), ("maximize", 0.6, 4), ("minimize", 0.4, 0)])
+def test_decisions_and_stagnation_equal_the_loop(spark, small_chunks, monkeypatch, direction, bar, folded):
+    monkeypatch.setattr(runlog, "FOLDED", folded)
     data = random_attempts(7)
     df = _attempts(spark, data).repartition(4)
     scores = spark.createDataFrame([("a", bar), ("b", bar)] if bar is not None else [], "name string, score double")
