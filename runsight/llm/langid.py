@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runsight.llm.batches import small_batches
+from runsight.llm.exprs import fresh
 from runsight.llm.sampling import labelled_texts, remainder
 from runsight.llm.textbytes import LETTERS, _LOWER, Words, blocks
 
@@ -202,14 +203,14 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = DOCS
     return (train(sequences, len(languages)), languages) if sequences else (None, [])
 
 
-def predict(docs: DataFrame, network: Network | None, languages: list[str]) -> DataFrame:
-    """``docs`` with lang_pred and score (mean probability of that language over all positions; 0 for ``und``) in front of their columns.
+def predict(docs: DataFrame, network: Network | None, languages: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score (mean probability over all positions; 0 for ``und``) under ``names`` in front of their columns.
 
     Null texts and texts without a letter are ``und``, as is everything if nothing was learned. Of equal probabilities the first language by name wins.
     """
     lettered = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
-    given = small_batches(docs).select(lettered.alias("__letters"), *[F.col(c) for c in docs.columns])
-    names = np.array([*languages, UNKNOWN], object)
+    given = small_batches(docs).select(lettered.alias(fresh(docs, "letters")), *[F.col(c) for c in docs.columns])
+    labels = np.array([*languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _labeller(network) if network else None
@@ -222,9 +223,9 @@ def predict(docs: DataFrame, network: Network | None, languages: list[str]) -> D
                     best[first : first + len(words)], score[first : first + len(words)] = p.argmax(axis=1), p.max(axis=1)
             blank = ~batch.column(0).to_numpy(zero_copy_only=False) | (score <= 0)
             best[blank], score[blank] = len(languages), 0.0
-            yield pa.RecordBatch.from_arrays([pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0)), *batch.columns[1:]], ["__lang", "__score", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(labels[best], pa.string()), pa.array(np.minimum(score, 1.0)), *batch.columns[1:]], [*names, *batch.schema.names[1:]])
 
-    out = T.StructType([T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), *docs.schema.fields])
+    out = T.StructType([T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), *docs.schema.fields])
     return given.mapInArrow(run, out)
 
 
@@ -233,7 +234,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     lang are read; an empty table gives no rows."""
     network, languages = fit(docs, folds, held)
     found = predict(docs.select("doc_id", "text"), network, languages)
-    return found.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, reject_below: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
@@ -242,5 +243,6 @@ def accepted(docs: DataFrame, reject_below: float = 0.3, folds: int = 4, held: i
     network, languages = fit(docs, folds, held)
     if network is None:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
-    found = predict(docs, network, languages)
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= reject_below)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    found = predict(docs, network, languages, (lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= reject_below)).select(*docs.columns)

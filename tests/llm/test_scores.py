@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runsight.llm import decontam, langid, lmscore, quality, rules
 from runsight.llm.textbytes import SPACED, blocks
@@ -233,6 +234,7 @@ def test_languages(spark):
     found = {r.doc_id: (r.lang_pred, r.score) for r in out}
     assert all(found[i] == ("und", 0.0) for i in (900, 901, 902)) and found[903][0] == "aa" and found[904][0] in ("aa", "bb", "cc")
     assert all(0 <= r.score <= 1 for r in out)
+    assert langid.accepted(df.withColumn("LANG_PRED", F.lit("x")).withColumn("letters", F.lit(1))).columns == [*df.columns, "LANG_PRED", "letters"]
     kept = langid.accepted(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()}.isdisjoint({900, 901, 902})
     nothing = spark.createDataFrame([(1, "abc", None, None, None)], SCHEMA)
