@@ -12,8 +12,12 @@ from runsight.queries.inputs import WITH_GAPS, with_gaps
 NUMERIC_TYPES = "('INTEGER', 'BIGINT', 'DOUBLE', 'FLOAT')"
 
 
-def _flat(p: DataFrame) -> DataFrame:
-    return p.select(
+def _flat(p: DataFrame, classes: DataFrame) -> DataFrame:
+    """A profile in plain columns, with its few classes in one text; NULL where there are none."""
+    pairs = F.collect_list(F.struct("value", F.col("n").cast("string").alias("n")))
+    texts = F.transform(F.array_sort(pairs), lambda e: F.concat_ws("=", e["value"], e["n"]))
+    distribution = classes.agg(F.when(F.count("value") > 0, F.array_join(texts, ",")).alias("distribution"))  # one row
+    return p.join(F.broadcast(distribution)).select(
         "task",
         "metric",
         "direction",
@@ -26,10 +30,15 @@ def _flat(p: DataFrame) -> DataFrame:
         r("target_stats.mean", 2).alias("target_mean"),
         r("target_stats.std", 2).alias("target_std"),
         F.col("target_stats.n_classes").alias("n_classes"),
+        "distribution",
         r("missing_pct").alias("missing_pct"),
     )
 
 
+def _profiled(df: DataFrame, target: str) -> DataFrame:
+    return _flat(profile.profile_dataset(df, target), profile.class_distribution(df, target))
+
+
 def _columns(source: str, target: str, test: str) -> str:
     return f"""(SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE {source})
       WHERE column_name <> '{target}' AND {test})"""
@@ -39,10 +48,10 @@ def _columns(source: str, target: str, test: str) -> str:
   {_columns('lineitem', 'l_extendedprice', f'column_type IN {NUMERIC_TYPES}')} AS numeric_features,
   {_columns('lineitem', 'l_extendedprice', f'column_type NOT IN {NUMERIC_TYPES}')} AS categorical_features,
   'l_shipdate' AS date_columns, CAST(0 AS BIGINT) AS n_warnings, round(avg(l_extendedprice), 2) AS target_mean,
-  round(stddev_samp(l_extendedprice), 2) AS target_std, CAST(NULL AS BIGINT) AS n_classes,
+  round(stddev_samp(l_extendedprice), 2) AS target_std, CAST(NULL AS BIGINT) AS n_classes, CAST(NULL AS VARCHAR) AS distribution,
   0.0 AS missing_pct FROM lineitem""")
 def profile_regression(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(profile.profile_dataset(table(spark, d, "lineitem"), "l_extendedprice"))
+    return _profiled(table(spark, d, "lineitem"), "l_extendedprice")
 
 
 @query(f"""SELECT 'classification' AS task, 'f1_weighted' AS metric, 'maximize' AS direction, count(*) AS n_rows, CAST(10 AS BIGINT) AS n_features,
@@ -50,9 +59,11 @@ def profile_regression(spark: SparkSession, d: str) -> DataFrame:
   {_columns('lineitem', 'l_returnflag', f'column_type NOT IN {NUMERIC_TYPES}')} AS categorical_features,
   'l_shipdate' AS date_columns, CAST(0 AS BIGINT) AS n_warnings, CAST(NULL AS DOUBLE) AS target_mean,
   CAST(NULL AS DOUBLE) AS target_std, count(DISTINCT l_returnflag) AS n_classes,
+  (SELECT string_agg(l_returnflag || '=' || n, ',' ORDER BY l_returnflag) FROM
+    (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)) AS distribution,
   0.0 AS missing_pct FROM lineitem""")
 def profile_classification(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(profile.profile_dataset(table(spark, d, "lineitem"), "l_returnflag"))
+    return _profiled(table(spark, d, "lineitem"), "l_returnflag")
 
 
 @query(f"""WITH {WITH_GAPS} SELECT round(100.0 * (5 * count(*) - count(p_partkey) - count(p_size) - count(p_retailprice)

@@ -90,3 +90,13 @@ def test_directions():
 @pytest.mark.parametrize("goal, label", [("predict price", "price"), ("Please PREDICT the target", "target"), ("improve sales", "sales"), ("unpredictable the odds", "odds")])
 def test_label_from_goal(spark, goal, label):
     assert spark.createDataFrame([(goal,)], "g string").select(catalog.label_from_goal(F.col("g"))).first()[0] == label
+
+
+def test_profile_queries_tell_the_rows_of_each_class(spark, tmp_path):
+    from runsight.queries import profiling
+
+    flags = spark.createDataFrame([("N", 1.0), ("A", 2.0), ("N", 3.0), (None, 4.0)] + [("R", float(i)) for i in range(30)], "l_returnflag string, l_extendedprice double")
+    flags.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = profiling.profile_classification(spark, str(tmp_path)).first()
+    assert (found["n_classes"], found["distribution"]) == (3, "A=1,N=2,R=30")
+    assert profiling.profile_regression(spark, str(tmp_path)).first()["distribution"] is None
