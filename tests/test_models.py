@@ -122,3 +122,14 @@ def test_domains(spark):
     assert {"tabular", "deeplearning", "finetuning", "mine"} <= set(registry.names())
     with pytest.raises(KeyError):
         registry.get("nothing")
+
+
+def test_drafts_prepare_each_fold_once(spark, table, monkeypatch):
+    train, _ = models.train_test(table.withColumn("y", (F.col("y") > 50).cast("int")), "id", "y")
+    fit, fits = models.ImputeAndScale._fit, []
+    monkeypatch.setattr(models.ImputeAndScale, "_fit", lambda self, rows: (fits.append(1), fit(self, rows))[1])
+    families = {f"linear-{c}": lambda c=c: models.linear("classification", c) for c in (0.1, 1.0, 10.0)}
+    drafts = {r["name"]: r["metric_value"] for r in models.draft_phase(train, "id", "classification", "accuracy", families, k=2).collect()}
+    assert len(fits) == 2
+    folded = models.with_folds(train, "id", "classification", 2)
+    assert drafts["linear-1.0"] == pytest.approx(models.cross_validated(folded, models.linear("classification"), "accuracy", ["id"], 2))
