@@ -58,3 +58,20 @@ def test_totals_of_totals(spark, small_chunks, monkeypatch):
 def test_keys_that_are_not_hot_stay_plain(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
     assert hot_keys(df, ["k"]) is None and hot_keys(df, ["k"], 33).collect()[0].asDict() == {"k": 0, "_n": 34}
+
+
+def test_small_ranges_share_tasks(spark, monkeypatch):
+    numbers = spark.range(2000).select((F.col("id") % 2).alias("k"), (-F.col("id")).alias("at"))
+    for task_rows, tasks in ((1 << 18, 1), (700, 3)):
+        monkeypatch.setattr(plan, "TASK_ROWS", task_rows)
+        written, write = [], plan.materialize
+        with monkeypatch.context() as m:
+            m.setattr(plan, "materialize", lambda df: (written.append(df.rdd.getNumPartitions()), write(df))[1])
+            hot = hot_keys(numbers, ["k"], 100)
+            written.clear()
+            chunks, _ = plan.chunked(numbers, ["k"], "at", None, hot, 10)
+        assert written[-1] == tasks
+        sizes = chunks.groupBy(plan.CHUNK).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("chunks")).first()
+        assert sizes["most"] <= 10 and sizes["chunks"] >= 400
+        out = running(numbers, ["k"], "at", [Running("n", "count", F.lit(True))], hot=hot, chunk_rows=10)
+        assert [x["n"] for x in out.orderBy("k", "at").collect()] == [*range(1, 1001)] * 2
