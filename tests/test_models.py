@@ -133,3 +133,13 @@ def test_drafts_prepare_each_fold_once(spark, table, monkeypatch):
     assert len(fits) == 2
     folded = models.with_folds(train, "id", "classification", 2)
     assert drafts["linear-1.0"] == pytest.approx(models.cross_validated(folded, models.linear("classification"), "accuracy", ["id"], 2))
+
+
+def test_folds_of_one_trial_run_side_by_side(spark, table, monkeypatch):
+    import threading
+
+    train, _ = models.train_test(table, "id", "y")
+    both, score = threading.Barrier(2, timeout=60), models.fold_score
+    monkeypatch.setattr(models, "fold_score", lambda *a: (both.wait(), score(*a))[1])
+    scores, _ = models.search(train, "id", "regression", "rmse", [("linear", {"penalty": 1.0}, models.linear("regression"))], k=2)
+    assert [(r["state"], r["folds"]) for r in scores.collect()] == [("complete", 2)]
