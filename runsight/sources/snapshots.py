@@ -44,10 +44,11 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return or_empty(spark, SNAPSHOT_SCHEMA, lambda: spark.read.schema(SNAPSHOT_SCHEMA).json(path)).select("state.*")
 
 
-def scan_checkpoints(spark: SparkSession, base: str, prefix: str = "run-", file: str = ".state/checkpoint.json") -> DataFrame:
+def scan_checkpoints(spark: SparkSession, base: str, prefix: str = "run-", file: str = ".state/checkpoint.json", lines: bool = False) -> DataFrame:
     """Saved state of every run folder below ``base`` and of ``base`` itself; unreadable files are skipped.
 
-    States are nested or, in flat files, at the top level. ``directory`` is the run's folder.
+    States are nested or, in flat files, at the top level. ``directory`` is the run's folder. With ``lines``, files hold one state per line, so that many runs
+    share a folder; unreadable lines are skipped.
     """
     schema = T.StructType([*SNAPSHOT_SCHEMA.fields, *STATE_SCHEMA.fields, T.StructField("_broken", T.StringType())])
     whole = T.StructType([*schema.fields, T.StructField("directory", T.StringType())])
@@ -55,7 +56,7 @@ def scan_checkpoints(spark: SparkSession, base: str, prefix: str = "run-", file:
     folder = F.array_join(F.expr(f"slice(split(_metadata.file_path, '/'), 1, size(split(_metadata.file_path, '/')) - {levels})"), "/")
 
     def read(pattern: str) -> DataFrame:
-        reader = spark.read.schema(schema).options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+        reader = spark.read.schema(schema).options(multiLine=not lines, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
         return or_empty(spark, whole, lambda: reader.json(pattern).withColumn("directory", folder))
 
     found = read(f"{base}/{file}").unionByName(read(f"{base}/{prefix}*/{file}"))

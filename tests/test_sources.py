@@ -106,6 +106,24 @@ def test_checkpoints_are_scanned_flat_and_nested(spark, tmp_path):
     assert rows(snapshots.scan_checkpoints(spark, str(base)), "state.run_id") == [("n",)]
 
 
+def test_states_of_many_runs_in_one_file_are_scanned_line_by_line(spark, tmp_path):
+    (tmp_path / "folder=0").mkdir()
+    lines = [json.dumps({"schema_version": 1, "state": {"run_id": f"r{i}", "experiment_count": i}}) for i in range(3)]
+    (tmp_path / "folder=0" / "part-0").write_text("\n".join([*lines, "{broken", json.dumps({"run_id": "f"})]) + "\n")
+    found = snapshots.scan_checkpoints(spark, str(tmp_path), prefix="folder=", file="part-*", lines=True)
+    assert rows(snapshots.run_status(found), "run_id", "experiments") == [("f", 0), ("r0", 0), ("r1", 1), ("r2", 2)]
+
+
+def test_run_status_writes_no_file_per_run(spark, tmp_path, monkeypatch):
+    from runsight.queries import files
+
+    spark.range(900).selectExpr("id AS event_id", "id % 300 AS user_id", "'purchase' AS event_type", "1.0D AS value", "'' AS props", "timestamp_seconds(id) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(files, "scratch", lambda _: str(tmp_path / "states"))
+    out = files.run_status(spark, str(tmp_path))
+    assert rows(out, "run_id", "experiments") == sorted((f"run-{i}", 3) for i in range(300))
+    assert len(list((tmp_path / "states").rglob("part-*"))) <= logs.BUCKETS
+
+
 def test_checkpoint_round_trip_ignores_unknown_and_fills_missing(spark, tmp_path):
     path = str(tmp_path / "c")
     snapshots.write_checkpoint(spark.createDataFrame([("r", 4, "x")], "run_id string, experiment_count long, unknown string"), path)
