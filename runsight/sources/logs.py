@@ -113,12 +113,11 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType = PRED
     return rows if rows.columns else None
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files, one per row: (path, value)."""
+def read_answers(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """Text answers, one per row: (path, value). Each file is one answer; with ``end``, files hold any number of answers, each closed by that string."""
     schema = columns(
-    path=T.StringType(),
-    value=T.StringType(),
-)
-    return or_empty(
-        spark, schema, lambda: spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+        path=T.StringType(),
+        value=T.StringType(),
     )
+    form = {"wholetext": True} if end is None else {"lineSep": end}
+    return or_empty(spark, schema, lambda: spark.read.text(path, **form).select(F.col("_metadata.file_path").alias("path"), "value"))

@@ -131,6 +131,25 @@ def test_checkpoint_round_trip_ignores_unknown_and_fills_missing(spark, tmp_path
     assert (row["run_id"], row["experiment_count"], row["best_metric"]) == ("r", 4, None) and "unknown" not in row
 
 
+def test_answers_share_a_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n\0three\n\0")
+    (tmp_path / "b.txt").write_text("four\0")
+    assert rows(logs.read_answers(spark, str(tmp_path), end="\0"), "value") == [("four",), ("one\ntwo\n",), ("three\n",)]
+    assert logs.read_answers(spark, str(tmp_path / "b.txt")).first()["value"] == "four\0"
+    assert logs.read_answers(spark, str(tmp_path / "none"), end="\0").count() == 0
+
+
+def test_read_answers_writes_no_file_per_conversation(spark, tmp_path, monkeypatch):
+    from runsight.queries import files
+
+    turns = spark.range(900).selectExpr("id % 300 AS conv_id", "CAST(id AS int) AS turn", "'user' AS role", "'x' AS text")
+    turns.unionByName(spark.sql("SELECT CAST(NULL AS long) AS conv_id, 1 AS turn, 'user' AS role, 'x' AS text")).write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(files, "scratch", lambda _: str(tmp_path / "texts"))
+    out = {(r.conv_id, r.n) for r in files.read_answers(spark, str(tmp_path)).collect()}
+    assert out == {(i, 3) for i in range(300)} | {(None, 1)}
+    assert len(list((tmp_path / "texts").rglob("part-*"))) < 100
+
+
 def test_artifact_priority(spark):
     files = spark.createDataFrame([("a", "best_adapter"), ("a", "best_model.pt"), ("b", "notes"), ("c", "best_adapter")], "run_id string, name string")
     assert rows(snapshots.choose_artifact(files)) == [("a", "best_model.pt"), ("c", "best_adapter")]
