@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runsight.queries import SQL, logs as _logs, query, r, scratch, table  # noqa: F401  _logs registers the SQL used here
 from runsight.queries.inputs import RESULT_LOG, attempts, decided_sql, result_log, timed_attempts, value_baselines
+from runsight.session import materialize
 from runsight.sources import logs
 from runsight.streaming import live, ordered
 
@@ -67,7 +68,7 @@ def live_stagnation(spark: SparkSession, d: str) -> DataFrame:
 
 def _backwards(spark: SparkSession, d: str, delay: str, parts: int = 4) -> DataFrame:
     """Decisions over a log whose latest stretch is written first, with a last row that closes it by moving the clock on."""
-    path, log = scratch(spark), timed_attempts(spark, d)
+    path, log = scratch(spark), materialize(timed_attempts(spark, d))  # read once per part
     bar = value_baselines(spark, d).agg(F.max("score").alias("bar")).first()["bar"]
     top = log.agg(F.max("experiment_id").alias("top")).first()["top"] + 1
     for i in reversed(range(parts)):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from runsight.operators import runlog
@@ -48,6 +49,62 @@ def test_reverse_order_gives_the_batch_result(spark, tmp_path, slot_ms):
     assert {r.run_id for r in out.collect()} >= {d[0] for d in data}
 
 
+@pytest.mark.parametrize("slot_ms, chunk_rows", [(1, 1), (1, 7), (60_000, 7)])
+def test_waiting_rows_in_chunks_that_are_cut(spark, tmp_path, slot_ms, chunk_rows):
+    """Several rows to a time, rows before, between and behind the chunks that are there, and a clock that stops within one."""
+    draw = random.Random(9)
+    data = [(draw.randrange(2), i, "ok", None, draw.random()) for i in range(300)]
+    df = _stamped(spark, data).selectExpr("* EXCEPT (timestamp)", "timestamp_seconds(1000000 + 20 * (experiment_id DIV 2)) AS timestamp")
+    place = sorted(range(300), key=lambda i: 10 * i + draw.uniform(0, 1000))
+    parts = [df.where(f"experiment_id IN ({', '.join(map(str, place[k : k + 75]))})") for k in range(0, 300, 75)]
+    out = _decided(spark, tmp_path, parts, "1100 seconds", slot_ms=slot_ms, chunk_rows=chunk_rows).persist()
+    assert out.where("late").count() == 0
+    assert rows(out, "run_id", "experiment_id", "action") == rows(runlog.decide(df), "run_id", "experiment_id", "action")
+
+
+class _Store:
+    """State of one run that counts the calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = args[0]
+            elif name == "getValue":
+                return self.map[args[0]]
+            elif name == "updateValue":
+                self.map[args[0]] = args[1]
+            elif name == "removeKey":
+                del self.map[args[0]]
+
+        return call
+
+
+def test_calls_to_the_state_store_do_not_follow_the_rows():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from runsight.streaming.loop import Rules
+
+    store = _Store()
+    work = ordered._InOrder(Rules(1.0, None, (), 3, 2), 60_000, 1000)
+    work.handle = work.loop = work.waiting = store
+    clock = lambda at: SimpleNamespace(getCurrentWatermarkInMs=lambda: at)
+    ids = np.arange(5000)
+    batch = pd.DataFrame({"at": ids * 60_000, "experiment_id": ids, "placed": True, "finished": True, "memory": False, "metric": 1.0})
+    for part in (batch[4000:], batch[1000:4000], batch[:1000]):
+        assert list(work.handleInputRows((1,), iter([part]), clock(-1))) == []
+    out = pd.concat(work.handleExpiredTimer((1,), clock(10**12), None))
+    assert out["experiment_id"].tolist() == ids.tolist() and not store.map
+    assert store.calls < 100
+
+
 def test_rows_come_out_once_the_clock_has_passed_them(spark, tmp_path):
     """Shuffled within the delay, in many batches: nothing is late, nothing is lost."""
     draw = random.Random(4)
