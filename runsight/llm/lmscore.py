@@ -12,7 +12,6 @@ Per n-gram there is one entry per block, however often it occurs, so frequent n-
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from runsight.llm import sharedfiles
 from runsight.llm.batches import small_batches
 from runsight.llm.textbytes import SPACED, Words, mix, slices
-from runsight.session import materialize, shared_dir
+from runsight.session import materialize, shared_dir, shuffles_given_up
 
 #: Fixed factor of the method for each order that is backed off.
 BACKOFF = 0.4
@@ -223,11 +222,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_text: int = BLOCK_TEXT,
     partitions = max(4, -(-int(size) // partition_text))
     folder = f"{shared_dir(docs.sparkSession)}/{uuid.uuid4().hex}"
     bits = hash_bits(int(total))
-    for k in range(1, order + 1):
-        _counted(table, folder, k, partitions, bits)
-        # Spark removes shuffle files once nothing refers to them any more.
-        gc.collect()
-        docs.sparkSession._jvm.System.gc()
+    with shuffles_given_up(docs.sparkSession):
+        for k in range(1, order + 1):
+            _counted(table, folder, k, partitions, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

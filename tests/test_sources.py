@@ -167,3 +167,16 @@ def test_short_lived_tables_go_and_lasting_ones_stay(spark):
     assert kept.count() == 4
     with pytest.raises((PySparkException, Py4JError)):
         gone.collect()
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark):
+    from runsight.session import materialize, shuffles_given_up
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    shuffles = lambda: {f for f in files() if f.startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(name)
+    with shuffles_given_up(spark):
+        kept = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        assert not shuffles() - before
+    assert kept.count() == 7 and spark.conf.get(name) == setting
