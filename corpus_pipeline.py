@@ -35,8 +35,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids, as pieces of documents."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    """Sequences of 2048 ids, as pieces of documents. Workers live on through the stages, so their encoders remember fewer words here."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=1, remembered=100_000)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mask_pii", mask_pii), ("pack", pack)]

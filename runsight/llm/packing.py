@@ -32,15 +32,15 @@ VOCABULARY = 1 << 16
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end: int, remembered: int | None = None) -> DataFrame:
     """doc_id, key and ids (little-endian unsigned 16-bit) of every document, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens.encoder(tokenizer, True)
+        own = tokens.encoder(tokenizer, True, remembered)
         for batch in batches:
             keys, out = [], []
-            for text in batch.column(1):
-                ids = own.ids(text.as_py(), end).astype("<u2")
+            for ids in own.encode(batch.column(1), end):
+                ids = ids.astype("<u2")
                 pairs = (ids[:-1].astype(np.uint64) << np.uint64(16) | ids[1:]) * np.uint64(0x9E3779B97F4A7C15)
                 pairs ^= pairs >> np.uint64(29)
                 keys.append(int((pairs * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).min()) if len(pairs) else 0)
@@ -174,13 +174,13 @@ class Packer:
         self.filled = 0
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = SHARD_TOKENS, remembered: int | None = None) -> DataFrame:
     """Pieces of all documents in sequences of ``LENGTH`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts hold the end id alone. Rows that share a doc_id, and copies, are packed one by one; a null doc_id stays null. Ties in the search go to the unit that comes first.
-    An empty table gives no rows. Only doc_id and text are read.
+    An empty table gives no rows. Only doc_id and text are read. ``remembered``: words that a worker's encoder remembers, where they are to be fewer than it would.
     """
-    written = tokenised(docs, tokenizer, end)
+    written = tokenised(docs, tokenizer, end, remembered)
     idf, mean = statistics(written)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             plane = (rest >> rest.dtype.type(level) & rest.dtype.type(1)).astype(bool)
             planes.append(plane)
-            rest = np.concatenate([rest[~plane], rest[plane]])
+            rest = np.concatenate([rest.take(np.flatnonzero(~plane)), rest.take(np.flatnonzero(plane))])  # by places: quicker than by masks
         return cls(planes, np.asarray(doc_ids, "<i8"), np.asarray(counts, "<i8"), len(ids))
 
     def decode(self) -> np.ndarray:
@@ -51,7 +51,7 @@ class WaveletMatrix:
         for depth, plane in enumerate(reversed(self.planes)):
             zeros = self.zeros[-1 - depth]
             above = np.empty_like(values)
-            above[~plane], above[plane] = values[:zeros], values[zeros:] | kind(1 << depth)
+            above[np.flatnonzero(~plane)], above[np.flatnonzero(plane)] = values[:zeros], values[zeros:] | kind(1 << depth)
             values = above
         return values.astype(np.uint32)
 
@@ -157,9 +157,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, shard_t
             size = 0
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                held.append(own.ids(text.as_py(), end))
-                names.append(-(2**63) if doc.as_py() is None else doc.as_py())
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1), end)):
+                held.append(ids)
+                names.append(-(2**63) if doc is None else doc)
                 size += len(held[-1])
                 if size >= shard_tokens:
                     close()

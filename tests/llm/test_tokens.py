@@ -131,3 +131,19 @@ def test_wavelet_lookups(size):
         assert [matrix.locate(token, k) for k in range(min(5, len(places)))] == places[:5].tolist()
         with pytest.raises(IndexError):
             matrix.locate(token, len(places))
+
+
+@pytest.mark.parametrize(("path", "word_ends"), [(BYTE, False), (WORD, True)])
+def test_each_word_of_many_texts_is_looked_up_once(path, word_ends):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+    own, plain = tokens.Encoder(path, word_ends, remembered=50), _plain(path)
+    own.known = Counted()
+    texts = ["x one two three", None, "x one two", "x two\none.  Three ", "<|endoftext|> x"] * 40
+    assert [ids.tolist() for ids in own.encode(texts, 7)] == [plain(t) + [7] for t in texts]
+    assert own.known.asked < 20
