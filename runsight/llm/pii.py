@@ -3,7 +3,7 @@
 1. Base: four fixed regular expressions give spans (kind, start, end) in code points.
 2. Seeds and patterns: each base span is a seed entity. The two and the three words before it, and one and two words before with the one behind it, are its lexical patterns.
    Every other word that holds a digit or an at sign is a candidate with patterns of its own.
-3. Graph: patterns that at least ``min_seeds`` different seeds share are kept. An edge says how often a pattern stood around an entity. How often
+3. Graph: patterns that at least ``min_seeds`` different seeds and a candidate share are kept. An edge says how often a pattern stood around an entity. How often
    a pattern stands around any word at all is counted over the whole corpus, so a pattern of ordinary prose scores near 0.
 4. Scores: a pattern's score per kind is the share of its occurrences that hold entities of that kind; an entity's score is the noisy-or over its
    patterns. Both are computed in turn, so that entities found by sure patterns support further patterns.
@@ -33,6 +33,8 @@ PATTERNS = {
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Contexts are read from so many code points on either side of an entity.
 REACH = 80
+#: So many patterns are looked up in place.
+FEW_PATTERNS = 5_000
 PATTERN_NAMES = ("left2", "left", "around", "both")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,surface:string>>"
 
@@ -160,17 +162,26 @@ def scored_entities(edges: DataFrame, totals: DataFrame, rounds: int) -> DataFra
     return scores
 
 
+def _totals(corpus: DataFrame, strong: DataFrame) -> DataFrame:
+    """How often each pattern of ``strong`` (a written table) stands around any word. A few are a set of numbers that rows are tested against before they are counted in their task;
+    only more than ``FEW_PATTERNS`` take a join, with a row per occurrence."""
+    few = [row["pattern"] for row in strong.limit(FEW_PATTERNS + 1).collect()]
+    held = corpus.where(F.col("pattern").isin(few)) if len(few) <= FEW_PATTERNS else corpus.join(broadcast_if_small(strong, stored=True), "pattern")
+    return materialize(held.groupBy("pattern").agg(F.count("*").alias("total")))
+
+
 def discovered(docs: DataFrame, found: DataFrame, min_seeds: int = 3, rounds: int = 3, accept: float = 0.8) -> DataFrame:
     """(doc_id, text_key, added): spans beyond the base of the documents that have any."""
     spots = materialize(entities(found))
     around = spots.select("entity", "kind", F.explode(F.array(*PATTERN_NAMES)).alias("pattern")).where("pattern IS NOT NULL")
     edges = around.groupBy("pattern", "entity", "kind").agg(F.count("*").alias("n"))
-    strong = edges.where("kind IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
+    # Only patterns around candidates bear on a score: those that common words share with seeds alone, by chance, need not be counted in the corpus.
+    kept = (F.count("kind") >= min_seeds) & (F.count("*") > F.count("kind"))
+    strong = edges.groupBy("pattern").agg(kept.alias("kept")).where("kept").select("pattern")
     strong = materialize(strong)  # eight bytes a row: the row limit of the broadcast is a limit of bytes
     edges = materialize(edges.join(strong, "pattern"))
     corpus = docs.select(F.explode(_word_contexts(F.coalesce("text", F.lit("")))).alias("pattern"))
-    totals = materialize(corpus.join(broadcast_if_small(strong, stored=True), "pattern").groupBy("pattern").agg(F.count("*").alias("total")))
-    scores = scored_entities(edges, totals, rounds)
+    scores = scored_entities(edges, _totals(corpus, strong), rounds)
     best = F.greatest(*KINDS)
     fitting = F.coalesce(*[F.when((F.col(k) == best) & _fits(k, F.col("surface")), F.lit(k)) for k in KINDS])
     chosen = spots.where("kind IS NULL").drop("kind").join(scores.where(best >= accept), "entity").withColumn("kind", fitting).where("kind IS NOT NULL")

@@ -96,3 +96,18 @@ def test_rows_without_an_id_and_clashing_names(spark):
     out = pii.mask_documents(df)
     assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()}[None] == "ü please call me at [PHONE] tomorrow please"
     assert pii.mask_documents(df.limit(0)).count() == 0
+
+
+def test_patterns_are_counted_without_a_join_of_the_corpus(spark, monkeypatch):
+    rows = [(i, f"please write to us at user{i}@example.org for more, or call 0049-17{i}55 for more") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted(map(tuple, pii.digest(pii.find_pii(docs)).collect()))
+
+    def join(*_, **__):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr(pii, "broadcast_if_small", join)
+    assert sorted(map(tuple, pii.digest(pii.find_pii(docs)).collect())) == wanted
+    monkeypatch.undo()
+    monkeypatch.setattr(pii, "FEW_PATTERNS", 0)
+    assert sorted(map(tuple, pii.digest(pii.find_pii(docs)).collect())) == wanted
