@@ -1,11 +1,11 @@
 """Stupid-backoff scores of all documents under the n-gram counts of all other documents.
 
 The corpus is cut into blocks of documents. Order by order, each block explodes its n-grams, and sends them, sorted and counted, to the hash partition they belong to. A partition holds its
-share of the count table: it adds the counts of all blocks and joins the table back to each block's n-grams. Only n-grams that occur in other blocks too travel back;
-the block knows the rest itself. An n-gram can only occur elsewhere if both n-grams of one word less do, so higher orders send ever fewer. At last each block joins its n-grams
+share of the count table: it adds the counts of all blocks and joins the table back to each block's n-grams. Only counts travel back, in the order in which the block sent its n-grams;
+it finds these again from its text. An n-gram can only occur elsewhere if both n-grams of one word less do, so higher orders send ever fewer. At last each block joins its n-grams
 with these counts and sums per document.
 
-Rows hold many n-grams as sorted hashes, differences of which take about five bytes each; as single rows they would fill several times the disk of the input. Hashes
+Rows hold many n-grams as sorted hashes, differences of which take about five bytes each, and counts take less than one; as single rows they would fill several times the disk of the input. Hashes
 are as wide as the corpus needs (``hash_bits``). What an order has shuffled is given up before the next one starts.
 Per n-gram there is one entry per block, however often it occurs, so frequent n-grams make no large partition.
 """
@@ -13,7 +13,7 @@ Per n-gram there is one entry per block, however often it occurs, so frequent n-
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,20 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), times.astype(np.int64)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts by bytes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    import zstandard
+
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(plain.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
 def _blocked(docs: DataFrame, block_text: int) -> DataFrame:
     """One row per block of documents: block (a number of its own), docs (ids), text (compressed), borders, n_words, n_bytes. Written to the shared folder."""
 
@@ -124,18 +138,34 @@ class Block:
         return found
 
 
-def _found(values: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Counts of hashes in a sorted table, 0 where they are absent."""
-    if not len(keys):
-        return np.zeros(len(values), np.int64)
-    at = np.searchsorted(keys, values)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == values, counts[at], 0)
+class Level:
+    """Distinct n-grams (``values``) of order k in a block: ``at`` says which ends at each word, ``chosen`` where both shorter n-grams occur in other blocks (``below``, per
+    word, is how often the one that ends there does) and ``sent`` which n-grams that holds for; only they can occur elsewhere."""
+
+    def __init__(self, own: Block, k: int, below: np.ndarray | None) -> None:
+        self.grams = own.grams(k)
+        self.values, self.at, self.times = np.unique(self.grams, return_inverse=True, return_counts=True)
+        self.chosen = self.grams != 0
+        if below is not None:
+            self.chosen &= below > 0
+            self.chosen[1:] &= below[:-1] > 0
+        self.sent = np.zeros(len(self.values), bool)
+        self.sent[self.at[self.chosen]] = True
 
+    def elsewhere(self, counts: np.ndarray) -> np.ndarray:
+        """Per word, how often its n-gram occurs in other blocks, given that of the n-grams sent."""
+        found = np.zeros(len(self.values), np.int64)
+        found[self.sent] = counts
+        return np.where(self.chosen, found[self.at], 0)
 
-def _elsewhere(folder: str, block: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's n-grams of order k that occur in other blocks, with their counts there."""
-    return _unpack(sharedfiles.get(f"{folder}/{k}/{block}"))
+
+def _levels(own: Block, folder: str, block: int, order: int) -> Iterator[tuple[Level, np.ndarray]]:
+    """Orders 1 to ``order`` of a block, with the counts elsewhere of the n-gram that ends at each word."""
+    below = None
+    for k in range(1, order + 1):
+        level = Level(own, k, below)
+        below = level.elsewhere(_unpack_counts(sharedfiles.get(f"{folder}/{k}/{block}")))
+        yield level, below
 
 
 def _counted(table: DataFrame, folder: str, k: int, partitions: int, bits: int) -> None:
@@ -145,14 +175,11 @@ def _counted(table: DataFrame, folder: str, k: int, partitions: int, bits: int)
         for batch in batches:
             for block, text, borders in zip(*[batch.column(c) for c in ("block", "text", "borders")]):
                 block, own = block.as_py(), Block(text.as_py(), borders.as_py(), bits)
-                grams = own.grams(k)
-                chosen = grams != 0
-                if k > 1:
-                    keys, counts = _elsewhere(folder, block, k - 1)
-                    shared = _found(own.grams(k - 1), keys, counts) > 0
-                    chosen &= shared
-                    chosen[1:] &= shared[:-1]
-                values, times = np.unique(grams[chosen], return_counts=True)
+                below = None
+                for _, below in _levels(own, folder, block, k - 1):
+                    pass
+                level = Level(own, k, below)
+                values, times = level.values[level.sent], np.bincount(level.at[level.chosen], minlength=len(level.values))[level.sent]
                 cuts = np.searchsorted(values, [np.uint64((p << min(bits, 63)) // partitions) for p in range(1, partitions)])
                 rows = [(p, v, t) for p, (v, t) in enumerate(zip(np.split(values, cuts), np.split(times, cuts))) if len(v)]
                 # A row without n-grams for each block, so that each gets a file.
@@ -166,36 +193,29 @@ def _counted(table: DataFrame, folder: str, k: int, partitions: int, bits: int)
         order = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.diff(keys[order], prepend=np.uint64(0)) != 0) if len(keys) else np.zeros(0, int)
         table, totals = keys[order][first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
-        out = []
-        for values, times in parts:
-            others = totals[np.searchsorted(table, values)] - times if len(values) else times
-            out.append(_pack(values[others > 0], others[others > 0]))
-        return pa.table([pa.array(names), pa.array(out, pa.binary())], ["block", "grams"])
+        out = [_pack_counts(totals[np.searchsorted(table, values)] - times if len(values) else times) for values, times in parts]
+        return pa.table([rows["partition"], pa.array(names), pa.array(out, pa.binary())], ["partition", "block", "counts"])
 
     def gather(rows: pa.Table) -> pa.Table:
-        parts = [p for p in (_unpack(g.as_py()) for g in rows["grams"]) if len(p[0])]
-        keys = np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in parts]])
-        order = np.argsort(keys)
-        counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in parts]])
+        # Partitions are ranges of hashes, so that this is the order of the block's own n-grams.
+        parts = [_unpack_counts(rows["counts"][i].as_py()) for i in np.argsort(rows["partition"].to_numpy(), kind="stable").tolist()]
         block = rows["block"][0].as_py()
-        return pa.table([pa.array([block]), pa.array([sharedfiles.place(f"{folder}/{k}", str(block), _pack(keys[order], counts[order]))])], ["block", "path"])
+        return pa.table([pa.array([block]), pa.array([sharedfiles.place(f"{folder}/{k}", str(block), _pack_counts(np.concatenate(parts)))])], ["block", "path"])
 
     sent = table.select("block", "text", "borders").mapInArrow(explode, "partition long, block long, grams binary")
-    back = sent.groupBy("partition").applyInArrow(join, "block long, grams binary")
+    back = sent.groupBy("partition").applyInArrow(join, "partition long, block long, counts binary")
     materialize(back.groupBy("block").applyInArrow(gather, "block long, path string"))
 
 
-def _scores(block: Block, elsewhere: list[tuple[np.ndarray, np.ndarray]], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: log of its score, the order used (0: unseen), given counts in other blocks per order and the number of words in all documents."""
-    order, owner = len(elsewhere), block.owner
+def _scores(block: Block, levels: Iterable[tuple[Level, np.ndarray]], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: log of its score, the order used (0: unseen) and the longest it could have, given the orders with their counts in other blocks, and the number of words in all documents."""
+    owner = block.owner
     others = total - np.diff(block.rows)[owner]  # words of all other documents
     counts: list[np.ndarray] = []
-    for k in range(1, order + 1):
-        grams = block.grams(k)
-        values, at, times = np.unique(grams, return_inverse=True, return_counts=True)
-        pair, own, repeated = np.unique(at * np.int64(len(block.rows)) + owner, return_inverse=True, return_counts=True)
-        count = times[at] - repeated[own] + _found(values, *elsewhere[k - 1])[at]
-        counts.append(np.where(grams != 0, count, 0))
+    for level, elsewhere in levels:
+        _, own, repeated = np.unique(level.at * np.int64(len(block.rows)) + owner, return_inverse=True, return_counts=True)
+        counts.append(np.where(level.grams != 0, level.times[level.at] - repeated[own] + elsewhere, 0))
+    order = len(counts)
     log, used = np.full(len(owner), np.nan), np.zeros(len(owner), np.int64)
     most = np.minimum(block.place + 1, order)
     for k in range(order, 0, -1):
@@ -230,7 +250,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_text: int = BLOCK_TEXT,
         for batch in batches:
             for block, ids, text, borders in zip(*[batch.column(c) for c in ("block", "docs", "text", "borders")]):
                 own = Block(text.as_py(), borders.as_py(), bits)
-                log, used, most = _scores(own, [_elsewhere(folder, block.as_py(), k) for k in range(1, order + 1)], total)
+                log, used, most = _scores(own, _levels(own, folder, block.as_py(), order), total)
                 n = len(own.rows) - 1
                 sums = np.bincount(own.owner, log, n), np.bincount(own.owner, used < most, n), np.bincount(own.owner, used == 0, n)
                 columns = [ids.values, pa.array(np.diff(own.rows)), pa.array(sums[0].astype(float)), *[pa.array(s.astype(np.int64)) for s in sums[1:]]]

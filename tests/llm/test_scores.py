@@ -295,3 +295,13 @@ def test_passages():
     assert borders.tolist() == [0, 2, 3, 4, 5] and not rows[2:4].any()
     rest = rows[:, -5:]
     assert np.allclose(rest[0, :2], [1 / 64, 63 / 64]) and np.allclose(rest[1, :3], [1, 1, 1]) and np.allclose(rest[4], [2 / 3, 1 / 3, 1 / 3, 0.1, 1 / 3])
+
+
+def test_counts_travel_back_without_their_ngrams(spark, tmp_path):
+    text = " ".join(f"w{i * 7919 % 20011}" for i in range(20000))
+    rows = [(i, text) for i in range(2)]
+    table = lmscore._blocked(spark.createDataFrame(rows, "doc_id long, text string"), 1000)
+    assert table.count() == 2
+    lmscore._counted(table, str(tmp_path), 1, 4, 40)
+    files = list((tmp_path / "1").iterdir())
+    assert len(files) == 2 and all(f.stat().st_size < 20000 for f in files)
