@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.llm.batches import small_batches
@@ -137,13 +137,15 @@ def _rows(a, b, same, *edge) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns + (list(edge) if edge else none), [c.split()[0] for c in _EDGE.split(", ")])
 
 
+def _turned(tree: Column) -> Column:
+    """A signature as a tree orders it."""
+    step = 2 * COMPONENTS // TREES
+    return F.concat(F.substr("signature", tree * step + 1, F.lit(2 * COMPONENTS)), F.substr("signature", F.lit(1), tree * step))
+
+
 def forest(nodes: DataFrame, *more: str) -> DataFrame:
     """(tree, branch, node): the signature of every node as each tree orders it, and ``more`` columns of the node."""
-    step = 2 * COMPONENTS // TREES
-    turned = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(t.cast("long").alias("tree"), F.concat(F.substr("signature", t * step + 1, F.lit(2 * COMPONENTS)), F.substr("signature", F.lit(1), t * step)).alias("branch")),
-    )
+    turned = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.cast("long").alias("tree"), _turned(t).alias("branch")))
     return nodes.select("node", *more, F.explode(turned).alias("x")).select("x.tree", "x.branch", "node", *more)
 
 
@@ -182,28 +184,36 @@ def candidates(nodes: DataFrame, region: int = REGION) -> DataFrame:
     return found.where("b IS NOT NULL").select("a", "b", "same").unionByName(across).distinct()
 
 
+_MISSED = ["a", "b", "same", "tree", "stem"]
+
+
 def crowded(nodes: DataFrame, stars: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame]:
-    """Regions too large for all their pairs that hold several components: (tree, stem, n, n_strays, main) and their members with the first two.
+    """Regions too large for all their pairs that hold several components: (tree, stem, n, n_strays, main), and the nodes in them, one row each, with ``places``, their regions.
 
     ``main`` is the largest component, so that of any two nodes in different components one at least is outside of it. It stays as it is while components grow together.
     """
-    rows = forest(nodes, "n_shingles", "counts").withColumn("stem", F.substr("branch", F.lit(1), F.lit(2 * DEPTH)))
-    large = materialize(rows.groupBy("tree", "stem").agg(F.count("*").alias("n")).where(F.col("n") > region))
-    members = rows.join(broadcast_if_small(large.select("tree", "stem"), stored=True), ["tree", "stem"]).join(stars, "node", "left")
-    members = materialize(members.withColumn("first", F.coalesce("component", "node")).drop("component"))
+    stem = F.substr("branch", F.lit(1), F.lit(2 * DEPTH)).alias("stem")
+    large = materialize(forest(nodes).groupBy("tree", stem).agg(F.count("*").alias("n")).where(F.col("n") > region))
+    own = nodes.join(stars, "node", "left").withColumn("first", F.coalesce("component", "node"))  # before a node is copied for the trees
+    held = ["node", "first", "signature", "n_shingles", "counts"]
+    members = materialize(forest(own, *held[1:]).select("tree", stem, *held).join(broadcast_if_small(large.select("tree", "stem"), stored=True), ["tree", "stem"]))
     sizes = members.groupBy("tree", "stem", "first").agg(F.count("*").alias("k"))
     main = sizes.groupBy("tree", "stem").agg(F.max_by("first", F.struct("k", "first")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("n_strays"))
-    return materialize(main.where("n_strays > 0")), members
+    regions = materialize(main.where("n_strays > 0"))
+    places = members.join(broadcast_if_small(regions, stored=True), ["tree", "stem"]).groupBy(*held).agg(F.collect_list(F.struct(*regions.columns)).alias("places"))
+    return regions, materialize(places)
 
 
-def strays(regions: DataFrame, members: DataFrame, stars: DataFrame, percent: int, low: int, high: int, block: int = 2048) -> DataFrame:
-    """(a, b, same): pairs that a region too large for all its pairs may have missed, and a row of nulls if some are left for further turns.
+def strays(regions: DataFrame, held: DataFrame, stars: DataFrame, percent: int, low: int, high: int, block: int = 2048) -> DataFrame:
+    """(a, b, same, tree, stem): pairs that ``regions`` (tree, stem), too large for all their pairs, may have missed, and tree and stem alone of those in which some are left for further turns.
 
     Nodes outside of a region's main component are compared with all others of the region. Per block, partners that may be alike have a fixed order, the closest first;
     those in places ``low`` to ``high`` that are in another component by now are candidates. A pair that shares a region of an earlier tree is left to that tree. Both sides are cut into blocks of
-    about ``block`` nodes, so that no task holds a whole region.
+    about ``block`` nodes, so that no task holds a whole region. As components only grow, a region without pairs for further turns stays without.
     """
-    placed = members.join(broadcast_if_small(regions, stored=True), ["tree", "stem"]).join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = held.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))  # one row per node
+    placed = now.withColumn("x", F.explode("places")).select(*now.columns, "x.*").join(broadcast_if_small(regions.select("tree", "stem"), stored=True), ["tree", "stem"], "left_semi")
+    placed = placed.withColumn("branch", _turned(F.col("tree").cast("int")))
     count = lambda n: F.ceil(F.col(n) / block).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), count(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
@@ -213,6 +223,7 @@ def strays(regions: DataFrame, members: DataFrame, stars: DataFrame, percent: in
 
     def compare(these: pa.Table, those: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        none = lambda n: [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
         further = False
         if these.num_rows and those.num_rows:
             (na, ca, sa, ta, ka), (nb, cb, sb, tb, kb) = [
@@ -233,10 +244,11 @@ def strays(regions: DataFrame, members: DataFrame, stars: DataFrame, percent: in
                 at = at[ca[at] != component]
                 for k, x in enumerate((np.minimum(na[at], node), np.maximum(na[at], node), same[at])):
                     found[k].append(x)
-        out = pa.table([pa.array(np.concatenate(x), pa.int64()) for x in found], ["a", "b", "same"])
-        return pa.concat_tables([out, pa.table([pa.nulls(1, pa.int64())] * 3, ["a", "b", "same"])]) if further else out
+        out = [pa.array(np.concatenate(x), pa.int64()) for x in found]
+        out = pa.table([*out, *none(len(out[0]))], _MISSED)
+        return pa.concat_tables([out, pa.table([*[pa.nulls(1, pa.int64())] * 3, those["tree"][:1], those["stem"][:1]], _MISSED)]) if further else out
 
-    return left.groupBy(*key).cogroup(right.select(*key, *columns).groupBy(*key)).applyInArrow(compare, "a long, b long, same long").distinct()
+    return left.groupBy(*key).cogroup(right.select(*key, *columns).groupBy(*key)).applyInArrow(compare, "a long, b long, same long, tree long, stem binary").distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -331,15 +343,14 @@ def _grouped(docs: DataFrame, n: int, percent: int, region: int = REGION) -> Dat
     stars = _confirmed(pairs, texts_of(pairs), n, percent)
     if stars is None:
         stars = docs.sparkSession.createDataFrame([], "node long, component long")
-    regions, members = crowded(sets, stars, region)
+    regions, held = crowded(sets, stars, region)
     low, high = 0, CLOSEST
-    more = not regions.isEmpty()
-    while more:
-        found = materialize(strays(regions, members, stars, percent, low, high))
-        missed = found.where("a IS NOT NULL")
+    while not regions.isEmpty():
+        found = materialize(strays(regions, held, stars, percent, low, high))
+        missed = found.where("a IS NOT NULL").select("a", "b", "same")
         if not missed.isEmpty():
             stars = _confirmed(missed, texts_of(missed), n, percent, stars)
-        more = not found.where("a IS NULL").isEmpty()
+        regions = materialize(found.where("a IS NULL").select("tree", "stem"))
         low, high = high, FURTHER * high
     placed = own.join(sets.select("key_a", "key_b", "node"), ["key_a", "key_b"], "left")
     placed = placed.join(stars, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))

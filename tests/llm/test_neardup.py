@@ -116,3 +116,24 @@ def test_regions_stay_bounded():
     table[500:2500] = table[500]
     a, b, _ = neardup._neighbours(table, np.zeros(3000, int), np.arange(3000), 16)
     assert len(a) <= 3000 * 16 and {(i, i + 1) for i in range(500, 2499)} <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_components_are_joined_per_node_and_done_regions_left(spark, monkeypatch):
+    """A node's component is looked up once and not once per tree, and a turn goes on only in regions that have pairs left."""
+    rng, rows, turns = random.Random(2), [], []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    for group, tail in ((0, 30), (1000, 2)):  # lookalikes that are not alike, and near copies
+        shared = [word() for _ in range(170)]
+        rows += [(group + i, " ".join(shared + [word() for _ in range(tail)]), "en", "x", None) for i in range(40)]
+    rows += [(2000, " ".join(shared + [word() for _ in range(60)]), "en", "x", None)]
+    plain = neardup.strays
+
+    def watched(regions, held, *rest):
+        turns.append((regions.select("tree", "stem").distinct().count(), held.count(), held.select("node").distinct().count()))
+        return plain(regions, held, *rest)
+
+    monkeypatch.setattr(neardup, "strays", watched)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 4, 80, 4).collect()
+    assert {r.doc_id: r.component_id for r in out} == _brute(rows, 4)
+    assert len(turns) > 1 and turns[-1][0] < turns[0][0]
+    assert all(n == nodes <= len(rows) for _, n, nodes in turns)
