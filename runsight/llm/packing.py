@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsight.llm import tokens
-from runsight.llm.batches import small_batches
+from runsight.llm.batches import gathered, small_batches
 from runsight.session import materialize
 
 LENGTH = 2048
@@ -37,7 +37,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int, remembered: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(tokenizer, True, remembered)
-        for batch in batches:
+        for batch in gathered(batches, tokens.BLOCK_BYTES):
             keys, out = [], []
             for ids in own.encode(batch.column(1), end):
                 ids = ids.astype("<u2")
@@ -58,7 +58,7 @@ def statistics(tokenised: DataFrame) -> tuple[np.ndarray, float]:
         for batch in batches:
             for ids in batch.column(0):
                 ids = np.frombuffer(ids.as_py(), "<u2")
-                found[np.unique(ids)] += 1
+                found[ids] += 1  # numpy adds one per place, however often it is named
                 docs, total = docs + 1, total + len(ids)
         seen = np.flatnonzero(found)
         names = np.concatenate([[-1, -2], seen])
@@ -77,15 +77,18 @@ class Index:
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         lengths = np.array([len(u) for u in units])
-        owner = np.repeat(np.arange(len(units), dtype=np.int64), lengths)
-        pairs, times = np.unique(owner << 16 | np.concatenate(units), return_counts=True)
-        self.unit, self.term = pairs >> 16, pairs & 0xFFFF
+        ids = np.concatenate(units).astype(np.uint16)
+        order = np.argsort(ids, kind="stable")  # of 16 bits, which numpy sorts by digits; units stay in order
+        term, unit = ids[order], np.repeat(np.arange(len(units), dtype=np.int64), lengths)[order]
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (unit[1:] != unit[:-1])]))
+        times = np.diff(np.append(first, len(ids)))
+        term, self.posting_unit = term[first].astype(np.int64), unit[first]
         norm = K1 * (1 - B + B * lengths / mean)
-        self.weight = (idf[self.term] * times * (K1 + 1) / (times + norm[self.unit])).astype(np.float32)
-        self.rows = np.searchsorted(self.unit, np.arange(len(units) + 1))
-        order = np.argsort(self.term, kind="stable")
-        self.posting_unit, self.posting_weight = self.unit[order], self.weight[order]
-        self.lists = np.searchsorted(self.term[order], np.arange(VOCABULARY + 1))
+        self.posting_weight = (idf[term] * times * (K1 + 1) / (times + norm[self.posting_unit])).astype(np.float32)
+        self.lists = np.searchsorted(term, np.arange(VOCABULARY + 1))
+        by_unit = np.argsort(self.posting_unit.astype(np.uint16) if len(units) <= 1 << 16 else self.posting_unit, kind="stable")
+        self.term, self.weight = term[by_unit], self.posting_weight[by_unit]
+        self.rows = np.concatenate([[0], np.cumsum(np.bincount(self.posting_unit, minlength=len(units)))])
         self.free = np.ones(len(units), bool)
 
     def neighbours(self, seed: int) -> Iterator[int]:

@@ -21,6 +21,8 @@ from runsight.llm.textbytes import slices
 
 #: Words, and parts of them, remembered per worker. Words are in two generations: a full one becomes the older, which is dropped with the next. That changes no result.
 REMEMBERED = 400_000
+#: Bytes of text whose different words are looked up together, and of those whose ids are put together at once.
+BLOCK_BYTES, STRETCH_BYTES = 1 << 23, 1 << 18
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Remembered for words that have no ids. With byte-level vocabularies they are empty or end in white space, and the space behind them is not a border.
 _NONE = b""
@@ -41,6 +43,11 @@ _BYTE_CHARS = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256
 _SPACE = chr(_BYTE_CHARS[32])
 
 
+def _borders(texts: pa.Array) -> np.ndarray:
+    """Byte places between texts that follow one another."""
+    return np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+
+
 class Encoder:
     """``path``: tokenizer file. ``word_ends``: its words are lower-cased and spaces get no ids.
 
@@ -138,22 +145,27 @@ class Encoder:
         entries = self._words(names)
         known = len(entries)
         entries.append(array("I", [end]).tobytes())
-        order = np.insert(at, places[1:], known)  # the end id behind each text
         whole = np.zeros(n, bool)
         for mark in self.marks:
             whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         if not self.word_ends:  # no space before the first word
             entries += [self._piece(names[i]) for i in at[places[:-1]].tolist()]
-            order[places[:-1] + np.arange(n)] = known + 1 + np.arange(n)
         sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         if not self.word_ends:
             whole[np.repeat(np.arange(n), np.diff(places))[sizes[at] == 0]] = True
         flat, starts = np.frombuffer(b"".join(entries), np.uint32), np.cumsum(sizes) - sizes
-        sizes, starts = sizes[order], starts[order]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
-        cuts = [0, *ends[places[1:] + np.arange(n)].tolist()]
-        out = [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+        del entries, names
+        out: list[np.ndarray] = []
+        for first, last in slices(_borders(texts), STRETCH_BYTES):
+            own = places[first : last + 1] - places[first]
+            order = np.insert(at[places[first] : places[last]], own[1:], known)  # the end id behind each text
+            if not self.word_ends:
+                order[own[:-1] + np.arange(last - first)] = known + 1 + np.arange(first, last)
+            size = sizes[order]
+            ends = np.cumsum(size)
+            ids = flat[np.repeat(starts[order] - ends + size, size) + np.arange(ends[-1])]
+            cuts = [0, *ends[own[1:] + np.arange(last - first)].tolist()]
+            out += [ids[i:j] for i, j in zip(cuts, cuts[1:])]
         for i in np.flatnonzero(whole).tolist():
             out[i] = self._whole(texts[i].as_py(), end)
         return out
@@ -166,8 +178,7 @@ class Encoder:
     def encode(self, texts: pa.Array | Iterable[str | None], end: int) -> list[np.ndarray]:
         """Ids of texts (null: empty) as unsigned 32-bit numbers, each followed by ``end``."""
         texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
-        borders = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
-        return [ids for first, last in slices(borders) for ids in self._block(texts[first:last], end)]
+        return [ids for first, last in slices(_borders(texts), BLOCK_BYTES) for ids in self._block(texts[first:last], end)]
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
         """Ids of one text."""

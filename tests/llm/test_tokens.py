@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runsight.llm import packing, tokens, wavelet
+from runsight.llm import batches, packing, tokens, wavelet
 
 ODD = [
     "a  b   c\n d \t e\r\n\r\n f", "", "  lead", " x", "trail  ", " don't I'LL we've  é  z", "\x1c a\x1c  b", "日本 語  !!  ??", None, "a ́b  ́ c", "İSTANBUL ΣΑΣ ςΣ ß Ÿ",
@@ -147,3 +148,41 @@ def test_each_word_of_many_texts_is_looked_up_once(path, word_ends):
     texts = ["x one two three", None, "x one two", "x two\none.  Three ", "<|endoftext|> x"] * 40
     assert [ids.tolist() for ids in own.encode(texts, 7)] == [plain(t) + [7] for t in texts]
     assert own.known.asked < 20
+
+
+@pytest.mark.parametrize(("path", "word_ends"), [(BYTE, False), (WORD, True)])
+def test_blocks_and_stretches_change_no_ids(path, word_ends, monkeypatch):
+    plain, texts = _plain(path), [*ODD, "one two three  four", "", None, "x " * 300] * 3
+    for block, stretch in ((1 << 23, 40), (200, 1 << 20), (200, 1)):
+        monkeypatch.setattr(tokens, "BLOCK_BYTES", block)
+        monkeypatch.setattr(tokens, "STRETCH_BYTES", stretch)
+        assert [ids.tolist() for ids in tokens.Encoder(path, word_ends).encode(texts, 7)] == [plain(t) + [7] for t in texts]
+
+
+def test_rows_of_several_batches_are_gathered():
+    rows = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 3)), pa.array(["x" * n] * 3)], ["doc_id", "text"]) for i, n in ((0, 1), (3, 1), (6, 500), (9, 1), (12, 1))]
+    out = [b.column(0).to_pylist() for b in batches.gathered(iter(rows), 200)]
+    assert out == [[*range(6)], [6, 7, 8], [*range(9, 15)]]
+    assert list(batches.gathered(iter([]), 200)) == []
+
+
+def test_index_counts_each_id_of_a_unit():
+    rng = np.random.default_rng(3)
+    idf, units = rng.random(packing.VOCABULARY).astype(np.float32), [rng.choice([0, 5, 9, 70, 65535], n).astype("<u2") for n in (1, 4, 30, 2, 30)]
+    index = packing.Index(units, idf, 11.0)
+    for k, own in enumerate(units):
+        terms, times = np.unique(own, return_counts=True)
+        norm = packing.K1 * (1 - packing.B + packing.B * len(own) / 11.0)
+        here = slice(index.rows[k], index.rows[k + 1])
+        assert index.term[here].tolist() == terms.tolist()
+        assert index.weight[here].tolist() == (idf[terms] * times * (packing.K1 + 1) / (times + norm)).astype(np.float32).tolist()
+    for term in (0, 5, 70, 65535, 3):
+        assert index.posting_unit[index.lists[term] : index.lists[term + 1]].tolist() == [k for k, own in enumerate(units) if term in own]
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64, 1 << 15])
+def test_planes_are_moved_in_stretches(stretch, monkeypatch):
+    monkeypatch.setattr(wavelet, "STRETCH", stretch)
+    ids = np.random.default_rng(1).integers(0, 50_000, 300).astype(np.uint32)
+    matrix = wavelet.WaveletMatrix.build(ids, np.array([1]), np.array([300]))
+    assert np.array_equal(matrix.decode(), ids) and [matrix.access(i) for i in range(300)] == ids.tolist()
