@@ -18,12 +18,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runsight.llm import sharedfiles, tokens
-from runsight.llm.batches import small_batches
+from runsight.llm.batches import gathered, small_batches
 from runsight.session import materialize
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 21
 _BLOCK = 512
+#: Places that are moved at a time: their numbers stay in the processor's cache.
+STRETCH = 1 << 15
+
+
+def _moves(plane: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, slice, slice]]:
+    """Per stretch of a plane: the stretch, where in it the zeros and the ones are, and where these are on the next level, all zeros before all ones."""
+    at_zero, at_one = 0, len(plane) - int(np.count_nonzero(plane))
+    for i in range(0, len(plane), STRETCH):
+        own = plane[i : i + STRETCH]
+        zeros, ones = np.flatnonzero(~own), np.flatnonzero(own)  # places: quicker than masks
+        yield slice(i, i + STRETCH), zeros, ones, slice(at_zero, at_zero + len(zeros)), slice(at_one, at_one + len(ones))
+        at_zero, at_one = at_zero + len(zeros), at_one + len(ones)
 
 
 class WaveletMatrix:
@@ -41,7 +53,10 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             plane = (rest >> rest.dtype.type(level) & rest.dtype.type(1)).astype(bool)
             planes.append(plane)
-            rest = np.concatenate([rest.take(np.flatnonzero(~plane)), rest.take(np.flatnonzero(plane))])  # by places: quicker than by masks
+            below = np.empty_like(rest)
+            for here, zeros, ones, to_zeros, to_ones in _moves(plane):
+                below[to_zeros], below[to_ones] = rest[here][zeros], rest[here][ones]
+            rest = below
         return cls(planes, np.asarray(doc_ids, "<i8"), np.asarray(counts, "<i8"), len(ids))
 
     def decode(self) -> np.ndarray:
@@ -49,9 +64,10 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         values = np.zeros(self.size, kind)
         for depth, plane in enumerate(reversed(self.planes)):
-            zeros = self.zeros[-1 - depth]
             above = np.empty_like(values)
-            above[np.flatnonzero(~plane)], above[np.flatnonzero(plane)] = values[:zeros], values[zeros:] | kind(1 << depth)
+            for here, zeros, ones, from_zeros, from_ones in _moves(plane):
+                own = above[here]
+                own[zeros], own[ones] = values[from_zeros], values[from_ones] | kind(1 << depth)
             values = above
         return values.astype(np.uint32)
 
@@ -156,7 +172,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, shard_t
             names.clear()
             size = 0
 
-        for batch in batches:
+        for batch in gathered(batches, tokens.BLOCK_BYTES):
             for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1), end)):
                 held.append(ids)
                 names.append(-(2**63) if doc is None else doc)
