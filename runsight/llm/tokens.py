@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 
 from runsight.llm.textbytes import slices
 
-#: Words, and parts of them, remembered per worker. Words are in two generations: a full one becomes the older, which is dropped with the next. That changes no result.
-REMEMBERED = 400_000
+#: Words, and at most so many parts of them, remembered per worker. Words are in two generations: a full one becomes the older, which is dropped with the next. That changes no result.
+REMEMBERED, PARTS = 1_000_000, 400_000
 #: Bytes of text whose different words are looked up together, and of those whose ids are put together at once.
-BLOCK_BYTES, STRETCH_BYTES = 1 << 23, 1 << 18
+BLOCK_BYTES, STRETCH_BYTES = 1 << 22, 1 << 18
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Remembered for words that have no ids. With byte-level vocabularies they are empty or end in white space, and the space behind them is not a border.
 _NONE = b""
@@ -123,7 +123,7 @@ class Encoder:
             return found
         if len(self.known) >= self.remembered:
             self.known, self.older = {}, self.known
-        if len(self.parts) >= self.remembered:
+        if len(self.parts) >= min(self.remembered, PARTS):
             self.parts = {}
         names = [words[i] for i in missing]
         ids = list(map(self.older.get, names))
