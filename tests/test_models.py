@@ -143,3 +143,33 @@ def test_folds_of_one_trial_run_side_by_side(spark, table, monkeypatch):
     monkeypatch.setattr(models, "fold_score", lambda *a: (both.wait(), score(*a))[1])
     scores, _ = models.search(train, "id", "regression", "rmse", [("linear", {"penalty": 1.0}, models.linear("regression"))], k=2)
     assert [(r["state"], r["folds"]) for r in scores.collect()] == [("complete", 2)]
+
+
+def test_drafts_raise_what_is_no_fault_of_a_family(spark, table, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    train, _ = models.train_test(table.withColumn("y", (F.col("y") > 50).cast("int")), "id", "y")
+    families = {"linear": lambda: models.linear("classification")}
+    drafts = lambda df: [(r["status"], r["metric_value"]) for r in models.draft_phase(df, "id", "classification", "accuracy", families, k=2).collect()]
+    assert drafts(train.where("id < 0")) == [("draft-discard", None)]
+    with pytest.raises(PySparkException):  # a text column without any value cannot be encoded
+        drafts(train.withColumn("s", F.lit(None).cast("string")))
+    folds = models.fold_vectors
+
+    def lost(*a):
+        """Tables whose files are gone when a family reads them."""
+        tables = folds(*a)
+        path = spark._jvm.org.apache.hadoop.fs.Path(tables[0].inputFiles()[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return tables
+
+    monkeypatch.setattr(models, "fold_vectors", lost)
+    with pytest.raises(models.SOLVER_ERRORS, match="does not exist"):
+        drafts(train)
+
+    def broken(*_):
+        raise PySparkException("no space left")
+
+    monkeypatch.setattr(models, "fold_vectors", broken)
+    with pytest.raises(PySparkException):
+        drafts(train)
